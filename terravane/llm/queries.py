@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, simhash_neardup
-from .common import table
+from . import decontam, html_extract, langid_ecoc, quality_knn, simhash_neardup
+from .common import crc32_of, table
 
 
 def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,6 +12,28 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_neardup.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc32_of(F.col("doc_id")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    model = quality_knn.fit(docs, labels, "quality")
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality_knn.quality(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality_knn.THRESHOLD).cast("int"))
+
+
+def op4_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc32_of(F.col("doc_id")) % 4 == 2
+    model = langid_ecoc.fit(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), langid_ecoc.identify(docs, model).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.ambiguous")
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", "n_chars")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -28,6 +50,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op2_quality_knn": op2_quality_knn,
+    "op4_langid_ecoc": op4_langid_ecoc,
+    "op10_html_extract": op10_html_extract,
     "op9_decontaminate": op9_decontaminate,
 }
 
