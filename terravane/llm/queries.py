@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid_ecoc, quality_knn, simhash_neardup
-from .common import crc32_of, table
+from . import decontam, fingerprints, html_extract, langid_ecoc, mixing, pii, quality_knn, secret_scan, simhash_neardup, substring
+from .common import crc32_of, cut, sha_hex, table
 
 
 def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality_knn.THRESHOLD).cast("int"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc32_of(F.col("doc_id")) % 4 == 2
@@ -29,6 +37,38 @@ def op4_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.ambiguous")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut(
+        fingerprints.compare_with_edits(table(spark, sf_dir, "documents")).select(
+            F.col("id").alias("doc_id"), "n_chars", sha_hex(F.col("edited")).alias("edited_sha256"), "fp", "edited_fp", "near_edited", "near_next"
+        )
+    )
+    # The search asks for the documents whose id is divisible by 100, over distinct fingerprints.
+    classes = found.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))).alias("asked"))
+    near = fingerprints.within_radius(classes.where("asked").select("fp"), classes.select("fp"))
+    near = near.join(classes.select("fp", "n"), "fp").groupBy(F.col("query").alias("fp")).agg((F.sum("n") - 1).alias("n_within"))
+    joined = found.join(near, "fp", "left")
+    return joined.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        simhash_neardup.hex16(F.col("fp")).alias("fingerprint"),
+        simhash_neardup.hex16(F.col("edited_fp")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        F.when(F.col("doc_id") % 100 == 0, F.col("n_within")).alias("n_within_radius"),
+    )
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", sha_hex(F.col("kept")).alias("kept_sha256"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", "n_chars")
@@ -51,7 +91,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_quality_knn": op2_quality_knn,
+    "op3_mixing": op3_mixing,
     "op4_langid_ecoc": op4_langid_ecoc,
+    "op5_pii": op5_pii,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op10_html_extract": op10_html_extract,
     "op9_decontaminate": op9_decontaminate,
 }
