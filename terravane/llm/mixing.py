@@ -72,17 +72,18 @@ def source_weights(tokens: DataFrame, entropy: float = ENTROPY, repeats: float =
     return row.select(F.explode("w").alias("x"), "alpha", "whole").select("x.source", "x.tokens", "alpha", "x.weight", spent.alias("budget"))
 
 
-def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, blocks: int = BLOCKS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, blocks: int = BLOCKS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each placing of a document: id, source, n_tokens, weight, pass, block, place.
 
     ``place`` is where the document starts in its source's stream of tokens; ``block`` says in which of ``blocks``
     equal parts of that stream. Ordered by block, the rows hold every prefix of blocks in the target weights. A
     document is placed in a pass if it starts within the source's budget; without ``budget`` each is placed at
     least once. Null sources are a source of their own. Documents without words are placed where they fall, at no
-    cost; a source that has no words at all has no weight, and no rows. Repeated rows are placed each.
+    cost; a source that has no words at all has no weight, and no rows. Repeated rows are placed each. Columns named
+    in ``carry`` follow.
     """
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("n_tokens"))
-    weights = source_weights(counted, entropy, repeats, budget)
+    counted = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("n_tokens"), F.struct(F.lit(0).alias("none"), *carry).alias("carried"))
+    weights = source_weights(counted.select("source", "n_tokens"), entropy, repeats, budget)
     joined = counted.join(weights.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     last = F.greatest(F.ceil(F.col("budget") / F.col("tokens")) - 1, F.lit(0)).cast("int")
     turns = joined.select("*", F.explode(F.sequence(F.lit(0), last)).alias("pass")).where("budget > 0")
@@ -97,4 +98,12 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     match = F.col("source").eqNullSafe(F.col("of")) & (F.col("pass") == F.col("p")) & (F.col("slice") == F.col("s"))
     placed = summed.join(offsets, match).withColumn("place", F.col("pass") * F.col("tokens") + F.col("offset") + F.col("before"))
     block = F.floor(F.col("place") * blocks / F.col("budget")).cast("long")
-    return placed.where("place < budget").select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "n_tokens", "weight", F.col("pass").cast("long").alias("pass"), block.alias("block"), "place")
+    return placed.where("place < budget").select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "n_tokens", "weight", F.col("pass").cast("long").alias("pass"), block.alias("block"), "place", *[F.col(f"carried.{c}") for c in carry])
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The placed documents with their columns, texts too: those of ``docs``, then n_tokens, weight, pass, block, place."""
+    key, tag = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text")
+    placed = mix(docs.withColumn("__tag", tag), carry=("__tag",), **options).withColumn("__key", key).drop("doc_id", "source")
+    whole = docs.withColumn("__key", key).withColumn("__tag", tag).dropDuplicates(["__key", "__tag"])
+    return whole.join(placed, ["__key", "__tag"]).select(*docs.columns, "n_tokens", "weight", "pass", "block", "place")

@@ -15,6 +15,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import golay
 from .common import cut, raw
@@ -28,6 +30,7 @@ BLOCK = 1 << 15
 SECTION, SECTIONS = 4, 16
 #: Bits of the fingerprint that verifies near copies.
 WIDE = 8
+LOWEST = -(1 << 63)
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -141,3 +144,116 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def hex16(column: Column) -> Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
+
+
+# Near copies by similarity. Four bits hold only the closest copies, so for a similarity of shingle sets the same
+# hashing is applied to parts: shingles are dealt into sections by their hash, so that two documents that share most
+# shingles have some sections that are equal or nearly so. Golay codewords of a section's fingerprint are its key.
+
+NEAR = StructType([StructField("node", LongType()), StructField("wide", ArrayType(LongType())), StructField("keys", ArrayType(LongType()))])
+
+
+def _spread(hashes: np.ndarray, seed: int) -> np.ndarray:
+    x = (hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def section_keys(hashes: np.ndarray) -> list[int]:
+    """Keys of the first sections of a set of shingle hashes; a set near a change of the number of sections has both kinds."""
+    n = len(hashes)
+    if not n:
+        return []
+    order, keys = _spread(hashes, 99), []
+    for level in sorted({max(0, int(np.log2(x * n / SECTION))) if x * n >= SECTION else 0 for x in (1.0, 1.25)}):
+        of = (order >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(n, np.int64)
+        for section in range(min(1 << level, SECTIONS)):
+            part = hashes[of == section]
+            if len(part):
+                print_ = majority(part) & 0xFFFFFFFFFFFFFFFF
+                a, b = golay.nearest(np.array([print_ & 0x7FFFFF, (print_ >> 23) & 0x7FFFFF])).tolist()
+                keys.append((level << 32) | (section << 24) | (a << 12) | b)
+    return keys
+
+
+@lru_cache
+def _near_udf(words: int):
+    @F.arrow_udf(NEAR)
+    def describe(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in raw(texts):
+            parts = text.lower().split() if text else []
+            hashes = np.unique(shingle_hashes(text, words))
+            out.append({
+                "node": xxhash.xxh3_64_intdigest(b" ".join(parts)) - (1 << 63),
+                "wide": [majority(_spread(hashes, k)) for k in range(WIDE)],
+                "keys": section_keys(hashes),
+            })
+        return pa.array(out, pa.struct([("node", pa.int64()), ("wide", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))]))
+
+    return describe
+
+
+def most_differing(similarity: float) -> int:
+    """Bits of the wide fingerprint in which two sets of that similarity differ on average."""
+    return int(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
+    """``id``, and ``first``, the smallest id of its group, over documents that are equal or about as similar as asked.
+
+    Texts with the same words are one class. Classes that share a key are compared with two of the key's classes in
+    each round, not all with all; later rounds compare only across groups that are still apart, with other classes
+    as the ones to compare with, until a round finds no link. A comparison estimates the similarity of the shingle sets
+    from wide fingerprints of 512 bits. Null texts count as empty; texts without words are a group. Ids are longs; a
+    null id stands before all others.
+    """
+    described = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"), _near_udf(words)(F.col(text_col)).alias("near"))
+    rows = cut(described.select("id", "near.*"))
+    classes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.max("wide").alias("wide"), F.max("keys").alias("keys")))
+    shared = classes.select("node", F.explode("keys").alias("key"))
+    crowded = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = cut(shared.join(crowded, "key"))
+    labels, links, n_links = shared.select("node").distinct().withColumn("label", F.col("node")), None, 0
+    for turn in range(rounds):
+        found = _compare(shared, labels, classes, turn, most_differing(similarity))
+        links = cut(found if links is None else links.unionByName(found).distinct())
+        n_now = links.count()
+        if n_now == n_links:
+            break
+        n_links = n_now
+        known = connected_components(links)
+        labels = cut(shared.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    grouped = classes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = grouped.groupBy("label").agg(F.min("first").alias("group_first"))
+    return rows.select("id", "node").join(grouped.join(first, "label").select("node", "group_first"), "node").select("id", F.col("group_first").alias("first"))
+
+
+def _compare(shared: DataFrame, labels: DataFrame, classes: DataFrame, turn: int, bits: int) -> DataFrame:
+    """Links between classes of different groups: each class of a key against two that a hash picks, of two groups."""
+    labelled = shared.join(labels, "node").withColumn("rank", F.xxhash64("node", F.lit(turn)))
+    picked = labelled.groupBy("key").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("rank", "node", "label")).alias("one"), F.max(F.struct("rank", "node", "label")).alias("two")
+    )
+    both = labelled.join(picked.where("low < high"), "key")
+    other = F.explode(F.array("one", "two"))
+    pairs = both.select("node", "label", other.alias("hub")).where("hub.label <> label").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    wide = classes.select("node", "wide")
+    pairs = pairs.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("wide_a")), "a").join(wide.select(F.col("node").alias("b"), F.col("wide").alias("wide_b")), "b")
+    differing = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.where(differing <= bits).select("a", "b")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents without all but the first of each near-duplicate group, columns as they were.
+
+    Rows that repeat an id and its text count once; other rows with the same id stay or go together.
+    """
+    groups = cut(near_duplicate_groups(docs, id_col, text_col, words, similarity))
+    gone = groups.where("id > first").select(F.col("id").alias("__id")).distinct()
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
+    kept = docs.join(gone, key == F.col("__id"), "left_anti")
+    if groups.groupBy("id").count().where("count > 1").isEmpty():
+        return kept
+    once = W.partitionBy(key, F.xxhash64(text_col)).orderBy(F.lit(1))
+    return kept.withColumn("__turn", F.row_number().over(once)).where("__turn = 1").drop("__turn")
