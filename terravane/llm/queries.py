@@ -101,4 +101,67 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP3_SQL = rf"""
+WITH RECURSIVE counted AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS n_tokens FROM documents),
+sums AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM counted GROUP BY source HAVING sum(n_tokens) > 0),
+top AS (SELECT CAST(max(tokens) AS DOUBLE) AS most FROM sums),
+shape AS (SELECT list(ln(tokens / most) ORDER BY tokens, source) AS logs, {mixing.ENTROPY}::DOUBLE * ln(count(*)::DOUBLE) AS target FROM sums, top),
+by_entropy AS (
+  SELECT 0 AS i, 0::DOUBLE AS lo, 1::DOUBLE AS hi, 0.5::DOUBLE AS mid
+  UNION ALL
+  SELECT i + 1, lo, hi, (lo + hi) / 2 FROM (
+    SELECT i,
+      CASE WHEN ln(list_sum([exp(mid * x) for x in logs])) - mid * list_sum([x * exp(mid * x) for x in logs]) / list_sum([exp(mid * x) for x in logs]) >= target THEN mid ELSE lo END AS lo,
+      CASE WHEN ln(list_sum([exp(mid * x) for x in logs])) - mid * list_sum([x * exp(mid * x) for x in logs]) / list_sum([exp(mid * x) for x in logs]) >= target THEN hi ELSE mid END AS hi
+    FROM by_entropy, shape WHERE i < {mixing.STEPS})),
+over AS (
+  SELECT 0 AS i, 0::DOUBLE AS lo, 1::DOUBLE AS hi, 0.5::DOUBLE AS mid
+  UNION ALL
+  SELECT i + 1, lo, hi, (lo + hi) / 2 FROM (
+    SELECT i, CASE WHEN exp((mid - 1) * list_min(logs)) > {mixing.REPEATS} THEN mid ELSE lo END AS lo, CASE WHEN exp((mid - 1) * list_min(logs)) > {mixing.REPEATS} THEN hi ELSE mid END AS hi
+    FROM over, shape WHERE i < {mixing.STEPS})),
+chosen AS (
+  SELECT round(greatest(
+    CASE WHEN ln(list_sum([exp(x) for x in logs])) - list_sum([x * exp(x) for x in logs]) / list_sum([exp(x) for x in logs]) >= target THEN 1 ELSE (SELECT lo FROM by_entropy WHERE i = {mixing.STEPS}) END,
+    CASE WHEN exp(-list_min(logs)) > {mixing.REPEATS} THEN (SELECT lo FROM over WHERE i = {mixing.STEPS}) ELSE 0 END), 6) AS alpha, logs FROM shape),
+weighted AS (SELECT source, tokens, round(exp(alpha * ln(tokens / most)) / list_sum([exp(alpha * x) for x in logs]), 12) AS weight FROM sums, top, chosen),
+whole AS (SELECT ceil(max(round(tokens / weight, 3))) AS whole FROM weighted),
+budgets AS (SELECT source, tokens, weight, greatest(CAST(floor(round(weight * whole, 3)) AS BIGINT), tokens) AS budget FROM weighted, whole),
+turns AS (
+  SELECT doc_id, c.source, n_tokens, tokens, weight, budget, unnest(range(0, CAST(greatest(ceil(budget / tokens), 1) AS BIGINT))) AS pass
+  FROM counted c JOIN budgets b ON c.source IS NOT DISTINCT FROM b.source WHERE budget > 0),
+placed AS (
+  SELECT *, CAST(pass * tokens + sum(n_tokens) OVER (PARTITION BY source, pass ORDER BY md5('{mixing.SEED}:' || pass || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS BIGINT) AS place
+  FROM turns)
+SELECT doc_id, source, n_tokens, weight, pass, CAST(floor(place * {mixing.BLOCKS} / budget) AS BIGINT) AS block, place FROM placed WHERE place < budget
+"""
+
+OP7_SQL = rf"""
+WITH worded AS (SELECT doc_id, {WORDS} AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM worded),
+windows AS (SELECT doc_id, p, w[p] AS word, CASE WHEN p + {substring.WINDOW - 1} <= len(w) THEN array_to_string(w[p : p + {substring.WINDOW - 1}], ' ') END AS win FROM places),
+marked AS (SELECT doc_id, p, word, CAST(win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, p) > 1 AS INT) AS again FROM windows),
+covered AS (SELECT doc_id, p, word, max(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {substring.WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM marked),
+kept AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone = 0) AS kept FROM covered GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM worded LEFT JOIN kept USING (doc_id)
+"""
+
+ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP9_SQL = rf"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {ITEM_WORDS} AS w FROM benchmark),
+cuts AS (SELECT item, w, least(len(w), {decontam.WINDOW}) AS n, unnest(range(1, greatest(len(w) - {decontam.WINDOW - 1}, 1) + 1)) AS p FROM items WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item, n, array_to_string(w[p : p + n - 1], ' ') AS win FROM cuts),
+worded AS (SELECT doc_id, {ITEM_WORDS} AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM worded),
+spots AS (SELECT doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') AS win FROM places, (SELECT DISTINCT n FROM wins) WHERE p + n - 1 <= len(w)),
+hits AS (SELECT doc_id, p, n, item FROM spots JOIN wins USING (n, win)),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM worded LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL}

@@ -195,8 +195,9 @@ def _near_udf(words: int):
 
 
 def most_differing(similarity: float) -> int:
-    """Bits of the wide fingerprint in which two sets of that similarity differ on average."""
-    return int(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """Bits of the wide fingerprint in which two sets of that similarity differ on average, and half a standard deviation."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(64 * WIDE * p + 0.5 * np.sqrt(64 * WIDE * p * (1 - p)))
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
