@@ -2,11 +2,12 @@
 
 Every window of 20 words has an anchor, the least hash among its runs of eight words, at the leftmost place. Equal
 windows have equal anchors, and a run of text has an anchor about every seven words. A first pass counts anchors in
-count-min sketches, one a partition, which are merged; the counts are at least the true ones, and no larger than two
-matters, so a bit a cell is kept. A second pass looks at windows whose anchor is estimated to occur again: only these
-are grouped exactly, by a 128-bit hash of their words, so no repeated window is lost. Where one batch holds a window
-more than once, one row carries all of them. If the sketch is too small for the corpus, more windows are grouped,
-never fewer.
+count-min sketches, one a partition, which are merged; the counts are at least the true ones, and as no count over
+one matters, a bit a cell is kept of the result. One row of the sketch counts different texts, so that whole copies
+of a document, which are found by a hash of the text, don't fill it. A second pass looks at windows whose anchor is
+estimated to occur again: only these are grouped exactly, by a 95-bit hash of their words, so no repeated window is
+lost. Where one batch holds a window more than once, one row carries all of them. If the sketch is too small for the
+corpus, more windows are grouped, never fewer.
 """
 
 import numpy as np
@@ -16,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, raw
+from .common import raw
 
 WINDOW, RUN = 20, 8
-#: Sketches have at most 2**30 cells a row; merged they shrink to at least four cells an anchor.
+#: Sketches have at most 2**30 cells a row; merged they have four cells or more to an anchor, if these suffice.
 MOST_BITS, LEAST_BITS, SLICE_BITS, SKETCH_ROWS = 30, 16, 18, 2
 CHUNK_BYTES = 2_000_000
 LOWEST = -(1 << 63)
+#: Bytes of text to an anchor, somewhat less than usual.
+BYTES_AN_ANCHOR = 32
 
 _NONSPACE = np.ones(256, bool)
 _NONSPACE[[9, 10, 11, 12, 13, 32]] = False
@@ -87,56 +90,82 @@ def _cells(values: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (_mix(values, 0x51ED270B + row * 0x2545F491) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+SKETCH = "row int, slice int, cells binary, tags binary, again binary"
+
+
 def _sketch(batches):
-    """The cells of a partition's anchors at full width: for each slice those seen once, and those seen again."""
-    found = [[] for _ in range(SKETCH_ROWS)]
+    """The cells of a partition's anchors at full width, by slice: row 0 with the text that holds them, and whether
+    another text, or the same one at another place, holds them too; row 1 whether they occur again at all."""
+    cells, tags, again = [[], []], [], []
     for batch in batches:
-        for _, texts in chunks([t or b"" for t in raw(batch.column(0))]):
-            _, _, values, places = anchors(texts)
+        known = batch.column(0).to_numpy(zero_copy_only=False)
+        for first, texts in chunks([t or b"" for t in raw(batch.column(1))]):
+            owner, _, values, places = anchors(texts)
             if len(values):
-                values = values[np.concatenate([[True], places[1:] != places[:-1]])]
+                new = np.concatenate([[True], places[1:] != places[:-1]])
+                owner, values = owner[new], values[new]
+                order = np.lexsort((values, owner))
+                owner, values = owner[order], values[order]
+                same = np.concatenate([[False], (owner[1:] == owner[:-1]) & (values[1:] == values[:-1])])
+                tags.append(known[first + owner])
+                again.append(same)
                 for row in range(SKETCH_ROWS):
-                    found[row].append(_cells(values, row, MOST_BITS).astype(np.uint32))
+                    cells[row].append(_cells(values, row, MOST_BITS).astype(np.uint32))
+    if not tags:
+        return
+    every, marks = np.concatenate(tags), np.concatenate(again)
     for row in range(SKETCH_ROWS):
-        if not found[row]:
-            continue
-        cells, n = np.unique(np.concatenate(found[row]), return_counts=True)
-        slices = cells >> np.uint32(SLICE_BITS)
+        all_cells = np.concatenate(cells[row])
+        order = np.lexsort((every, all_cells))
+        c, t, m = all_cells[order], every[order], marks[order]
+        head = np.concatenate([[True], c[1:] != c[:-1]])
+        if row == 0:
+            m = m | np.concatenate([[False], ~head[1:] & (t[1:] != t[:-1])])
+        else:
+            m = ~head
+        at = np.flatnonzero(head)
+        c, t, m = c[at], t[at], np.logical_or.reduceat(m, at)
+        slices = c >> np.uint32(SLICE_BITS)
         cuts = np.flatnonzero(np.concatenate([[True], slices[1:] != slices[:-1], [True]]))
-        out = [(row, int(slices[a]), cells[a:b].tobytes(), (n[a:b] > 1).tobytes(), int(n[a:b].sum())) for a, b in zip(cuts, cuts[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()))], names=["row", "slice", "cells", "again", "n"])
+        out = [(row, int(slices[a]), c[a:b].tobytes(), t[a:b].tobytes() if row == 0 else b"", np.packbits(m[a:b]).tobytes()) for a, b in zip(cuts, cuts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["row", "slice", "cells", "tags", "again"])
 
 
 def _merger(bits: int):
-    """Merge the partitions' cells slice by slice, at ``bits`` bits a cell; the cells seen twice, in all or in one."""
-    drop = np.uint32(MOST_BITS - bits)
+    """Merge the partitions' cells slice by slice, at ``bits`` bits a cell, into a bit for each cell seen again."""
+    drop = MOST_BITS - bits
+    size = (1 << SLICE_BITS) >> drop
 
     def merge(batches):
-        once: dict[tuple[int, int], np.ndarray] = {}
+        seen: dict[tuple[int, int], np.ndarray] = {}
+        held: dict[int, np.ndarray] = {}
         twice: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for row, part, cells, again in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                cells, again = np.frombuffer(cells, np.uint32) >> drop, np.frombuffer(again, bool)
-                base, size = (part << SLICE_BITS) >> int(drop), max((1 << SLICE_BITS) >> int(drop), 1)
-                seen, more = once.setdefault((row, part), np.zeros(size, bool)), twice.setdefault((row, part), np.zeros(size, bool))
-                at = (cells - np.uint32(base)).astype(np.int64)
-                more[at[again]] = True
-                more[at[1:][at[1:] == at[:-1]]] = True
-                more[at[seen[at]]] = True
-                seen[at] = True
-        if once:
-            out = [(row, part, np.packbits(cells).tobytes()) for (row, part), cells in twice.items()]
+            for row, part, cells, tags, again in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                at = ((np.frombuffer(cells, np.uint32) & np.uint32((1 << SLICE_BITS) - 1)) >> np.uint32(drop)).astype(np.int64)
+                again = np.unpackbits(np.frombuffer(again, np.uint8), count=len(at)).astype(bool)
+                once, more = seen.setdefault((row, part), np.zeros(size, bool)), twice.setdefault((row, part), np.zeros(size, bool))
+                beside = np.concatenate([[False], at[1:] == at[:-1]])
+                before = once[at]
+                if row == 0:
+                    tags, mine = np.frombuffer(tags, np.int64), held.setdefault(part, np.zeros(size, np.int64))
+                    beside &= np.concatenate([[False], tags[1:] != tags[:-1]])
+                    before &= mine[at] != tags
+                    mine[at] = tags
+                more[at[again | beside | before]] = True
+                once[at] = True
+        if twice:
+            out = [(row, part, np.packbits(found).tobytes()) for (row, part), found in twice.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["row", "slice", "twice"])
 
     return merge
 
 
-def repeated_cells(texts: DataFrame) -> tuple[int, list[np.ndarray]]:
-    """The sketch of the anchors of ``texts(text)``: the bits of a cell, and for each row a bit set where the count may exceed one."""
-    parts = cut(texts.mapInArrow(_sketch, "row int, slice int, cells binary, again binary, n long"))
-    n = parts.where("row = 0").agg(F.sum("n")).first()[0] or 0
-    bits = min(max(int(4 * n).bit_length(), LEAST_BITS), MOST_BITS)
-    merged = parts.select("row", "slice", "cells", "again").repartition("row", "slice").mapInArrow(_merger(bits), "row int, slice int, twice binary").collect()
+def repeated_cells(rows: DataFrame) -> tuple[int, list[np.ndarray]]:
+    """The merged sketch of the anchors of ``rows(tag, text)``: the bits of a cell, and a bit for each cell of each row, set where the count may exceed one."""
+    octets = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = min(max((4 * octets // BYTES_AN_ANCHOR).bit_length(), LEAST_BITS), MOST_BITS)
+    merged = rows.select("tag", "text").mapInArrow(_sketch, SKETCH).repartition("row", "slice").mapInArrow(_merger(bits), "row int, slice int, twice binary").collect()
     maps = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(SKETCH_ROWS)]
     for r in merged:
         base = ((r["slice"] << SLICE_BITS) >> (MOST_BITS - bits)) // 8
@@ -145,7 +174,9 @@ def repeated_cells(texts: DataFrame) -> tuple[int, list[np.ndarray]]:
     return bits, maps
 
 
-WINDOWS = "h1 long, h2 long, key long, tag long, start int, others array<struct<key: long, tag: long, start: int>>"
+WINDOWS = "h1 long, h2 int, key long, tag long, start int, others array<struct<key: long, tag: long, start: int>>"
+#: The bits of the 128-bit hash that are kept.
+SHORT = np.array([-1, 0x7FFFFFFF])
 _OTHER = pa.struct([("key", pa.int64()), ("tag", pa.int64()), ("start", pa.int32())])
 
 
@@ -175,7 +206,7 @@ def _windows(sent):
                     ends = np.cumsum(sizes + 1) - 1
                     s = start[at : at + n]
                     joined = b"".join([digest(line[a:b]) for a, b in zip((ends - sizes)[s].tolist(), ends[s + WINDOW - 1].tolist())])
-                    hashes[at : at + n] = np.frombuffer(joined, np.int64).reshape(-1, 2)
+                    hashes[at : at + n] = np.frombuffer(joined, np.int64).reshape(-1, 2) & SHORT
                     at += n
                 yield from _grouped(hashes, keys[first + owner], tags[first + owner], start)
 
@@ -192,29 +223,38 @@ def _grouped(hashes, keys, tags, start):
     other = ~head & ~((keys == keys[at][group]) & (tags == tags[at][group]) & (start == start[at][group]))
     offsets = np.concatenate([[0], np.cumsum(np.bincount(group[other], minlength=len(at)))]).astype(np.int32)
     others = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(keys[other]), pa.array(tags[other]), pa.array(start[other])], fields=list(_OTHER)))
-    yield pa.RecordBatch.from_arrays([pa.array(h[at, 0]), pa.array(h[at, 1]), pa.array(keys[at]), pa.array(tags[at]), pa.array(start[at]), others], names=["h1", "h2", "key", "tag", "start", "others"])
+    yield pa.RecordBatch.from_arrays([pa.array(h[at, 0]), pa.array(h[at, 1].astype(np.int32)), pa.array(keys[at]), pa.array(tags[at]), pa.array(start[at]), others], names=["h1", "h2", "key", "tag", "start", "others"])
 
 
 def repeats(rows: DataFrame) -> DataFrame:
-    """``rows(key, tag, text)`` to the windows that start earlier elsewhere: key, tag, start."""
-    sent = rows.sparkSession.sparkContext.broadcast(repeated_cells(rows.select("text")))
+    """``rows(key, tag, text)`` to the windows that start earlier elsewhere: key, tag, start. Whole copies of a text may lack theirs."""
+    sent = rows.sparkSession.sparkContext.broadcast(repeated_cells(rows))
     windows = rows.mapInArrow(_windows(sent), WINDOWS)
     ranked = windows.withColumn("rank", F.rank().over(W.partitionBy("h1", "h2").orderBy("key", "tag", "start")))
     own = F.when(F.col("rank") > 1, F.array(F.struct("key", "tag", "start"))).otherwise(F.array().cast("array<struct<key: long, tag: long, start: int>>"))
     return ranked.select(F.explode(F.concat(own, "others")).alias("w")).select("w.key", "w.tag", "w.start")
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """The key and tag of rows whose whole text also stands under a smaller key."""
+    narrow = rows.select("key", "tag", F.octet_length("text").alias("size"))
+    first = narrow.groupBy("tag", "size").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
+    return narrow.join(first, ["tag", "size"]).where("key > first").select("key", "tag")
+
+
 KEPT = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
 def _kept(batches):
-    """Rows sorted by key and tag, texts before starts."""
-    texts, starts, at, out = [], [], None, []
+    """Rows sorted by key and tag: texts (start -2), a mark that they are copies (-1), starts of repeated windows."""
+    texts, starts, copied, at, out = [], [], False, None, []
 
     def done():
         for text in texts:
             words = text.split()
-            if starts:
+            if copied and len(words) >= WINDOW:
+                kept = []
+            elif starts:
                 edge = np.zeros(len(words) + 1, np.int64)
                 first = np.concatenate(starts)
                 np.add.at(edge, first, 1)
@@ -240,11 +280,12 @@ def _kept(batches):
                     if len(out) >= 500:
                         yield batch_of()
                         out = []
-                texts, starts, at = [], [], now
-            n = int((start[a:b] < 0).sum())
+                texts, starts, copied, at = [], [], False, now
+            n, marks = int((start[a:b] == -2).sum()), int((start[a:b] == -1).sum())
+            copied = copied or marks > 0
             texts += raw(body.slice(a, n))
-            if b - a > n:
-                starts.append(start[a + n : b].astype(np.int64))
+            if b - a > n + marks:
+                starts.append(start[a + n + marks : b].astype(np.int64))
     if at is not None:
         done()
         yield batch_of()
@@ -260,7 +301,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("key"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    starts = repeats(rows).select("key", "tag", "start", F.lit(None).cast("string").alias("text"))
-    both = rows.select("key", "tag", F.lit(-1).alias("start"), "text").unionByName(starts)
+    starts = repeats(rows).unionByName(copies(rows).withColumn("start", F.lit(-1))).withColumn("text", F.lit(None).cast("string"))
+    both = rows.select("key", "tag", F.lit(-2).alias("start"), "text").unionByName(starts)
     dealt = both.repartition("key").sortWithinPartitions("key", "tag", "start")
     return dealt.mapInArrow(_kept, "key long, n_words long, n_removed long, kept string").withColumnRenamed("key", id_col)
