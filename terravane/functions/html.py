@@ -57,11 +57,11 @@ def page_facts(html: Column) -> Column:
     )
 
 
-def role(folded: Column, pdf: Column | None = None) -> Column:
+def role(folded: Column, pdf: Column | None = None, terms: dict[str, list[str]] = ROLE_TERMS) -> Column:
     """The first role one of whose terms stands in a folded text; a PDF is a menu (HTM-09)."""
     out = F.when(F.lit(False), "")
-    for name, terms in ROLE_TERMS.items():
-        out = out.when(has_term(folded, terms), name)
+    for name, words in terms.items():
+        out = out.when(has_term(folded, words), name)
     return out.otherwise(F.when(pdf, "menu") if pdf is not None else F.lit(None).cast("string"))
 
 

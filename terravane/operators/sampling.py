@@ -121,7 +121,7 @@ def balanced_types(rows: DataFrame, catalog: list[str]) -> DataFrame:
         return pd.DataFrame(out, columns=["n", "town", "website", "type", "venue_id"])
 
     kinds = dict(rows.dtypes)
-    return first.groupBy(F.lit(1)).applyInPandas(choose, f"n long, town {kinds['town']}, website string, type string, venue_id {kinds['venue_id']}")
+    return first.groupBy().applyInPandas(choose, f"n long, town {kinds['town']}, website string, type string, venue_id {kinds['venue_id']}")
 
 
 def selection_faults(selected: DataFrame, key: str, region: str, per_region: int, excluded: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def _rank(column: Column, table: dict[str, int]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)]), column), F.lit(0))
 
 
-def resources(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def resources(pages: DataFrame, url: str = "url", html: str = "html", terms: dict[str, list[str]] = H.ROLE_TERMS) -> DataFrame:
     """Links and images of pages with a role by their words, addresses resolved, once each (HTM-03)."""
     anchors = F.regexp_extract_all(F.regexp_replace(html, r"(?is)<script\b.*?</script>", " "), F.lit(r'(?is)(<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>|<img\b[^>]*?src="[^"]*"[^>]*>)'), F.lit(1))
     each = pages.select(F.col(url).alias("page"), F.posexplode(anchors).alias("position", "tag"))
@@ -28,7 +28,7 @@ def resources(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     found = each.select("page", "position", F.col("tag").rlike("(?i)^<img").alias("is_image"), link.alias("link"), label.alias("label"))
     found = found.withColumn("target", resolve(F.col("link"), F.col("page"))).where(F.col("target").rlike("^https?://"))
     pdf = F.col("target").rlike(r"(?i)\.pdf(?:$|[?#])")
-    role = H.role(words_only(F.concat_ws(" ", "label", F.regexp_replace("target", r"^https?://[^/]*", ""))), pdf)
+    role = H.role(words_only(F.concat_ws(" ", "label", F.regexp_replace("target", r"^https?://[^/]*", ""))), pdf, terms)
     found = found.withColumn("role", F.when(F.col("is_image") & (role == "menu"), "menu_image").otherwise(role)).where("role IS NOT NULL")
     first = W.partitionBy("page", canonical_url(F.col("target"), True)).orderBy("position")
     return found.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, html, stats, url
-from ..operators import clustering, entity, sampling, spatial, web
+from ..operators import clustering, entity, facets, sampling, spatial, web
 from .common import LEADS_SQL, PLACED_SQL, leads, placed_customers, table
 
 
@@ -178,13 +178,12 @@ def diverse_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = web.resources(table(spark, sf_dir, "pages")).withColumns({"confidence": F.when(F.col("position") < 3, "high").otherwise("low"), "score": F.length("label")})
+    terms = {"menu": ["nicht", "and", "se", "des"], "booking": ["the", "la", "de"], "order": ["is", "le", "que"]}
+    found = web.resources(table(spark, sf_dir, "pages"), terms=terms).withColumns({"confidence": F.when(F.col("position") < 3, "high").otherwise("low"), "score": F.length("label")})
     return web.diverse_top(found, ["page"], 6).select("page", "role", "target", "label", "place")
 
 
 def inventory_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import facets
-
     rows = leads(spark, sf_dir)
     regions = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"))
     venues = rows.where("status <> 'P'")
