@@ -131,7 +131,8 @@ def records(spark, sf_dir):
 
 
 def pair_evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = entity.prepared(records(spark, sf_dir))
+    # The keys are read by every block and both sides of the scoring.
+    keys = entity.prepared(records(spark, sf_dir)).persist()
     found = entity.scored_pairs(entity.candidate_pairs(keys), keys)
     return found.select("left", "right", F.array_join("evidence", ",").alias("evidence"), F.array_join("conflicts", ",").alias("conflicts"), "score", "merge", "review")
 
@@ -157,7 +158,7 @@ SELECT "left", "right", array_to_string(ev, ',') AS evidence, array_to_string(cf
 
 def entity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir)
-    keys = entity.prepared(rows)
+    keys = entity.prepared(rows).persist()
     groups = entity.greedy_groups(keys, entity.scored_pairs(entity.candidate_pairs(keys), keys))
     venues = entity.survivors(rows, groups, ["town", "name", "phone", "website", "address"])
     return entity.canonical_ids(venues, F.col("town").cast("string"), "name").select("venue_id", "group", "name", "phone", F.size("members").cast("long").alias("n_members"))

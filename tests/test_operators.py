@@ -61,18 +61,13 @@ def test_urls(spark):
         assert one(spark, column) == want
 
 
-def test_points_on_edges_and_in_holes():
-    import numpy as np
-
-    square, hole = np.array([(0, 0), (4, 0), (4, 4), (0, 4)], float), np.array([(1, 1), (2, 1), (2, 2), (1, 2)], float)
-    beside = np.array([(4, 0), (8, 0), (8, 4), (4, 4)], float)
-    shape = [[square, hole]]
-    assert geo.place_in_polygons(3, 3, shape) == "inside"
-    assert geo.place_in_polygons(1.5, 1.5, shape) == "outside"
-    assert geo.place_in_polygons(1, 1.5, shape) == "boundary"
-    assert geo.place_in_polygons(4, 2, shape) == "boundary"
-    assert geo.place_in_polygons(4, 2, [[square], [beside]]) == "inside"
-    assert geo.place_in_polygons(9, 9, shape) == "outside"
+def test_points_on_edges_and_in_holes(spark):
+    square, hole, beside = [(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (2, 1), (2, 2), (1, 2)], [(4, 0), (8, 0), (8, 4), (4, 4)]
+    with_hole, two = [[square, hole]], [[square], [beside]]
+    cases = [(3, 3, with_hole, "inside"), (1.5, 1.5, with_hole, "outside"), (1, 1.5, with_hole, "boundary"), (4, 2, with_hole, "boundary"), (4, 2, two, "inside"), (9, 9, with_hole, "outside"), (None, 1, two, None)]
+    rows = [(None if x is None else float(x), float(y), [[[{"x": float(a), "y": float(b)} for a, b in ring] for ring in p] for p in shape], want) for x, y, shape, want in cases]
+    frame = spark.createDataFrame(rows, f"x double, y double, rings {geo.RINGS}, want string")
+    assert all(r.got == r.want for r in frame.withColumn("got", geo.place_in(F.col("x"), F.col("y"), F.col("rings"))).collect())
 
 
 def test_facets_ignore_their_own_filter(spark):
