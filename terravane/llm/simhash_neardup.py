@@ -253,7 +253,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = cut(near_duplicate_groups(docs, id_col, text_col, words, similarity))
     gone = groups.where("id > first").select(F.col("id").alias("__id")).distinct()
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
-    kept = docs.join(gone, key == F.col("__id"), "left_anti")
+    # How many go follows from the corpus, so they are never broadcast: one shuffle of the texts at any size.
+    kept = docs.join(gone.hint("shuffle_hash"), key == F.col("__id"), "left_anti")
     if groups.groupBy("id").count().where("count > 1").isEmpty():
         return kept
     once = W.partitionBy(key, F.xxhash64(text_col)).orderBy(F.lit(1))
