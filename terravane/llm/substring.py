@@ -90,6 +90,17 @@ def _cells(values: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (_mix(values, 0x51ED270B + row * 0x2545F491) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _short(tags: np.ndarray) -> bytes:
+    """48 bits of each tag: texts that share them and a cell are taken for copies, a chance of 2 ** -48 a pair."""
+    return tags.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(tags: bytes) -> np.ndarray:
+    out = np.zeros((len(tags) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(tags, np.uint8).reshape(-1, 6)
+    return out.view(np.int64).ravel()
+
+
 SKETCH = "row int, slice int, cells binary, tags binary, again binary"
 
 
@@ -127,7 +138,7 @@ def _sketch(batches):
         c, t, m = c[at], t[at], np.logical_or.reduceat(m, at)
         slices = c >> np.uint32(SLICE_BITS)
         cuts = np.flatnonzero(np.concatenate([[True], slices[1:] != slices[:-1], [True]]))
-        out = [(row, int(slices[a]), c[a:b].tobytes(), t[a:b].tobytes() if row == 0 else b"", np.packbits(m[a:b]).tobytes()) for a, b in zip(cuts, cuts[1:])]
+        out = [(row, int(slices[a]), c[a:b].tobytes(), _short(t[a:b]) if row == 0 else b"", np.packbits(m[a:b]).tobytes()) for a, b in zip(cuts, cuts[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["row", "slice", "cells", "tags", "again"])
 
 
@@ -148,7 +159,7 @@ def _merger(bits: int):
                 beside = np.concatenate([[False], at[1:] == at[:-1]])
                 before = once[at]
                 if row == 0:
-                    tags, mine = np.frombuffer(tags, np.int64), held.setdefault(part, np.zeros(size, np.int64))
+                    tags, mine = _long(tags), held.setdefault(part, np.zeros(size, np.int64))
                     beside &= np.concatenate([[False], tags[1:] != tags[:-1]])
                     before &= mine[at] != tags
                     mine[at] = tags
@@ -174,10 +185,12 @@ def repeated_cells(rows: DataFrame) -> tuple[int, list[np.ndarray]]:
     return bits, maps
 
 
-WINDOWS = "h1 long, h2 int, key long, tag long, start int, others array<struct<key: long, tag: long, start: int>>"
+WINDOWS = "h1 long, h2 int, key long, tag int, start int, others array<struct<key: long, tag: int, start: int>>"
+#: The bits of a text's hash that tell rows with the same id apart.
+ROW_TAG = 0x7FFFFFFF
 #: The bits of the 128-bit hash that are kept.
 SHORT = np.array([-1, 0x7FFFFFFF])
-_OTHER = pa.struct([("key", pa.int64()), ("tag", pa.int64()), ("start", pa.int32())])
+_OTHER = pa.struct([("key", pa.int64()), ("tag", pa.int32()), ("start", pa.int32())])
 
 
 def _windows(sent):
@@ -186,7 +199,7 @@ def _windows(sent):
     def rows(batches):
         bits, maps = sent.value
         for batch in batches:
-            keys, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            keys, tags = batch.column(0).to_numpy(zero_copy_only=False), (batch.column(1).to_numpy(zero_copy_only=False) & ROW_TAG).astype(np.int32)
             texts = [t or b"" for t in raw(batch.column(2))]
             for first, part in chunks(texts):
                 owner, start, values, _ = anchors(part)
@@ -231,15 +244,19 @@ def repeats(rows: DataFrame) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(repeated_cells(rows))
     windows = rows.mapInArrow(_windows(sent), WINDOWS)
     ranked = windows.withColumn("rank", F.rank().over(W.partitionBy("h1", "h2").orderBy("key", "tag", "start")))
-    own = F.when(F.col("rank") > 1, F.array(F.struct("key", "tag", "start"))).otherwise(F.array().cast("array<struct<key: long, tag: long, start: int>>"))
+    own = F.when(F.col("rank") > 1, F.array(F.struct("key", "tag", "start"))).otherwise(F.array().cast("array<struct<key: long, tag: int, start: int>>"))
     return ranked.select(F.explode(F.concat(own, "others")).alias("w")).select("w.key", "w.tag", "w.start")
 
 
+def _row_tag():
+    return F.col("tag").bitwiseAND(F.lit(ROW_TAG)).cast("int").alias("tag")
+
+
 def copies(rows: DataFrame) -> DataFrame:
     """The key and tag of rows whose whole text also stands under a smaller key."""
     narrow = rows.select("key", "tag", F.octet_length("text").alias("size"))
     first = narrow.groupBy("tag", "size").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
-    return narrow.join(first, ["tag", "size"]).where("key > first").select("key", "tag")
+    return narrow.join(first, ["tag", "size"]).where("key > first").select("key", _row_tag())
 
 
 KEPT = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -302,6 +319,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("key"), F.xxhash64(text).alias("tag"), text.alias("text"))
     starts = repeats(rows).unionByName(copies(rows).withColumn("start", F.lit(-1))).withColumn("text", F.lit(None).cast("string"))
-    both = rows.select("key", "tag", F.lit(-2).alias("start"), "text").unionByName(starts)
+    both = rows.select("key", _row_tag(), F.lit(-2).alias("start"), "text").unionByName(starts)
     dealt = both.repartition("key").sortWithinPartitions("key", "tag", "start")
     return dealt.mapInArrow(_kept, "key long, n_words long, n_removed long, kept string").withColumnRenamed("key", id_col)
