@@ -49,13 +49,13 @@ def current_facts(events: DataFrame, keys: list[str], order: list[str]) -> DataF
 def cascade(facts: DataFrame, sources: DataFrame, key: str, source: str) -> DataFrame:
     """Facts that depend on a retired source are retired too (EVD-04, EVD-06)."""
     gone = sources.where("lifecycle = 'retired'").select("venue_id", F.col(key).alias(source)).distinct().withColumn("__gone", F.lit(True))
-    return facts.join(gone, ["venue_id", source], "left").withColumn("lifecycle", F.when("__gone", "retired").otherwise(F.col("lifecycle"))).drop("__gone")
+    return facts.join(gone, ["venue_id", source], "left").withColumn("lifecycle", F.when(F.col("__gone"), "retired").otherwise(F.col("lifecycle"))).drop("__gone")
 
 
 def closed(facts: DataFrame, closures: DataFrame) -> DataFrame:
     """All facts of closed venues retired (EVD-06)."""
     gone = closures.select("venue_id").distinct().withColumn("__closed", F.lit(True))
-    return facts.join(gone, "venue_id", "left").withColumn("lifecycle", F.when("__closed", "retired").otherwise(F.col("lifecycle"))).drop("__closed")
+    return facts.join(gone, "venue_id", "left").withColumn("lifecycle", F.when(F.col("__closed"), "retired").otherwise(F.col("lifecycle"))).drop("__closed")
 
 
 def reusable(facts: DataFrame, attestations: DataFrame, at: Column) -> DataFrame:
