@@ -1,7 +1,7 @@
 """All queries by name, with the SQL that gives the same rows where there is any."""
 
-from . import evaluation_queries, history_queries, lead_queries, place_queries, rule_queries
+from . import crm_queries, evaluation_queries, history_queries, lead_queries, place_queries, rule_queries
 
-MODULES = [lead_queries, history_queries, evaluation_queries, place_queries, rule_queries]
+MODULES = [lead_queries, history_queries, evaluation_queries, place_queries, rule_queries, crm_queries]
 QUERIES = {name: pair[0] for m in MODULES for name, pair in m.QUERIES.items()}
 ORACLE_SQL = {name: pair[1] for m in MODULES for name, pair in m.QUERIES.items() if pair[1]}
