@@ -65,7 +65,7 @@ def freshness(text: Column, year: int, seasonal: Column) -> Column:
 
 def reset_delay_ms(header: Column, now_ms: Column) -> Column:
     """A rate limit's reset as milliseconds from now: delta seconds, an epoch above 1e9, or an HTTP date (DT-04)."""
-    n = F.try_cast(header, "double") if hasattr(F, "try_cast") else header.try_cast("double")
+    n = header.try_cast("double")
     at = F.try_to_timestamp(header, F.lit("EEE, dd MMM yyyy HH:mm:ss z"))
     ms = F.when(n > 1e9, n * 1000 - now_ms).when(n.isNotNull(), n * 1000).otherwise(F.unix_millis(at) - now_ms)
     return F.greatest(ms.cast("long"), F.lit(0))

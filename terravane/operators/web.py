@@ -1,5 +1,8 @@
 """Pages and search results: resources, scores, validation, ranking, queries."""
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -7,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import html as H
 from ..functions.filters import first_true, reasons
-from ..functions.text import has_term, meaningful, token_ratio, words_only
+from ..functions.text import meaningful, token_ratio, words_only
 from ..functions.url import canonical_url, registrable_domain, resolve
 
 # Ranks of roles and of levels of confidence.
@@ -179,15 +182,8 @@ def sites_by_domain(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.groupBy(registrable_domain(F.col(url)).alias("domain")).agg(F.count("*").alias("n_pages"), F.min(url).alias("first_url"))
 
 
-def food_terms(folded: Column, terms: list[str]) -> Column:
-    return has_term(folded, terms)
-
-
 def json_ld(pages: DataFrame, html: str = "html") -> DataFrame:
     """Name, telephone and address of the first restaurant-like JSON-LD object of a page (HTM-04)."""
-    import json
-    import re
-
     kinds = {"Restaurant", "FoodEstablishment", "LocalBusiness", "BarOrPub", "CafeOrCoffeeShop", "Organization"}
 
     def objects(value):

@@ -55,3 +55,35 @@ def test_selection_fills_slots_by_region(spark):
 def test_page_resources(spark):
     rows = QUERIES["page_resources"](spark, SF).collect()
     assert rows and all(r["target"].startswith("http") and r["place"] <= 6 for r in rows)
+
+
+def test_budgets_are_not_overdrawn(spark):
+    granted = {(r["budget"], r["request_id"]): r["granted"] for r in QUERIES["reserved_budgets"](spark, SF).collect()}
+    used = {}
+    for (budget, request), ok in sorted(granted.items()):
+        n = request % 4 + 1
+        scopes = ["all"] + (["even"] if request % 2 == 0 else [])
+        fits = all(used.get((budget, s), 0) + n <= {"all": 300, "even": 100}[s] for s in scopes)
+        assert ok == fits
+        for s in scopes if ok else []:
+            used[budget, s] = used.get((budget, s), 0) + n
+
+
+def test_stages_follow_the_log(spark):
+    from terravane.operators.queue import FINAL, STAGES
+
+    got = {r["venue_id"]: r["stage"] for r in QUERIES["stages_after_steps"](spark, SF).collect()}
+    want = {}
+    for r in spark.read.parquet(f"{SF}/orders.parquet").orderBy("o_orderkey").collect():
+        now, to = want.get(r["o_custkey"], "new"), STAGES[r["o_orderkey"] % 7]
+        automatic = r["o_orderkey"] % 3 != 0
+        if not automatic or now not in FINAL and STAGES.index(to) > STAGES.index(now):
+            now = to
+        want[r["o_custkey"]] = now
+    assert got == want
+
+
+def test_balanced_selection(spark):
+    rows = QUERIES["balanced_selection"](spark, SF).orderBy("n").collect()
+    assert [r["n"] for r in rows] == list(range(1, len(rows) + 1))
+    assert len({(r["town"], r["website"]) for r in rows}) == len(rows)
