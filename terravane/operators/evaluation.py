@@ -104,3 +104,20 @@ def model_shortlist(models: DataFrame, scores: DataFrame, in_tokens: int, out_to
     m = m.join(by_id, "id_slug", "left").join(by_name, "name_slug", "left").withColumn("score", F.coalesce("by_id", "by_name"))
     cost = F.col("price_in") * in_tokens + F.col("price_out") * out_tokens
     return m.where(F.coalesce("score", F.lit(-1.0)) >= least).select("id", "name", "score", cost.alias("cost")).orderBy(F.desc_nulls_last("score"), "cost", "id").limit(n)
+
+
+def fixture_scores(cases: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """Expected against found pairs ``(case_id, value)`` by case, and which cases are exact (EVL-06)."""
+    e = cases.select("case_id", *keys).distinct().withColumn("__e", F.lit(True))
+    f = results.select("case_id", *keys).distinct().withColumn("__f", F.lit(True))
+    j = e.join(f, ["case_id", *keys], "full_outer")
+    hit = F.count_if(F.col("__e").isNotNull() & F.col("__f").isNotNull())
+    counts = j.groupBy("case_id").agg(hit.alias("found"), F.count_if(F.col("__f").isNull()).alias("missed"), F.count_if(F.col("__e").isNull()).alias("extra"))
+    return counts.withColumn("exact", (F.col("missed") == 0) & (F.col("extra") == 0))
+
+
+def run_faults(config: DataFrame) -> DataFrame:
+    """What forbids a run: unpinned inputs, a warm run before its cold one has passed, a budget of nothing (QUE-12)."""
+    warm = F.col("mode") == "warm"
+    rules = [("unpinned_input", F.col("input_sha256").rlike("^[0-9a-f]{64}$")), ("cold_run_not_passed", ~warm | F.coalesce("cold_passed", F.lit(False))), ("no_budget", F.col("max_requests") > 0), ("unknown_mode", F.col("mode").isin("cold", "warm"))]
+    return violations(config, "run_id", rules)

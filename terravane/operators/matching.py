@@ -45,3 +45,46 @@ def strict_lookup(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     joined = rows.join(dimension.withColumn("__known", F.lit(True)), key, "left")
     checked = F.when(F.col("__known").isNull(), F.raise_error(F.concat(F.lit(f"unknown {key}: "), F.col(key).cast("string")))).otherwise(F.col(key))
     return joined.withColumn(key, checked).drop("__known")
+
+
+def candidate_sites(venues: DataFrame, sources: DataFrame, facts: DataFrame) -> DataFrame:
+    """Websites of venues from source records and from active website facts, with where each is from (JN-05, SET-01)."""
+    a = sources.where("url IS NOT NULL").select("venue_id", "url", F.lit("source").alias("origin"))
+    b = facts.where("kind = 'website' AND lifecycle = 'active'").select("venue_id", "url", F.lit("fact").alias("origin"))
+    return venues.select("venue_id").join(a.unionByName(b), "venue_id")
+
+
+def attestation_history(events: DataFrame, attestations: DataFrame, domain: str | None = None) -> DataFrame:
+    """A venue's attestation events in order, of one domain if given (JN-07)."""
+    chosen = attestations if domain is None else attestations.where(F.col("publisher_domain") == domain)
+    return events.join(chosen.select("attestation_id", "venue_id", "publisher_domain"), "attestation_id").orderBy("venue_id", "event_id")
+
+
+def joined_entries(fixtures: DataFrame, reviews: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Entries of fixtures that are reviewed, with their prediction or ``no_prediction`` (JN-15)."""
+    j = fixtures.join(reviews, "venue_id").join(predictions, "venue_id", "left")
+    return j.withColumn("outcome", F.coalesce("outcome", F.lit("no_prediction")))
+
+
+def attempts_with_decisions(attempts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Crawl attempts with the decision on the address that was asked for; those without stay (JN-18)."""
+    return attempts.join(decisions, ["venue_id", "requested_url"], "left")
+
+
+def queued_candidates(jobs: DataFrame, venues: DataFrame, places: list[str] | None = None) -> DataFrame:
+    """Venues with a queued job, of some places if given (JN-13, JN-21)."""
+    chosen = venues if places is None else venues.where(F.col("place").isin(places))
+    return chosen.join(jobs.where("status = 'queued'").select("venue_id", "job_id", "priority"), "venue_id")
+
+
+def concatenated(*sources: DataFrame) -> DataFrame:
+    """Sources one after the other; columns that one lacks are null (SET-02)."""
+    out = sources[0]
+    for s in sources[1:]:
+        out = out.unionByName(s, allowMissingColumns=True)
+    return out
+
+
+def in_both(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys that two cohorts share; none if they are disjoint (SET-04)."""
+    return a.select(key).intersect(b.select(key))
