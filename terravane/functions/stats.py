@@ -66,6 +66,7 @@ def freshness(text: Column, year: int, seasonal: Column) -> Column:
 def reset_delay_ms(header: Column, now_ms: Column) -> Column:
     """A rate limit's reset as milliseconds from now: delta seconds, an epoch above 1e9, or an HTTP date (DT-04)."""
     n = header.try_cast("double")
-    at = F.try_to_timestamp(header, F.lit("EEE, dd MMM yyyy HH:mm:ss z"))
+    day = F.regexp_extract(header, r"(\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}) GMT", 1)
+    at = F.try_to_timestamp(F.concat(day, F.lit(" +0000")), F.lit("d MMM yyyy HH:mm:ss xx"))
     ms = F.when(n > 1e9, n * 1000 - now_ms).when(n.isNotNull(), n * 1000).otherwise(F.unix_millis(at) - now_ms)
-    return F.greatest(ms.cast("long"), F.lit(0))
+    return F.when(ms < 0, 0).otherwise(ms.cast("long"))
