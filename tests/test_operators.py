@@ -227,3 +227,16 @@ def test_due_and_reasons(spark):
     rows = spark.createDataFrame([(d,) for d in days], "d string").withColumn("d", F.col("d").cast("date"))
     assert [r.b for r in rows.select(filters.due_bucket(F.col("d"), today).alias("b")).collect()] == ["overdue", "today", "week", "later", "none"]
     assert [r.b for r in rows.select(filters.due("week", F.col("d"), today, F.lit(True)).alias("b")).collect()] == [True, True, True, False, False]
+
+
+def test_circuit_stream_keeps_state_across_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "provider long, event_id long, failed boolean"
+    for n, rows in enumerate(([(1, 1, True), (2, 2, True), (1, 3, True)], [(1, 4, True), (2, 5, False)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out = []
+    q = jobs.circuits(stream, 3).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(lambda b, i: out.extend(b.collect())).start()
+    q.awaitTermination(180)
+    last = {r.provider: (r.failures, r.open) for r in out}
+    assert last == {1: (3, True), 2: (0, False)}
