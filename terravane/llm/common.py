@@ -1,6 +1,5 @@
 """Helpers that the operators of this subpackage share."""
 
-import re
 import tempfile
 import uuid
 
@@ -47,7 +46,3 @@ def crc32_of(column: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def word_pattern() -> "re.Pattern[bytes]":
-    return re.compile(WORD.encode())
