@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 def self_excluding_facets(rows: DataFrame, filters: dict[str, Column], domain: DataFrame | None = None, view: Column | None = None) -> DataFrame:
     """``facet, code, total, in_view`` for each facet column of ``filters``, rows that pass all other filters (AGG-01).
 
-    One scan: each row becomes one row a facet whose other filters it passes, and is counted map-side. With
-    ``domain(facet, code)`` codes that nothing has are counted zero. ``view`` restricts ``in_view``.
+    One scan: each row becomes one row a facet, which counts if the row passes the other facets' filters, and is
+    counted map-side; so codes of which no row counts are there with zero. With ``domain(facet, code)`` the codes
+    are those of it, whether any row has them or not. ``view`` restricts ``in_view``.
     """
     view = F.lit(True) if view is None else view
     entries = []
     for facet in filters:
         others = [c for name, c in filters.items() if name != facet]
         passes = reduce(lambda a, b: a & b, others, F.lit(True))
-        entries.append(F.when(passes, F.struct(F.lit(facet).alias("facet"), F.col(facet).cast("string").alias("code"))))
-    exploded = rows.select(view.alias("seen"), F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*", "seen")
-    counted = exploded.groupBy("facet", "code").agg(F.count("*").alias("total"), F.count_if("seen").alias("in_view"))
+        entries.append(F.struct(F.lit(facet).alias("facet"), F.col(facet).cast("string").alias("code"), passes.alias("passes")))
+    exploded = rows.select(view.alias("seen"), F.explode(F.array(*entries)).alias("e")).select("e.*", "seen")
+    counted = exploded.groupBy("facet", "code").agg(F.count_if("passes").alias("total"), F.count_if(F.col("passes") & F.col("seen")).alias("in_view"))
     if domain is None:
         return counted
     return domain.join(counted, ["facet", "code"], "left").fillna(0, ["total", "in_view"])
