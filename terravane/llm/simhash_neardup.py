@@ -200,45 +200,55 @@ def most_differing(similarity: float) -> int:
     return int(64 * WIDE * p + 0.5 * np.sqrt(64 * WIDE * p * (1 - p)))
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id``, and ``first``, the smallest id of its group, over documents that are equal or about as similar as asked.
 
-    Texts with the same words are one class. Classes that share a key are compared with two of the key's classes in
-    each round, not all with all; later rounds compare only across groups that are still apart, with other classes
-    as the ones to compare with, until a round finds no link. A comparison estimates the similarity of the shingle sets
-    from wide fingerprints of 512 bits. Null texts count as empty; texts without words are a group. Ids are longs; a
-    null id stands before all others.
+    Texts with the same words are one class. Classes that share a key are compared unless they are of one group
+    already, see ``_groups``. A comparison estimates the similarity of the shingle sets from wide fingerprints of 512
+    bits. Null texts count as empty; texts without words are a group. Ids are longs; a null id stands before all others.
     """
     described = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"), _near_udf(words)(F.col(text_col)).alias("near"))
     rows = cut(described.select("id", "near.*"))
     classes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.max("wide").alias("wide"), F.max("keys").alias("keys")))
     shared = classes.select("node", F.explode("keys").alias("key"))
     crowded = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = cut(shared.join(crowded, "key"))
-    labels, links, n_links = shared.select("node").distinct().withColumn("label", F.col("node")), None, 0
-    for turn in range(rounds):
-        found = _compare(shared, labels, classes, turn, most_differing(similarity))
-        links = cut(found if links is None else links.unionByName(found).distinct())
-        n_now = links.count()
-        if n_now == n_links:
-            break
-        n_links = n_now
-        known = connected_components(links)
-        labels = cut(shared.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    labels = _groups(cut(shared.join(crowded, "key").select("key", "node")), lambda pairs: _alike(pairs, classes, most_differing(similarity)))
     grouped = classes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = grouped.groupBy("label").agg(F.min("first").alias("group_first"))
     return rows.select("id", "node").join(grouped.join(first, "label").select("node", "group_first"), "node").select("id", F.col("group_first").alias("first"))
 
 
-def _compare(shared: DataFrame, labels: DataFrame, classes: DataFrame, turn: int, bits: int) -> DataFrame:
-    """Links between classes of different groups: each class of a key against two that a hash picks, of two groups."""
-    labelled = shared.join(labels, "node").withColumn("rank", F.xxhash64("node", F.lit(turn)))
-    picked = labelled.groupBy("key").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("rank", "node", "label")).alias("one"), F.max(F.struct("rank", "node", "label")).alias("two")
-    )
-    both = labelled.join(picked.where("low < high"), "key")
-    other = F.explode(F.array("one", "two"))
-    pairs = both.select("node", "label", other.alias("hub")).where("hub.label <> label").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+def _groups(shared: DataFrame, alike) -> DataFrame:
+    """``shared(key, node)`` to ``(node, label)`` of all linked nodes; ``alike`` keeps those pairs ``(a, b)`` that are links.
+
+    The groups are those of comparing every two nodes of each key. In a round some nodes of a key are compared with
+    all its nodes of other groups and leave the key; one in the first round, twice as many in each further one. A key
+    is done when its nodes are of one group, and the loop ends when all keys are: two nodes of a key are then of one
+    group, or were compared. A pair is compared once, however many keys it shares.
+    """
+    links = tried = None
+    labels, left, hubs = shared.select("node").distinct().withColumn("label", F.col("node")), shared, 1
+    while True:
+        labelled = left.join(labels, "node").withColumn("rank", F.xxhash64("node"))
+        bounds = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        # One order for all keys: keys of the same nodes then have the same hubs, and their pairs fall together.
+        turn = F.row_number().over(W.partitionBy("key").orderBy("rank", "node"))
+        left = cut(labelled.join(bounds, "key").select("key", "node", "label", (turn <= hubs).alias("hub")))
+        if left.isEmpty():
+            return labels
+        one = left.where("hub").select("key", F.col("node").alias("one"), F.col("label").alias("of"))
+        pairs = left.join(one, "key").where("label <> of").select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = alike(pairs)
+        links = cut(found if links is None else links.unionByName(found))
+        known = connected_components(links)
+        labels = cut(shared.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+        left, hubs = left.where("not hub").select("key", "node"), 2 * hubs
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
+    """The pairs whose wide fingerprints differ in ``bits`` bits or fewer."""
     wide = classes.select("node", "wide")
     pairs = pairs.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("wide_a")), "a").join(wide.select(F.col("node").alias("b"), F.col("wide").alias("wide_b")), "b")
     differing = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
