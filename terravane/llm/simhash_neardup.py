@@ -16,7 +16,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import golay
 from .common import cut, raw
@@ -26,10 +25,10 @@ SEED = 42
 CUTS = ((0, 21), (21, 21), (42, 22))
 MOST_BITS = 4
 BLOCK = 1 << 15
-#: Each section of a document holds four to eight shingles; so many of its sections serve as keys.
-SECTION, SECTIONS = 4, 16
-#: Bits of the fingerprint that verifies near copies.
-WIDE = 8
+#: One text in so many is counted, and so many of the most frequent shingles are known, for the order of keys.
+SAMPLE, COMMON = 16, 1 << 17
+#: Products of a similarity and a count are whole numbers if they are so near to one.
+EPSILON = 1e-9
 LOWEST = -(1 << 63)
 
 
@@ -146,73 +145,94 @@ def hex16(column: Column) -> Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
-# Near copies by similarity. Four bits hold only the closest copies, so for a similarity of shingle sets the same
-# hashing is applied to parts: shingles are dealt into sections by their hash, so that two documents that share most
-# shingles have some sections that are equal or nearly so. Golay codewords of a section's fingerprint are its key.
+# Near copies by similarity. Four bits hold only the closest copies, so for a similarity of shingle sets the sets
+# themselves decide. All shingles have one order, those that are frequent in a sample last. Two sets of n shingles or
+# more that are similar by t share at least t * n of them, so they share one of the first n - ceil(t * n) + 1 of each:
+# these are the keys. The sample changes only the order, so how many rows a key has, and never what is found.
 
-NEAR = StructType([StructField("node", LongType()), StructField("wide", ArrayType(LongType())), StructField("keys", ArrayType(LongType()))])
 
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The keys of a set of shingle hashes; ``common`` are the frequent ones in ascending order, with their counts."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    weight = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        weight = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, weight))[: n - int(np.ceil(similarity * n - EPSILON)) + 1]]
 
-def _spread(hashes: np.ndarray, seed: int) -> np.ndarray:
-    x = (hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
 
+def _described(docs: DataFrame, columns: str, describe) -> DataFrame:
+    """``docs(id, text)`` with a row for each that ``describe`` makes of its text's node and set of shingle hashes."""
 
-def section_keys(hashes: np.ndarray) -> list[int]:
-    """Keys of the first sections of a set of shingle hashes; a set near a change of the number of sections has both kinds."""
-    n = len(hashes)
-    if not n:
-        return []
-    order, keys = _spread(hashes, 99), []
-    for level in sorted({max(0, int(np.log2(x * n / SECTION))) if x * n >= SECTION else 0 for x in (1.0, 1.25)}):
-        of = (order >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(n, np.int64)
-        for section in range(min(1 << level, SECTIONS)):
-            part = hashes[of == section]
-            if len(part):
-                print_ = majority(part) & 0xFFFFFFFFFFFFFFFF
-                a, b = golay.nearest(np.array([print_ & 0x7FFFFF, (print_ >> 23) & 0x7FFFFF])).tolist()
-                keys.append((level << 32) | (section << 24) | (a << 12) | b)
-    return keys
+    def rows(batches):
+        for batch in batches:
+            yield from describe(batch.column(0), raw(batch.column(1)))
 
+    return docs.mapInArrow(rows, columns)
+
+
+def node_of(text: bytes | None) -> int:
+    """A signed 64-bit number that texts with the same words share."""
+    return xxhash.xxh3_64_intdigest(b" ".join(text.lower().split() if text else [])) - (1 << 63)
 
-@lru_cache
-def _near_udf(words: int):
-    @F.arrow_udf(NEAR)
-    def describe(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in raw(texts):
-            parts = text.lower().split() if text else []
-            hashes = np.unique(shingle_hashes(text, words))
-            out.append({
-                "node": xxhash.xxh3_64_intdigest(b" ".join(parts)) - (1 << 63),
-                "wide": [majority(_spread(hashes, k)) for k in range(WIDE)],
-                "keys": section_keys(hashes),
-            })
-        return pa.array(out, pa.struct([("node", pa.int64()), ("wide", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))]))
 
-    return describe
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most texts of a sample of ``docs(id, text)`` hold, ascending, and how many hold them."""
 
+    def describe(ids: pa.Array, texts: list):
+        for at in range(0, len(texts), 64):
+            every = np.concatenate([np.unique(shingle_hashes(t, words)) for t in texts[at : at + 64]])
+            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], names=["hash"])
 
-def most_differing(similarity: float) -> int:
-    """Bits of the wide fingerprint in which two sets of that similarity differ on average, and half a standard deviation."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(64 * WIDE * p + 0.5 * np.sqrt(64 * WIDE * p * (1 - p)))
+    sampled = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    counted = _described(sampled, "hash long", describe).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    found = counted.orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
+    hashes = found["hash"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found["n"].to_numpy().astype(np.int64)[order]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
+
+
+def _with_sets(docs: DataFrame, words: int, name: str, chosen) -> DataFrame:
+    """``id``, ``node`` and under ``name`` what ``chosen`` takes of the set of shingle hashes, for ``docs(id, text)``."""
+
+    def describe(ids: pa.Array, texts: list):
+        for at in range(0, len(texts), 256):
+            part = texts[at : at + 256]
+            nodes = pa.array([node_of(t) for t in part], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), nodes, _lists([chosen(np.unique(shingle_hashes(t, words))) for t in part])], names=["id", "node", name])
+
+    return _described(docs, f"id long, node long, {name} array<long>", describe)
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``id``, and ``first``, the smallest id of its group, over documents that are equal or about as similar as asked.
+    """``id``, and ``first``, the smallest id of its group, over documents that are equal or as similar as asked.
 
-    Texts with the same words are one class. Classes that share a key are compared unless they are of one group
-    already, see ``_groups``. A comparison estimates the similarity of the shingle sets from wide fingerprints of 512
-    bits. Null texts count as empty; texts without words are a group. Ids are longs; a null id stands before all others.
+    Texts with the same words are one class. Classes whose shingle sets have a Jaccard similarity of ``similarity``
+    or more are linked, and groups are the connected components: classes that share a key are compared unless they
+    are of one group already, see ``_groups``, by their whole sets, which are made again from the texts. Null texts
+    count as empty; texts without words are a group. Ids are longs; a null id stands before all others.
     """
-    described = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"), _near_udf(words)(F.col(text_col)).alias("near"))
-    rows = cut(described.select("id", "near.*"))
-    classes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.max("wide").alias("wide"), F.max("keys").alias("keys")))
+    if not 0 < similarity <= 1:
+        raise ValueError("the similarity must be above 0 and at most 1")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"), F.col(text_col).alias("text"))
+    common, counts = common_shingles(texts, words)
+    rows = cut(_with_sets(texts, words, "keys", lambda hashes: prefix(hashes, similarity, common, counts)))
+    classes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.max("keys").alias("keys")))
     shared = classes.select("node", F.explode("keys").alias("key"))
-    crowded = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    labels = _groups(cut(shared.join(crowded, "key").select("key", "node")), lambda pairs: _alike(pairs, classes, most_differing(similarity)))
+    crowded = F.count("*").over(W.partitionBy("key")) > 1
+    shared = cut(shared.withColumn("crowded", crowded).where("crowded").select("key", "node"))
+    asked = classes.select("node", "first").join(shared.select("node").distinct(), "node")
+    # An id may have several texts: those of other classes are dropped again. The sets themselves are not shuffled.
+    read = texts.join(asked.select(F.col("first").alias("id"), F.col("node").alias("asked")).hint("shuffle_hash"), "id").select(F.col("asked").alias("id"), "text")
+    sets = cut(_with_sets(read, words, "hashes", lambda hashes: hashes).where("id = node").select("node", F.size("hashes").alias("n"), "hashes"))
+    labels = _groups(shared, lambda pairs: _alike(pairs, classes, sets, similarity))
     grouped = classes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = grouped.groupBy("label").agg(F.min("first").alias("group_first"))
     return rows.select("id", "node").join(grouped.join(first, "label").select("node", "group_first"), "node").select("id", F.col("group_first").alias("first"))
@@ -247,12 +267,22 @@ def _groups(shared: DataFrame, alike) -> DataFrame:
         left, hubs = left.where("not hub").select("key", "node"), 2 * hubs
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
-    """The pairs whose wide fingerprints differ in ``bits`` bits or fewer."""
-    wide = classes.select("node", "wide")
-    pairs = pairs.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("wide_a")), "a").join(wide.select(F.col("node").alias("b"), F.col("wide").alias("wide_b")), "b")
-    differing = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return pairs.where(differing <= bits).select("a", "b")
+def _alike(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    First by what the keys and sizes allow: of the set whose keys end first in the order, what follows its keys can
+    be in the other set at most whole, and before that the sets share only common keys. The rest by the sets.
+    """
+    sizes, keys = sets.select("node", "n").distinct(), classes.select("node", "keys")
+    sized = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
+    fits = sized.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - EPSILON)
+    keyed = fits.join(keys.toDF("a", "keys_a"), "a").join(keys.toDF("b", "keys_b"), "b")
+    most = F.size(F.array_intersect("keys_a", "keys_b")) + F.greatest(F.col("n_a") - F.size("keys_a"), F.col("n_b") - F.size("keys_b"))
+    able = cut(keyed.where(most * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - EPSILON).select("a", "b", "n_a", "n_b"))
+    hashes = sets.select("node", "hashes")
+    whole = able.join(hashes.toDF("a", "set_a"), "a").join(hashes.toDF("b", "set_b"), "b")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return whole.where(both >= similarity * (F.col("n_a") + F.col("n_b") - both) - EPSILON).select("a", "b")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

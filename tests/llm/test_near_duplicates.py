@@ -27,3 +27,46 @@ def test_crowded_key_is_compared_whole(spark):
     for r in labels:
         found.setdefault(r["label"], set()).add(r["node"])
     assert {frozenset(g) for g in found.values()} == joined(nodes, links)
+
+
+def sliding(rng, n, kept):
+    """Two texts of n five-word shingles each, that share ``kept`` of them: the last words of the second are others."""
+    words = [f"x{rng.getrandbits(40)}" for _ in range(n + 4)]
+    return " ".join(words), " ".join(words[: kept + 4] + [f"y{rng.getrandbits(40)}" for _ in range(n - kept)])
+
+
+def test_pairs_about_the_similarity_at_all_sizes(spark):
+    rng, docs, want = random.Random(6), [], {}
+    for n in (1, 4, 5, 8, 9, 10, 12, 16, 25, 50, 120, 500):
+        for kept in range(n):
+            exact = kept / (2 * n - kept)
+            if 0.7 <= exact <= 0.9 and (n < 100 or kept % (n // 40) == 0):
+                for text in sliding(rng, n, kept):
+                    docs.append((len(docs), text))
+                want[len(docs) - 1] = len(docs) - 2 if exact >= 0.8 else len(docs) - 1
+    # 4 of 5 and 8 of 10 shingles, the one set within the other: a similarity of just 0.8, whatever the rounding.
+    for n in (5, 10, 15, 35, 400):
+        text, _ = sliding(rng, n, n)
+        docs += [(len(docs), text), (len(docs) + 1, " ".join(text.split()[: n * 4 // 5 + 4]))]
+        want[len(docs) - 1] = len(docs) - 2
+    assert 12 < sum(i != first for i, first in want.items()) < len(want) - 12
+    found = {r["id"]: r["first"] for r in simhash_neardup.near_duplicate_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: found[i] for i in want} == want
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    rng, docs = random.Random(7), []
+    words, passage = [f"w{i}" for i in range(300)], [f"p{i}" for i in range(60)]
+    for g in range(25):
+        base = rng.choices(words, k=rng.randrange(3, 80)) + passage * (g % 2)
+        for c in range(rng.randrange(1, 9)):
+            text = base[: len(base) - rng.randrange(len(base) // 6 + 1)]
+            for _ in range(c * len(base) // 120):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            docs.append((len(docs), " ".join(text)))
+    sets = {i: set(zip(*[t.split()[k:] for k in range(5)])) or {t} for i, t in docs}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    found = {}
+    for r in simhash_neardup.near_duplicate_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        found.setdefault(r["first"], set()).add(r["id"])
+    assert {frozenset(g) for g in found.values()} == joined(list(sets), links)
