@@ -1,5 +1,7 @@
 """Helpers that the operators of this subpackage share."""
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,22 +14,57 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one of this machine only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Only where both are unset and the executors are threads of this process, a temporary folder of this machine; on
+    a cluster that is an error, as executors would write where neither the driver nor each other can read.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-terravane-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+#: Folders with written tables of the sessions of this process, deleted when it ends.
+_folders: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _delete_folders() -> None:
+    for path, spark in _folders.items():
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the JVM may be gone by now
+            pass
+
+
+atexit.register(_delete_folders)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a short lineage that survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/terravane-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/terravane-{spark.sparkContext.applicationId}"
+    _folders[folder] = spark
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._cut_path = path
+    return written
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written, once nothing reads them any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._cut_path)
 
 
 def raw(texts: pa.Array) -> list:

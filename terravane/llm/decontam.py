@@ -1,144 +1,176 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-A window of an item is contained in a document only if each of its words is, so the prefix that must match is a
-single word: the rarest, by its count over all documents. Documents are searched for these words alone. Where one
-stands, length and position bounds drop windows that would pass the document's ends, and the rest are compared
-word by word. The items go to the executors in blocks of bounded size; the documents are never shuffled.
+The items are cut into windows of words, and a window into shingles of three words. A window stands in a document
+only if each of its shingles does, so one of them must match: the rarest, by its count over all documents. These
+are the prefix tokens. Where a document holds one, the words around it are joined with the windows that have it;
+length and position bounds drop windows that would pass the document's ends, and the others are compared word by word.
+The documents are read twice, whatever the number of items, and only the words around prefix tokens are shuffled. A
+bitmap of bounded size keeps most other tokens out of the shuffle; where it fills up, more rows are joined, and none
+is lost.
 """
 
-from collections import Counter, defaultdict
-
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from .common import raw, sha_hex
+from .common import cut, raw, sha_hex
+from .substring import chunks, hashed_words, run_hashes
 
 #: ASCII letters and digits and all that isn't ASCII make words; the rest turns into spaces.
 KEEP = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256)).lower()
-WINDOW = 10
-BLOCK_BYTES = 8_000_000
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.translate(KEEP).split() if text else []
-
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WINDOW, SHINGLE = 10, 3
+#: Bits of the bitmap to a token, and at most.
+BITS_A_TOKEN, LEAST_BITS, MOST_BITS = 16, 16, 27
+SALTS = 8
+
+
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    return run_hashes(words, size) ^ np.uint64(size)
+
+
+def windows_of(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """The different windows of the items: their text, size in words, and the sorted ids of the items that have it."""
+    words = F.regexp_extract_all(F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(ITEM_WORD), F.lit(0))
+    rows = items.select(F.col(id_col).cast("string").alias("item"), words.alias("w")).where("item IS NOT NULL AND size(w) > 0")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
+    cuts = rows.select("item", F.explode(F.transform(starts, lambda p: F.slice("w", p, window))).alias("w"))
+    return cuts.groupBy(F.array_join("w", " ").alias("window"), F.size("w").alias("size")).agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _window_shingles(windows: pa.Array) -> pa.Array:
+    """The hashes of a window's shingles, in order; of all its words if there are fewer."""
+    out = []
+    for text in raw(windows):
+        words, _ = hashed_words([text])
+        out.append(shingle_hashes(words, min(SHINGLE, len(words))).view(np.int64).tolist())
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def bitmap(tokens: DataFrame) -> tuple[int, np.ndarray]:
+    """``tokens(hash)`` as a bitmap over the leading bits of the hash. Its size is bounded, whatever the tokens."""
+    n = tokens.count()
+    bits = min(max((BITS_A_TOKEN * n).bit_length(), LEAST_BITS), MOST_BITS)
+    cell = F.shiftrightunsigned("hash", 64 - bits)
+    words = tokens.groupBy(F.shiftright(cell, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(hash, {64 - bits}) & 63 AS INT))")).alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["at"].to_numpy()] = words["set"].to_numpy().view(np.uint64)
+    return bits, out
+
+
+def _held(hashes: np.ndarray, bits: int, words: np.ndarray) -> np.ndarray:
+    cells = hashes >> np.uint64(64 - bits)
+    return (words[(cells >> np.uint64(6)).astype(np.int64)] >> (cells & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _places(texts: list[bytes], sizes: list[int], known: tuple[int, np.ndarray]):
+    """For each shingle size: the texts and places of shingles that the bitmap holds, and their hashes; then the words of each text."""
+    words, owner = hashed_words(texts)
+    first = np.searchsorted(owner, np.arange(len(texts)))
+    found = []
+    for size in sizes:
+        hashes = shingle_hashes(words, size)
+        inside = owner[: len(hashes)] == owner[size - 1 : size - 1 + len(hashes)]
+        at = np.flatnonzero(inside & _held(hashes, *known))
+        found.append((owner[at], at - first[owner[at]], hashes[at]))
+    return found, np.bincount(owner, minlength=len(texts))
+
+
+def _counter(sent):
+    def count(batches):
+        sizes, known = sent.value
+        for batch in batches:
+            for _, texts in chunks([(t or b"").translate(KEEP) for t in raw(batch.column(0))]):
+                found, _ = _places(texts, sizes, known)
+                hashes, n = np.unique(np.concatenate([np.empty(0, np.uint64), *[h for _, _, h in found]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
-def item_windows(text: bytes | None, window: int = WINDOW) -> list[tuple[bytes, ...]]:
-    words = words_of(text)
-    return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))] if words else []
+    return count
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """The items in blocks of about ``block_bytes``; only one block is on the driver at a time."""
-    items = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
-    for k in range(n):
-        yield [(r["id"], r["text"].encode()) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).collect()]
+PLACE = "array<struct<hash: bigint, at: int, lead: int, near: array<string>>>"
+PLACE_ARROW = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("near", pa.list_(pa.string()))]))
 
 
-def word_counts(docs: DataFrame, text_col: str, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """How often each word of the vocabulary occurs in all documents; at most one row a word reaches the driver."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _searcher(sent, window: int):
+    """Rows of key, tag, text to key, tag, n_words and the prefix tokens that stand in the text, with the words around."""
 
-    def count(batches):
-        known, found = sent.value, Counter()
+    def search(batches):
+        sizes, known = sent.value
         for batch in batches:
-            for text in raw(batch.column(0)):
-                found.update([w for w in words_of(text) if w in known])
-        yield pa.RecordBatch.from_pydict({"word": list(found), "n": list(found.values())}, schema=pa.schema([("word", pa.binary()), ("n", pa.int64())]))
-
-    rows = docs.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {bytes(r["word"]): r["n"] for r in rows}
-
-
-def prefix_index(block: list[tuple[str, bytes]], counts: dict[bytes, int], window: int) -> dict:
-    """Rarest word to its windows: (place of the word, words, items)."""
-    owners = defaultdict(set)
-    for item, text in block:
-        for w in item_windows(text, window):
-            owners[w].add(item)
-    index = defaultdict(list)
-    for w, items in owners.items():
-        at = min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
-        index[w[at]].append((at, list(w), sorted(items)))
-    return dict(index)
-
-
-def find(words: list[bytes], index: dict) -> tuple[list[tuple[int, int]], list[str]]:
-    """Disjoint ranges of covered words, and the items found."""
-    ranges, found = [], set()
-    for i, word in enumerate(words):
-        if word in index:
-            for at, window, items in index[word]:
-                start, end = i - at, i - at + len(window)
-                if start >= 0 and end <= len(words) and words[start:end] == window:
-                    ranges.append((start, end))
-                    found.update(items)
-    merged: list[list[int]] = []
-    for a, b in sorted(ranges):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    return [(a, b) for a, b in merged], sorted(found)
-
-
-FOUND = "struct<n_words: bigint, ranges: array<struct<a: int, b: int>>, items: array<string>>"
-FOUND_ARROW = pa.struct([("n_words", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.string()))])
-
-
-def _finder(sent):
-    @F.arrow_udf(FOUND)
-    def finder(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in raw(texts):
-            words = words_of(text)
-            ranges, items = find(words, sent.value)
-            out.append({"n_words": len(words), "ranges": [{"a": a, "b": b} for a, b in ranges], "items": items})
-        return pa.array(out, FOUND_ARROW)
-
-    return finder
-
-
-def contamination(
-    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, out: str = "found"
-) -> DataFrame:
-    """``docs`` with a struct column ``out``: n_words, the disjoint word ranges covered by item windows, the items.
+            every = raw(batch.column(2))
+            for begin, texts in chunks([(t or b"").translate(KEEP) for t in every]):
+                found, n_words = _places(texts, sizes, known)
+                places: list[list] = [[] for _ in texts]
+                for owners, at, hashes in found:
+                    for text, p, h in zip(owners.tolist(), at.tolist(), hashes.view(np.int64).tolist()):
+                        places[text].append((p, h))
+                out = []
+                for text, held in zip(texts, places):
+                    words = text.decode().split(" ") if held else []
+                    words = [w for w in words if w]
+                    out.append([{"hash": h, "at": p, "lead": min(p, window - 1), "near": words[max(0, p - window + 1) : p + window]} for p, h in held])
+                n = len(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), batch.column(1).slice(begin, n), pa.array(n_words.astype(np.int64)), pa.array(out, PLACE_ARROW)], names=["key", "tag", "n_words", "places"])
+
+    return search
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row a document: id, n_words, n_hit (words inside item windows), ranges of those (start, end), items found.
 
     Null and empty texts have no words and no finds; items without words or with a null id have no windows; items
-    with the same id count once. An empty table on either side gives no finds. A column called ``out`` is replaced.
+    with the same id count once. Repeated rows stay, null ids too. An empty table of items gives no finds, one of
+    documents no rows. Columns other than those named are not read.
     """
-    spark, parts = docs.sparkSession, []
-    for block in item_blocks(items, item_id, item_text, block_bytes):
-        vocabulary = {w for _, text in block for w in words_of(text)}
-        counts = word_counts(docs, text_col, vocabulary) if vocabulary else {}
-        parts.append(_finder(spark.sparkContext.broadcast(prefix_index(block, counts, window)))(F.col(text_col)))
-    if len(parts) == 1:
-        return docs.withColumn(out, parts[0])
-    names = [f"__found_{k}" for k in range(len(parts))]
-    docs = docs.withColumns(dict(zip(names, parts)))
-    ranges = F.array_sort(F.flatten(F.array(*[F.col(f"{n}.ranges") for n in names])))
-    merged = F.aggregate(ranges, F.array().cast("array<struct<a: int, b: int>>"), _merge)
-    every = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{n}.items") for n in names]))))
-    return docs.withColumn(out, F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), merged.alias("ranges"), every.alias("items"))).drop(*names)
-
-
-def _merge(done, x):
-    last = F.element_at(done, -1)
-    joined = F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b")))
-    return F.when((F.size(done) > 0) & (x["a"] <= F.try_element_at(done, F.lit(-1))["b"]), F.concat(F.slice(done, 1, F.size(done) - 1), joined)).otherwise(F.concat(done, F.array(x)))
-
-
-def n_hit(found):
-    return F.aggregate(found["ranges"], F.lit(0).cast("long"), lambda n, r: n + (r["b"] - r["a"]))
-
-
-def items_digest(found):
-    return sha_hex(F.array_join(F.array_sort(found["items"]), ","))
-
-
-def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents in which no item window occurs, their columns as they were."""
-    return contamination(docs, items, text_col, out="__found").where(F.size("__found.ranges") == 0).drop("__found")
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("key"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
+    windows = cut(windows_of(items, item_id, item_text, window).withColumn("shingles", _window_shingles(F.col("window"))))
+    shingles = windows.select("window", F.posexplode("shingles").alias("offset", "hash"))
+    sizes = [r["k"] for r in windows.select(F.least("size", F.lit(SHINGLE)).alias("k")).distinct().orderBy("k").collect()]
+    known = bitmap(shingles.select("hash").distinct())
+    counts = rows.select("text").mapInArrow(_counter(spark.sparkContext.broadcast((sizes, known))), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    rarest = shingles.join(counts, "hash", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("hash"), F.col("offset"))).alias("token"))
+    prefixes = cut(windows.join(rarest, "window").select("token.hash", "token.offset", "window", "size", "items"))
+    known = bitmap(prefixes.select("hash").distinct())
+    searched = cut(rows.mapInArrow(_searcher(spark.sparkContext.broadcast((sizes, known)), window), f"key {dict(rows.dtypes)['key']}, tag long, n_words long, places {PLACE}"))
+    # A token that a third of all documents hold is dealt over several tasks.
+    salt = F.pmod(F.col("tag"), F.lit(SALTS)).cast("int")
+    asked = searched.select("key", "tag", salt.alias("salt"), F.inline("places"))
+    salted = prefixes.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])))
+    start = F.col("lead") - F.col("offset")
+    fits = (start >= 0) & (start + F.col("size") <= F.size("near"))
+    same = F.array_join(F.slice("near", F.greatest(start, F.lit(0)) + 1, F.col("size")), " ") == F.col("window")
+    begin = F.col("at") - F.col("offset")
+    hits = asked.join(salted, ["hash", "salt"]).where(fits & same).select("key", "tag", F.struct(begin.alias("start"), (begin + F.col("size")).alias("end")).alias("range"), "items")
+    found = hits.groupBy(F.col("key").alias("of"), F.col("tag").alias("t")).agg(F.sort_array(F.collect_set("range")).alias("ranges"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    joined = searched.select("key", "tag", "n_words").join(found, F.col("key").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("t")), "left")
+    ranges = F.coalesce("ranges", F.array().cast("array<struct<start: int, end: int>>"))
+    return joined.select(F.col("key").alias(id_col), "tag", "n_words", covered(ranges).alias("n_hit"), ranges.alias("ranges"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def covered(ranges: Column) -> Column:
+    """How many places sorted ranges cover."""
+    none = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def step(acc, r):
+        return F.struct(F.greatest(acc["end"], r["end"]).alias("end"), (acc["n"] + F.greatest(r["end"] - F.greatest(acc["end"], r["start"]), F.lit(0))).alias("n"))
+
+    return F.aggregate(ranges, none, step, lambda acc: acc["n"])
+
+
+def items_digest(items: Column) -> Column:
+    return sha_hex(F.array_join(items, ","))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents in which no item window occurs, their columns as they were.
+
+    Nulls, repeats and empty tables are treated as in ``contamination``; rows with a null or repeated id are told
+    apart by their texts.
+    """
+    found = contamination(docs, items, id_col, text_col).where("n_hit > 0").select(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__tag")), "left_anti")

@@ -1,10 +1,12 @@
 """Main text of web pages by composite text density.
 
 Each page becomes a small DOM tree. For every node the characters per tag are computed and lowered by its share of
-link text; the densities of a node's children are summed; the node with the largest sum is the core of the article.
-The least density on the path from the body to that node is the threshold: of the nodes beside the path, those that
-reach it belong to the article too. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
-and styles are cut from the tree beforehand, by their elements, roles and class names.
+link text; the densities of a node's children are summed; the node with the largest sum is the core. The least
+density on the path from the body to the core is the threshold. If the core lies in an ``article`` (else a ``main``),
+that element and the articles beside it are the text; otherwise the core and every subtree beside the path to it
+whose density reaches the threshold. Menus, headers, footers, sidebars, forms, scripts and styles are cut beforehand
+by element and role; notices, adverts and reader comments by class names, if all words of a name speak for it. What
+holds an article, or a form that holds most of a page's text, is never cut. Within the text, lists of bare links go.
 """
 
 import html
@@ -31,19 +33,31 @@ CLOSES_P = BLOCKS - set("html body td th tr tbody thead tfoot li dd dt option ca
 #: An element that opens closes an open one of these, unless a barrier stands between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 BARRIERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
-CUT = set("head script style noscript template iframe object svg canvas math nav aside footer form button select textarea input dialog menu title audio video noembed noframes".split())
+CUT = set("head script style noscript template iframe object svg canvas math nav aside footer select textarea input dialog menu title audio video noembed noframes".split())
 ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-NAMES = set(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs"
-    " footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments"
-    " respond replies disqus share sharing social related recommended recommendations pagination pager toolbar paywall banner widget".split()
+#: Words of class names and ids: of reader comments, of other boilerplate, and words that say nothing.
+TALK = set("comment comments commentlist respond response responses reply replies disqus discussion feedback talkback guestbook reader readers".split())
+NAMES = TALK | set(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promotions sidebar nav navbar navigation menu breadcrumb"
+    " breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share"
+    " sharing social related recommended recommendations pagination pager toolbar paywall banner widget copyright disclaimer".split()
 )
-HEADINGS = {"header"}
+PLAIN = set(
+    "a an the of for and to on in at by box boxes block blocks list bar bars wrap wrapper container area section sections unit slot zone panel inner outer body text site page main"
+    " top bottom left right header head title link links post posts item items article articles story stories news button buttons icon icons content message info data row col column"
+    " small large big global primary secondary footer form thread threads user users count policy media js id google dfp".split()
+)
+HEADINGS = {"header", "masthead"}
+#: Blocks that belong to the text beside them even where they are short.
+PROSE = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
+MANY_LINKS = 3
+#: Blocks within a container of the core may be so many times sparser than the threshold.
+SPARSER = 3
 WHOLE = {"html", "body", "main", "article"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "attrs", "kids", "up", "held", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, attrs: str, up: "Node | None"):
         self.tag, self.attrs, self.up, self.kids = tag, attrs, up, []
@@ -96,50 +110,64 @@ def _make_room(now: Node, tag: str) -> Node:
     return now
 
 
-def boilerplate(node: Node, in_article: bool) -> bool:
-    """Whether an element is none of the article, by its name, role, class or id."""
-    if node.tag in WHOLE:
-        return False
-    if node.tag in CUT or node.tag in HEADINGS and not in_article:
-        return True
+def names_of(node: Node) -> tuple[set[str], bool]:
+    """The words of those class names and ids that are boilerplate's, and whether attributes cut the element."""
+    found: set[str] = set()
     if not node.attrs or node.attrs.isspace():
-        return False
-    names: set[str] = set()
+        return found, False
     for m in ATTRIBUTE.finditer(node.attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return found, True
         if key == "role" and value.lower() in ROLES:
-            return True
+            return found, node.tag not in WHOLE
         if key in ("class", "id"):
             for part in value.split():
-                words = [w.lower() for w in WORD.findall(part)]
-                if not {"has", "with", "no"} & set(words):
-                    names.update(words)
-    return bool(names & NAMES or not in_article and names & HEADINGS) and not _holds_article(node)
+                words = {w.lower() for w in WORD.findall(part) if not w.isdigit()}
+                if words & (NAMES | HEADINGS) and words <= NAMES | PLAIN | HEADINGS:
+                    found |= words & (NAMES | HEADINGS)
+    return found, False
 
 
-def _holds_article(node: Node) -> bool:
-    stack = [node]
-    while stack:
-        for kid in stack.pop().kids:
-            if isinstance(kid, Node):
-                if kid.tag in ("article", "main"):
-                    return True
-                stack.append(kid)
-    return False
+def boilerplate(node: Node, in_article: bool, page_chars: int) -> bool:
+    """Whether an element is none of the article, by its name, role, class or id. ``chars`` and ``held`` must be known."""
+    if node.tag in ("html", "body"):
+        return False
+    if node.tag in CUT:
+        return True
+    if node.tag == "button":  # within a sentence it is part of it
+        return not any(isinstance(k, str) and k.strip() for k in node.up.kids)
+    names, cut = names_of(node)
+    if names & TALK and "h1" not in node.held:
+        return True
+    if node.tag in WHOLE or {"article", "main"} & node.held:
+        return False
+    if cut or node.tag == "form" or node.tag == "header" and not in_article:
+        return cut or node.tag == "header" or 2 * node.chars < page_chars
+    return bool(names & NAMES or not in_article and names & HEADINGS) and 2 * node.chars < page_chars
 
 
 def prune(root: Node) -> list[Node]:
     """Cut boilerplate; the nodes that stay, each after its parent."""
-    order, stack = [], [(root, False)]
+    order = [root]
+    for node in order:
+        order.extend(k for k in node.kids if isinstance(k, Node))
+    for node in reversed(order):
+        node.chars, node.held = 0, set()
+        for kid in node.kids:
+            if isinstance(kid, str):
+                node.chars += len(kid.strip())
+            elif kid.tag not in CUT:
+                node.chars += kid.chars
+                node.held |= kid.held | ({kid.tag} & {"article", "main", "h1"})
+    page_chars, order, stack = root.chars, [], [(root, False)]
     while stack:
         node, inside = stack.pop()
         order.append(node)
         kept = []
         for kid in node.kids:
             if isinstance(kid, Node):
-                if boilerplate(kid, inside):
+                if boilerplate(kid, inside, page_chars):
                     kept.append(" ")
                     continue
                 stack.append((kid, inside or kid.tag in ("article", "main")))
@@ -176,7 +204,12 @@ def densities(order: list[Node]) -> None:
         node.total = sum(kid.density for kid in node.kids if isinstance(kid, Node))
 
 
-def article(order: list[Node]) -> list[Node]:
+def bare_links(node: Node) -> bool:
+    """Whether a block is a list of links and nothing else."""
+    return node.tag in BLOCKS and node.tag not in WHOLE and node.link_tags >= MANY_LINKS and 10 * node.link_chars > 9 * node.chars
+
+
+def article(order: list[Node]) -> list[Node | str]:
     """The nodes whose text is the article, in page order."""
     best = max(order, key=lambda n: n.total)
     if not best.total:
@@ -186,17 +219,45 @@ def article(order: list[Node]) -> list[Node]:
     path = [best]
     while path[-1].up and path[-1].tag not in ("body", "#root"):
         path.append(path[-1].up)
-    whole = next((n for n in reversed(path) if n.tag in ("article", "main")), None)
-    if whole:
-        return [whole]
-    threshold = min(n.density for n in path)
-    above = path[1] if len(path) > 1 else None
-    if above is None:
-        return [best]
-    return [kid for kid in above.kids if isinstance(kid, Node) and (kid is best or kid.density >= threshold and kid.tag in BLOCKS and kid.link_chars * 2 < kid.chars)]
+    inside = next((n for tag in ("article", "main") for n in reversed(path) if n.tag == tag), None)
+    held = [n for n in order if n.tag in ("article", "main") and n.chars] if inside is None else []
+    if inside is None and held and 2 * sum(n.chars - n.link_chars for n in held if not {"article", "main"} & _above(n)) >= best.chars - best.link_chars:
+        inside = max(held, key=lambda n: (n.tag == "article", n.total))  # the core is what surrounds articles
+    if inside is not None:
+        beside = [n for n in inside.up.kids if isinstance(n, Node)] if inside.up else [inside]
+        heading = [n for n in beside[: beside.index(inside)] if n.tag == "h1"]
+        return [n for n in beside if n is inside or n in heading or n.tag == inside.tag == "article" and 2 * n.link_chars < n.chars]
+    threshold, on_path = min(n.density for n in path), set(map(id, path))
+    out: list[Node | str] = []
+
+    def belongs(node: Node, above: Node) -> bool:
+        if 2 * node.link_chars >= node.chars:
+            return False
+        if node.density >= threshold:
+            return True
+        return above.tag not in ("body", "#root") and (node.tag in PROSE or node.tag not in BLOCKS or node.density * SPARSER >= threshold)
+
+    stack: list[Node | str] = [path[-1]]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str) or id(node) not in on_path or node is best:
+            out.append(node)
+            continue
+        for kid in reversed(node.kids):
+            if isinstance(kid, str) or id(kid) in on_path or kid.chars and belongs(kid, node):
+                stack.append(kid)
+    return out
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def _above(node: Node) -> set[str]:
+    found = set()
+    while node.up:
+        node = node.up
+        found.add(node.tag)
+    return found
+
+
+def blocks(nodes: list[Node | str]) -> list[str]:
     """Texts of the block elements in page order, white space as single spaces; a line break counts as a space."""
     out, now = [], []
 
@@ -216,6 +277,9 @@ def blocks(nodes: list[Node]) -> list[str]:
         elif node.tag == "br":
             now.append(" ")
         else:
+            if bare_links(node):
+                flush()
+                continue
             if node.tag in BLOCKS:
                 flush()
                 stack.append(None)

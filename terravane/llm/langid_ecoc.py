@@ -2,12 +2,11 @@
 
 Each language has a codeword, a row of a Hadamard matrix, so that any two codewords differ in about half of their
 bits. For each bit a binary classifier over character trigrams says how likely the text comes from the languages
-with that bit set. Loss-weighted decoding sums the logistic losses of the bits for each codeword; the smallest sum
-wins, and a second one close to it flags the text as ambiguous.
+with that bit set. Loss-weighted decoding sums the logistic losses of the bits for each codeword, a bit's loss
+weighted by how often its classifier is right on learned texts of that codeword's language; the smallest sum wins,
+and a second one close to it flags the text as ambiguous.
 """
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +15,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 BUCKETS_LOG2, SAMPLE_PER_LANGUAGE, SMOOTHING, MARGIN, AMBIGUOUS = 15, 1500, 0.5, 4.0, 1.0
 BUCKETS = 1 << BUCKETS_LOG2
-ASCII_LETTER = re.compile(rb"[A-Za-z]")
+LETTER = r"\p{L}"
 UNKNOWN = "und"
 CHUNK = 1 << 18
 #: Letters stay, in lower case; everything else in ASCII becomes a space.
@@ -60,17 +59,26 @@ class Model:
             w = np.log(p[up].mean(axis=0)) - np.log(p[~up].mean(axis=0))
             typical = np.abs(p @ w).mean()
             self.weights[:, bit] = w * (MARGIN / max(typical, 1e-9))
+        self.trust = np.ones(self.codes.shape)
+
+    def margins(self, text: str) -> np.ndarray:
+        """What the classifier of each bit says: above zero for languages with that bit set."""
+        found = grams(text)
+        out = np.zeros(self.codes.shape[1])
+        for at in range(0, len(found), CHUNK):
+            out += self.weights[found[at : at + CHUNK]].sum(axis=0, dtype=np.float64)
+        return out / (len(found) + 20)
+
+    def weigh(self, right: np.ndarray, seen: np.ndarray) -> None:
+        """Weights of a language's bits from how many of its ``seen`` texts each bit has ``right``; their mean is one."""
+        rates = (right + 1) / (seen[:, None] + 2)
+        self.trust = rates / rates.mean(axis=1, keepdims=True) if rates.size else np.ones(self.codes.shape)
 
     def decode(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (0 to 1), and whether another codeword is nearly as close."""
         if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, False
-        found = grams(text)
-        margins = np.zeros(self.codes.shape[1])
-        for at in range(0, len(found), CHUNK):
-            margins += self.weights[found[at : at + CHUNK]].sum(axis=0, dtype=np.float64)
-        margins /= len(found) + 20
-        losses = np.logaddexp(0, -self.codes * margins).sum(axis=1)
+        losses = (self.trust * np.logaddexp(0, -self.codes * self.margins(text))).sum(axis=1)
         likely = np.exp(losses.min() - losses)
         best, order = int(losses.argmin()), np.sort(losses)
         return self.languages[best], float(likely[best] / likely.sum()), bool(len(order) > 1 and order[1] - order[0] < AMBIGUOUS)
@@ -79,16 +87,18 @@ class Model:
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fit on about ``per_language`` documents of each language, chosen by a hash of their id.
 
-    The rows given are those that may be learned from; rows with a null language or text are skipped. What reaches
-    the driver is one count for each language and trigram bucket, whatever the number of documents.
+    The rows given are those that may be learned from. Rows with a null language, or a text that is null or has no
+    letter, are skipped, and only languages that other rows are left of can be predicted; no rows give a model that
+    finds none. Repeated rows count each. A first pass counts trigrams, a second one how often each bit is right.
+    What reaches the driver is one count for each language and trigram bucket, whatever the number of documents.
     """
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang IS NOT NULL")
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((0, BUCKETS)))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     drawn = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
-    chosen = rows.where(drawn & F.col("text").isNotNull()).select("lang", "text")
+    chosen = rows.where(drawn).select("lang", "text")
 
     def count(batches):
         found: dict[str, np.ndarray] = {}
@@ -102,11 +112,31 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
 
     summed = chosen.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(sizes)
+    languages = sorted(set(summed["lang"].to_pylist()))
     counts = np.zeros((len(languages), BUCKETS))
     place = {k: i for i, k in enumerate(languages)}
     counts[[place[k] for k in summed["lang"].to_pylist()], summed["bucket"].to_numpy()] = summed["n"].to_numpy()
-    return Model(languages, counts)
+    model = Model(languages, counts)
+    sent = docs.sparkSession.sparkContext.broadcast((model, place))
+
+    def check(batches):
+        model, place = sent.value
+        seen, right = np.zeros(len(place), np.int64), np.zeros(model.codes.shape, np.int64)
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if lang in place and has_letter(text):
+                    seen[place[lang]] += 1
+                    right[place[lang]] += model.codes[place[lang]] * model.margins(text) > 0
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(place)), pa.int32()), pa.array(seen), pa.array(right.tolist(), pa.list_(pa.int64()))], names=["lang", "seen", "right"])
+
+    parts = chosen.mapInArrow(check, "lang int, seen long, right array<long>")
+    bits = [F.sum(F.col("right")[b]).alias(f"b{b}") for b in range(model.codes.shape[1])]
+    found = parts.groupBy("lang").agg(F.sum("seen").alias("seen"), *bits).collect() if languages else []
+    seen, right = np.zeros(len(languages)), np.zeros(model.codes.shape)
+    for r in found:
+        seen[r["lang"]], right[r["lang"]] = r["seen"], [r[f"b{b}"] for b in range(right.shape[1])]
+    model.weigh(right, seen)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD
+from .common import WORD, cut
 
 ENTROPY, REPEATS, BLOCKS, SEED, STEPS = 0.9, 4.0, 64, "mix", 40
 #: Leading hexadecimal digits of the order's hash: a source is summed in so many slices.
@@ -40,12 +40,15 @@ def _bisect(keeps) -> Column:
 
 
 def source_weights(tokens: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None) -> DataFrame:
-    """``tokens(source, n_tokens)`` to one row a source with tokens: tokens, alpha, weight and budget.
+    """``tokens(source, n_tokens)`` to one row a source: tokens, alpha, weight and budget.
 
     ``entropy`` is the target as a part of the largest possible one. Without ``budget`` the mixture is just large
-    enough to hold every document once. The exponent is rounded to six places, weights to twelve.
+    enough to hold every document once. The exponent is rounded to six places, weights to twelve. Sources without
+    tokens have no part in the target: their weight and budget are zero. Null is a source like any other; no rows
+    give no rows. The sources are a dimension: their totals meet in one row for the bisection.
     """
-    sums = tokens.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
+    totals = tokens.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    sums = totals.where("tokens > 0")
     row = sums.agg(F.array_sort(F.collect_list(F.struct("tokens", "source"))).alias("s")).where(F.size("s") > 0)
     row = row.withColumn("most", F.array_max("s.tokens").cast("double"))
     row = row.withColumn("logs", F.transform("s", lambda x: F.log(x["tokens"] / F.col("most"))))
@@ -69,7 +72,9 @@ def source_weights(tokens: DataFrame, entropy: float = ENTROPY, repeats: float =
     row = row.withColumn("whole", whole.cast("double"))
     spent = F.floor(F.round(F.col("x.weight") * F.col("whole"), 3)).cast("long")
     spent = F.greatest(spent, F.col("x.tokens")) if budget is None else spent
-    return row.select(F.explode("w").alias("x"), "alpha", "whole").select("x.source", "x.tokens", "alpha", "x.weight", spent.alias("budget"))
+    worded = row.select(F.explode("w").alias("x"), "alpha", "whole").select("x.source", "x.tokens", "alpha", "x.weight", spent.alias("budget"))
+    wordless = totals.where("tokens = 0").select("source", "tokens", F.lit(None).cast("double").alias("alpha"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("budget"))
+    return worded.unionByName(wordless)
 
 
 def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, blocks: int = BLOCKS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -78,15 +83,16 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     ``place`` is where the document starts in its source's stream of tokens; ``block`` says in which of ``blocks``
     equal parts of that stream. Ordered by block, the rows hold every prefix of blocks in the target weights. A
     document is placed in a pass if it starts within the source's budget; without ``budget`` each is placed at
-    least once. Null sources are a source of their own. Documents without words are placed where they fall, at no
-    cost; a source that has no words at all has no weight, and no rows. Repeated rows are placed each. Columns named
-    in ``carry`` follow.
+    least once. Null sources are a source of their own. Documents without words, null texts too, are placed where
+    they fall, at no cost; those of a source that has no words at all are placed once, in the first block. Repeated
+    rows are placed each; an empty table gives no rows. Columns named in ``carry`` follow; others are not read.
     """
     counted = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("n_tokens"), F.struct(F.lit(0).alias("none"), *carry).alias("carried"))
+    counted = cut(counted)  # words are counted once; the rows have no texts
     weights = source_weights(counted.select("source", "n_tokens"), entropy, repeats, budget)
     joined = counted.join(weights.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    last = F.greatest(F.ceil(F.col("budget") / F.col("tokens")) - 1, F.lit(0)).cast("int")
-    turns = joined.select("*", F.explode(F.sequence(F.lit(0), last)).alias("pass")).where("budget > 0")
+    last = F.when(F.col("tokens") > 0, F.greatest(F.ceil(F.col("budget") / F.col("tokens")) - 1, F.lit(0))).otherwise(0).cast("int")
+    turns = joined.select("*", F.explode(F.sequence(F.lit(0), last)).alias("pass"))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("pass").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     turns = turns.withColumn("order", order).withColumn("slice", F.substring("order", 1, SLICE_DIGITS))
     keys = ["source", "pass", "slice"]
@@ -97,13 +103,25 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     offsets = slices.select(F.col("source").alias("of"), F.col("pass").alias("p"), F.col("slice").alias("s"), (F.sum("n").over(ahead) - F.col("n")).alias("offset"))
     match = F.col("source").eqNullSafe(F.col("of")) & (F.col("pass") == F.col("p")) & (F.col("slice") == F.col("s"))
     placed = summed.join(offsets, match).withColumn("place", F.col("pass") * F.col("tokens") + F.col("offset") + F.col("before"))
-    block = F.floor(F.col("place") * blocks / F.col("budget")).cast("long")
-    return placed.where("place < budget").select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "n_tokens", "weight", F.col("pass").cast("long").alias("pass"), block.alias("block"), "place", *[F.col(f"carried.{c}") for c in carry])
+    block = F.when(F.col("budget") > 0, F.least(F.floor(F.col("place") * blocks / F.col("budget")), F.lit(blocks - 1))).otherwise(0).cast("long")
+    within = F.col("place") < F.col("budget")
+    if budget is None:
+        within = within | (F.col("pass") == 0)  # texts without words at the end of a pass start where the budget ends
+    return placed.where(within).select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "n_tokens", "weight", F.col("pass").cast("long").alias("pass"), block.alias("block"), "place", *[F.col(f"carried.{c}") for c in carry])
+
+
+PLACED = ["n_tokens", "weight", "pass", "block", "place"]
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The placed documents with their columns, texts too: those of ``docs``, then n_tokens, weight, pass, block, place."""
+    """The placed documents with their columns, texts too: those of ``docs``, then n_tokens, weight, pass, block, place.
+
+    Columns of ``docs`` with one of these five names are replaced. Nulls, ties, texts without words and empty tables
+    are treated as in ``mix``; rows that repeat an id and its text are placed as often as they occur.
+    """
+    kept = [c for c in docs.columns if c not in PLACED]
+    docs = docs.select(*kept)
     key, tag = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text")
     placed = mix(docs.withColumn("__tag", tag), carry=("__tag",), **options).withColumn("__key", key).drop("doc_id", "source")
     whole = docs.withColumn("__key", key).withColumn("__tag", tag).dropDuplicates(["__key", "__tag"])
-    return whole.join(placed, ["__key", "__tag"]).select(*docs.columns, "n_tokens", "weight", "pass", "block", "place")
+    return whole.join(placed, ["__key", "__tag"]).select(*kept, *PLACED)

@@ -1,17 +1,19 @@
 """Personal data: patterns propose spans, checksums confirm them, and context words adjust their scores.
 
-E-mail and IP addresses, card numbers (Luhn), phone numbers and bank account numbers (IBAN, mod 97), by DataFrame
-functions alone; every row is worked on where it lies. The patterns are written so that the engine neither
-backtracks nor recurses over long runs: a match may start at a run's first character or where the last match ended.
+E-mail and IP addresses, card numbers (Luhn), phone numbers, bank account numbers (IBAN, mod 97) and phone numbers
+without a country's prefix, by DataFrame functions alone; every row is worked on where it lies. A span is reported
+if its score reaches ``LEAST``: the first five kinds do by themselves, a number that only looks like a local phone
+number needs a context word near by. The patterns are written so that the engine neither backtracks nor recurses
+over long runs: a match may start at a run's first character or where the last match ended.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sha_hex
-from .spans import SPAN, count_kind, listed, masked, match_spans, no_spans
+from .spans import SPAN, bound, count_kind, listed, masked, match_spans, no_spans
 
-KINDS = ["email", "ip", "card", "phone", "iban"]
+KINDS = ["email", "ip", "card", "phone", "iban", "local"]
 BASE = 4
 NEAR = 40
 
@@ -21,16 +23,24 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: The length of an account number by the country it starts with.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])"
+LOCAL = r"(?<![A-Za-z0-9+.,/-])\(?0[0-9]{1,5}\)?(?:[\x20/.-]{1,2}[0-9]{2,8}){1,5}(?![A-Za-z0-9])"
 CONTEXT = {
     "email": r"e-?mail|contact|write to|mailto",
     "ip": r"\bip\b|host|server|address|login",
     "card": r"card|visa|credit|debit|payment|pay",
     "phone": r"phone|call|tel|mobile|fax|contact",
     "iban": r"iban|bank|account|transfer",
+    "local": r"phone|\bcall|\btel\b|\btel[.:]|mobile|\bfax|telefon|t\u00e9l\u00e9phone|handy|m\u00f3vil",
 }
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.9}
-BOOST = 0.1
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.9, "local": 0.45}
+BOOST, LEAST = 0.1, 0.5
 
 
 def digits(value: Column) -> Column:
@@ -68,7 +78,7 @@ def _found(text: Column, kind: str, pattern: str, gate: Column, check) -> Column
 
 
 def proposed(text: Column) -> Column:
-    """All confirmed spans of a text that has no null, by start and kind."""
+    """All spans of a text that has no null that pass their checks, by start and kind."""
     digit = text.rlike("[0-9]")
 
     def sized(value, low, high):
@@ -81,7 +91,13 @@ def proposed(text: Column) -> Column:
         _found(text, "phone", PHONE, F.contains(text, F.lit("+")), lambda v: sized(v, 10, 15)),
         _found(text, "iban", IBAN, digit & text.rlike("[A-Z]{2}[0-9]{2}"), mod97),
     ]
-    return F.array_sort(F.concat(*found)).cast(f"array<{SPAN}>")
+    local = _found(text, "local", LOCAL, text.rlike(r"(?i)" + CONTEXT["local"]) & text.rlike("0[0-9]"), lambda v: sized(v, 7, 13))
+
+    def together(both: Column) -> Column:
+        free = F.filter(both["local"], lambda s: ~F.exists(both["sure"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        return F.array_sort(F.concat(both["sure"], free)).cast(f"array<{SPAN}>")
+
+    return bound(F.struct(F.concat(*found).alias("sure"), local.alias("local")), together)
 
 
 def scored(text: Column, spans: Column) -> Column:
@@ -102,9 +118,17 @@ def scored(text: Column, spans: Column) -> Column:
 def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
     """``docs`` with ``out``, an array of structs of start, kind, end and value; null and empty texts have none.
 
-    Columns of that name are replaced; no other column is read, so repeated rows and clashing names do no harm.
+    Spans whose score is below ``LEAST`` are left out. Columns of that name are replaced; no other column is read,
+    so repeated rows and clashing names do no harm.
     """
-    return docs.withColumn(out, proposed(F.coalesce(F.col(text_col), F.lit(""))))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def kept(spans: Column) -> Column:
+        both = F.zip_with(spans, scored(text, spans), lambda s, score: F.struct(s.alias("span"), score.alias("score")))
+        strong = F.transform(F.filter(both, lambda x: x["score"] >= LEAST), lambda x: x["span"])
+        return F.when(F.exists(spans, lambda s: s["kind"] == KINDS.index("local")), strong).otherwise(spans)
+
+    return docs.withColumn(out, bound(proposed(text), kept))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -117,7 +141,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts by base kind, a digest of the base spans, all spans and their scores."""
+    """One row a document: counts by base kind, a digest of the base spans, all spans and their scores.
+
+    Null and empty texts have no spans: counts of zero, the digest of the empty string, empty lists. Repeated rows
+    and null ids stay; an empty table gives no rows; columns other than the two named are not read.
+    """
     found = find_pii(docs.select(F.col(id_col), F.col(text_col)), text_col, "pii")
     found = found.withColumn("base", F.filter("pii", lambda s: s["kind"] < BASE))
     return found.select(

@@ -75,17 +75,8 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    found = F.col("found")
-    return hits.select(
-        "doc_id",
-        "found.n_words",
-        decontam.n_hit(found).alias("n_hit"),
-        F.size("found.items").cast("long").alias("n_items"),
-        decontam.items_digest(found).alias("items_sha256"),
-        (F.size("found.ranges") > 0).alias("contaminated"),
-    )
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 QUERIES = {
@@ -105,7 +96,8 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP3_SQL = rf"""
 WITH RECURSIVE counted AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS n_tokens FROM documents),
-sums AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM counted GROUP BY source HAVING sum(n_tokens) > 0),
+totals AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM counted GROUP BY source),
+sums AS (SELECT * FROM totals WHERE tokens > 0),
 top AS (SELECT CAST(max(tokens) AS DOUBLE) AS most FROM sums),
 shape AS (SELECT list(ln(tokens / most) ORDER BY tokens, source) AS logs, {mixing.ENTROPY}::DOUBLE * ln(count(*)::DOUBLE) AS target FROM sums, top),
 by_entropy AS (
@@ -128,14 +120,16 @@ chosen AS (
     CASE WHEN exp(-list_min(logs)) > {mixing.REPEATS} THEN (SELECT lo FROM over WHERE i = {mixing.STEPS}) ELSE 0 END), 6) AS alpha, logs FROM shape),
 weighted AS (SELECT source, tokens, round(exp(alpha * ln(tokens / most)) / list_sum([exp(alpha * x) for x in logs]), 12) AS weight FROM sums, top, chosen),
 whole AS (SELECT ceil(max(round(tokens / weight, 3))) AS whole FROM weighted),
-budgets AS (SELECT source, tokens, weight, greatest(CAST(floor(round(weight * whole, 3)) AS BIGINT), tokens) AS budget FROM weighted, whole),
+budgets AS (SELECT source, tokens, weight, greatest(CAST(floor(round(weight * whole, 3)) AS BIGINT), tokens) AS budget FROM weighted, whole
+  UNION ALL SELECT source, tokens, 0::DOUBLE, 0 FROM totals WHERE tokens = 0),
 turns AS (
-  SELECT doc_id, c.source, n_tokens, tokens, weight, budget, unnest(range(0, CAST(greatest(ceil(budget / tokens), 1) AS BIGINT))) AS pass
-  FROM counted c JOIN budgets b ON c.source IS NOT DISTINCT FROM b.source WHERE budget > 0),
+  SELECT doc_id, c.source, n_tokens, tokens, weight, budget, unnest(range(0, CASE WHEN tokens > 0 THEN CAST(greatest(ceil(budget / tokens), 1) AS BIGINT) ELSE 1 END)) AS pass
+  FROM counted c JOIN budgets b ON c.source IS NOT DISTINCT FROM b.source),
 placed AS (
   SELECT *, CAST(pass * tokens + sum(n_tokens) OVER (PARTITION BY source, pass ORDER BY md5('{mixing.SEED}:' || pass || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS BIGINT) AS place
   FROM turns)
-SELECT doc_id, source, n_tokens, weight, pass, CAST(floor(place * {mixing.BLOCKS} / budget) AS BIGINT) AS block, place FROM placed WHERE place < budget
+SELECT doc_id, source, n_tokens, weight, pass, CASE WHEN budget > 0 THEN least(CAST(floor(place * {mixing.BLOCKS} / budget) AS BIGINT), {mixing.BLOCKS - 1}) ELSE 0 END AS block, place
+FROM placed WHERE place < budget OR pass = 0
 """
 
 OP7_SQL = rf"""

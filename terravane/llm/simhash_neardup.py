@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import golay
-from .common import cut, raw
+from .common import cut, drop, raw
 from .components import connected_components
 
 SEED = 42
@@ -27,6 +27,8 @@ MOST_BITS = 4
 BLOCK = 1 << 15
 #: One text in so many is counted, and so many of the most frequent shingles are known, for the order of keys.
 SAMPLE, COMMON = 16, 1 << 17
+#: Bits of a set's parity sketch to a shingle, at least; hubs of a key in the first round, and their growth by round.
+SKETCH_BITS, MORE_HUBS = 4, 4
 #: Products of a similarity and a count are whole numbers if they are so near to one.
 EPSILON = 1e-9
 LOWEST = -(1 << 63)
@@ -149,6 +151,8 @@ def hex16(column: Column) -> Column:
 # themselves decide. All shingles have one order, those that are frequent in a sample last. Two sets of n shingles or
 # more that are similar by t share at least t * n of them, so they share one of the first n - ceil(t * n) + 1 of each:
 # these are the keys. The sample changes only the order, so how many rows a key has, and never what is found.
+# A set also has a sketch: the parities of how many of its shingles fall on each bit. Two sketches differ in no more
+# bits than the sets do in shingles, so they bound what two sets can share from above, and no link is lost by them.
 
 
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -163,14 +167,25 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np
     return hashes[np.lexsort((hashes, weight))[: n - int(np.ceil(similarity * n - EPSILON)) + 1]]
 
 
-def _described(docs: DataFrame, columns: str, describe) -> DataFrame:
-    """``docs(id, text)`` with a row for each that ``describe`` makes of its text's node and set of shingle hashes."""
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """The sketch of a set of shingle hashes as 64-bit words, a power of two of them."""
+    bits = 64
+    while bits < SKETCH_BITS * len(hashes):
+        bits *= 2
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
-    def rows(batches):
-        for batch in batches:
-            yield from describe(batch.column(0), raw(batch.column(1)))
 
-    return docs.mapInArrow(rows, columns)
+def most_shared(bits_a: Column, n_a: Column, bits_b: Column, n_b: Column) -> Column:
+    """No fewer than the shingles that two sets share, by their sketches and sizes; the longer sketch is folded once."""
+
+    def folded(x: Column, other: Column) -> Column:
+        half = F.shiftright(F.size(x), 1)
+        return F.when(F.size(x) > F.size(other), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+
+    a, b = folded(bits_a, bits_b), folded(bits_b, bits_a)
+    differ = F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, x: t + x)
+    return F.when(F.size(a) == F.size(b), F.floor((n_a + n_b - differ) / 2)).otherwise(F.least(n_a, n_b))
 
 
 def node_of(text: bytes | None) -> int:
@@ -181,13 +196,15 @@ def node_of(text: bytes | None) -> int:
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that most texts of a sample of ``docs(id, text)`` hold, ascending, and how many hold them."""
 
-    def describe(ids: pa.Array, texts: list):
-        for at in range(0, len(texts), 64):
-            every = np.concatenate([np.unique(shingle_hashes(t, words)) for t in texts[at : at + 64]])
-            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], names=["hash"])
+    def shingles(batches):
+        for batch in batches:
+            texts = raw(batch.column(1))
+            for at in range(0, len(texts), 64):
+                every = np.concatenate([np.unique(shingle_hashes(t, words)) for t in texts[at : at + 64]])
+                yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], names=["hash"])
 
     sampled = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    counted = _described(sampled, "hash long", describe).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    counted = sampled.mapInArrow(shingles, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     found = counted.orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
     hashes = found["hash"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -199,88 +216,114 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
 
 
-def _with_sets(docs: DataFrame, words: int, name: str, chosen) -> DataFrame:
-    """``id``, ``node`` and under ``name`` what ``chosen`` takes of the set of shingle hashes, for ``docs(id, text)``."""
+def _with_sets(docs: DataFrame, words: int, **chosen) -> DataFrame:
+    """``id``, ``node``, ``n`` and what each of ``chosen`` takes of the set of shingle hashes, for ``docs(id, text)``."""
 
-    def describe(ids: pa.Array, texts: list):
-        for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
-            nodes = pa.array([node_of(t) for t in part], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), nodes, _lists([chosen(np.unique(shingle_hashes(t, words))) for t in part])], names=["id", "node", name])
+    def describe(batches):
+        for batch in batches:
+            texts = raw(batch.column(1))
+            for at in range(0, len(texts), 256):
+                part = texts[at : at + 256]
+                sets = [np.unique(shingle_hashes(t, words)) for t in part]
+                nodes, sizes = pa.array([node_of(t) for t in part], pa.int64()), pa.array([len(x) for x in sets], pa.int32())
+                lists = [_lists([take(x) for x in sets]) for take in chosen.values()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), nodes, sizes, *lists], names=["id", "node", "n", *chosen])
 
-    return _described(docs, f"id long, node long, {name} array<long>", describe)
+    return docs.mapInArrow(describe, ", ".join(["id long, node long, n int", *[f"{name} array<long>" for name in chosen]]))
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id``, and ``first``, the smallest id of its group, over documents that are equal or as similar as asked.
 
     Texts with the same words are one class. Classes whose shingle sets have a Jaccard similarity of ``similarity``
-    or more are linked, and groups are the connected components: classes that share a key are compared unless they
-    are of one group already, see ``_groups``, by their whole sets, which are made again from the texts. Null texts
-    count as empty; texts without words are a group. Ids are longs; a null id stands before all others.
+    or more are linked, and groups are the connected components. Classes that share a key are compared unless they
+    are of one group already, see ``_groups``: first by their sketches, which can only link too much; then, within
+    the groups found so, by their whole sets, which are made again from the texts. Null texts count as empty; texts
+    without words are a group. Ids are longs; a null id stands before all others.
     """
     if not 0 < similarity <= 1:
         raise ValueError("the similarity must be above 0 and at most 1")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"), F.col(text_col).alias("text"))
     common, counts = common_shingles(texts, words)
-    rows = cut(_with_sets(texts, words, "keys", lambda hashes: prefix(hashes, similarity, common, counts)))
-    classes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.max("keys").alias("keys")))
-    shared = classes.select("node", F.explode("keys").alias("key"))
+    rows = cut(_with_sets(texts, words, keys=lambda hashes: prefix(hashes, similarity, common, counts), bits=parities))
+    members = cut(rows.select("id", "node"))
+    classes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("keys").alias("keys")))
+    drop(rows)
+    exploded = classes.select("node", "n", F.explode("keys").alias("key"))
     crowded = F.count("*").over(W.partitionBy("key")) > 1
-    shared = cut(shared.withColumn("crowded", crowded).where("crowded").select("key", "node"))
-    asked = classes.select("node", "first").join(shared.select("node").distinct(), "node")
-    # An id may have several texts: those of other classes are dropped again. The sets themselves are not shuffled.
-    read = texts.join(asked.select(F.col("first").alias("id"), F.col("node").alias("asked")).hint("shuffle_hash"), "id").select(F.col("asked").alias("id"), "text")
-    sets = cut(_with_sets(read, words, "hashes", lambda hashes: hashes).where("id = node").select("node", F.size("hashes").alias("n"), "hashes"))
-    labels = _groups(shared, lambda pairs: _alike(pairs, classes, sets, similarity))
-    grouped = classes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    shared = cut(exploded.withColumn("crowded", crowded).where("crowded").select("key", "node", "n"))
+    sketches = cut(classes.select("node", "first", "n", "bits"))
+    drop(classes)
+    able = _groups(shared, similarity, lambda pairs: _able(pairs, sketches, similarity))
+    several = able.groupBy("label").count().where("count > 1").select("label")
+    asked = cut(able.join(several, "label").join(sketches.select("node", "first"), "node"))
+    # An id may have several texts: those of other classes are dropped again.
+    read = texts.join(asked.select(F.col("first").alias("id"), F.col("node").alias("asked")), "id").select(F.col("asked").alias("id"), "text")
+    sets = cut(_with_sets(read, words, hashes=lambda hashes: hashes).where("id = node").select("node", "n", "hashes").dropDuplicates(["node"]))
+    within = cut(shared.join(asked.select("node", "label"), "node").select(F.xxhash64("key", "label").alias("key"), "node", "n"))
+    drop(shared)
+    labels = _groups(within, similarity, lambda pairs: _alike(_able(pairs, sketches, similarity), sets, similarity))
+    drop(within, sets, asked)
+    grouped = sketches.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = grouped.groupBy("label").agg(F.min("first").alias("group_first"))
-    return rows.select("id", "node").join(grouped.join(first, "label").select("node", "group_first"), "node").select("id", F.col("group_first").alias("first"))
+    return members.join(grouped.join(first, "label").select("node", "group_first"), "node").select("id", F.col("group_first").alias("first"))
+
 
+def _fit(n_a: Column, n_b: Column, similarity: float) -> Column:
+    """Whether the sizes of two sets allow the similarity."""
+    return F.least(n_a, n_b) >= similarity * F.greatest(n_a, n_b) - EPSILON
 
-def _groups(shared: DataFrame, alike) -> DataFrame:
-    """``shared(key, node)`` to ``(node, label)`` of all linked nodes; ``alike`` keeps those pairs ``(a, b)`` that are links.
 
-    The groups are those of comparing every two nodes of each key. In a round some nodes of a key are compared with
-    all its nodes of other groups and leave the key; one in the first round, twice as many in each further one. A key
-    is done when its nodes are of one group, and the loop ends when all keys are: two nodes of a key are then of one
-    group, or were compared. A pair is compared once, however many keys it shares.
+def _groups(shared: DataFrame, similarity: float, alike) -> DataFrame:
+    """``shared(key, node, n)`` to ``(node, label)`` of all its nodes; ``alike`` keeps those pairs ``(a, b)`` that are links.
+
+    The groups are those of comparing every two nodes of each key. In a round some nodes of a key, its hubs, are
+    compared with all its nodes of other groups and leave the key: one in the first round, up to ``MORE_HUBS`` times
+    as many in each further one. A key is done when its nodes are of one group, and the loop ends when all keys are:
+    two nodes of a key are then of one group, or were compared. Hubs are the least nodes by one order for all keys, so
+    keys of the same nodes have the same hubs and their pairs fall together; they are found by aggregation, so
+    a key with many nodes needs no task of its own.
     """
-    links = tried = None
-    labels, left, hubs = shared.select("node").distinct().withColumn("label", F.col("node")), shared, 1
+    left, hubs = shared, 1
+    labels = cut(shared.select("node").distinct().withColumn("label", F.col("node")))
     while True:
-        labelled = left.join(labels, "node").withColumn("rank", F.xxhash64("node"))
-        bounds = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        # One order for all keys: keys of the same nodes then have the same hubs, and their pairs fall together.
-        turn = F.row_number().over(W.partitionBy("key").orderBy("rank", "node"))
-        left = cut(labelled.join(bounds, "key").select("key", "node", "label", (turn <= hubs).alias("hub")))
-        if left.isEmpty():
+        labelled = left.join(labels, "node")
+        rank = F.xxhash64("node")
+        slots = labelled.groupBy("key", F.pmod(rank, F.lit(hubs)).alias("slot")).agg(
+            F.min(F.struct(rank.alias("rank"), F.col("node"), F.col("n"), F.col("label"))).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")
+        )
+        keys = slots.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.min("low").alias("low"), F.max("high").alias("high"))
+        keys = cut(keys.where("low < high").select("key", "hubs"))
+        if keys.isEmpty():
             return labels
-        one = left.where("hub").select("key", F.col("node").alias("one"), F.col("label").alias("of"))
-        pairs = left.join(one, "key").where("label <> of").select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = alike(pairs)
-        links = cut(found if links is None else links.unionByName(found))
-        known = connected_components(links)
-        labels = cut(shared.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-        left, hubs = left.where("not hub").select("key", "node"), 2 * hubs
-
-
-def _alike(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of ``similarity`` or more.
-
-    First by what the keys and sizes allow: of the set whose keys end first in the order, what follows its keys can
-    be in the other set at most whole, and before that the sets share only common keys. The rest by the sets.
-    """
-    sizes, keys = sets.select("node", "n").distinct(), classes.select("node", "keys")
-    sized = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-    fits = sized.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - EPSILON)
-    keyed = fits.join(keys.toDF("a", "keys_a"), "a").join(keys.toDF("b", "keys_b"), "b")
-    most = F.size(F.array_intersect("keys_a", "keys_b")) + F.greatest(F.col("n_a") - F.size("keys_a"), F.col("n_b") - F.size("keys_b"))
-    able = cut(keyed.where(most * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - EPSILON).select("a", "b", "n_a", "n_b"))
-    hashes = sets.select("node", "hashes")
-    whole = able.join(hashes.toDF("a", "set_a"), "a").join(hashes.toDF("b", "set_b"), "b")
+        now = cut(labelled.join(keys, "key"))
+        one = now.select("node", "n", "label", F.explode("hubs").alias("hub"))
+        pairs = one.where((F.col("label") != F.col("hub.label")) & _fit(F.col("n"), F.col("hub.n"), similarity))
+        pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+        links = cut(alike(pairs))
+        left = cut(now.where(~F.array_contains("hubs.node", F.col("node"))).select("key", "node", "n"))
+        drop(now, keys)
+        if not links.isEmpty():
+            ends = links.join(labels.toDF("a", "u"), "a").join(labels.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+            merged = connected_components(ends)
+            old, labels = labels, cut(labels.join(merged.toDF("label", "least"), "label", "left").select("node", F.coalesce("least", "label").alias("label")))
+            drop(old)
+        drop(links)
+        hubs *= MORE_HUBS
+
+
+def _able(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that are as similar as asked as far as their sketches tell."""
+    known = sketches.select("node", "n", "bits")
+    both = pairs.join(known.toDF("a", "n_a", "bits_a"), "a").join(known.toDF("b", "n_b", "bits_b"), "b")
+    most = most_shared(F.col("bits_a"), F.col("n_a"), F.col("bits_b"), F.col("n_b"))
+    return both.where(most * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - EPSILON).select("a", "b")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    pairs = cut(pairs)
+    whole = pairs.join(sets.toDF("a", "n_a", "set_a"), "a").join(sets.toDF("b", "n_b", "set_b"), "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return whole.where(both >= similarity * (F.col("n_a") + F.col("n_b") - both) - EPSILON).select("a", "b")
 

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 SPAN = "struct<start: int, kind: int, end: int, value: string>"
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 

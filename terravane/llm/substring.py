@@ -55,25 +55,38 @@ def chunks(texts: list):
         yield at, texts[at:]
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window: its text's place, its first word's place in the text, its anchor, and the anchor's place among all words."""
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the texts, in order, and which text it is of."""
     data = np.frombuffer(b" ".join(texts), np.uint8)
-    empty = np.empty(0, np.int64)
     solid = _NONSPACE[data]
     before = np.concatenate([[False], solid[:-1]]) if len(data) else solid
     starts = np.flatnonzero(solid & ~before)
-    if len(starts) < WINDOW:
-        return empty, empty, empty.astype(np.uint64), empty
-    offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
-    owner = np.searchsorted(offsets, starts, "right") - 1
-    places = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if starts[0] == 0 else np.arange(len(data)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(data)]])))
+    if not len(starts):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    owner = np.searchsorted(np.cumsum([0, *[len(t) + 1 for t in texts]]), starts, "right") - 1
+    heads = starts if starts[0] == 0 else np.append(0, starts)
+    places = np.arange(len(data)) - np.repeat(heads, np.diff(np.append(heads, len(data))))
     values = np.where(solid, (data.astype(np.uint64) + np.uint64(1)) * _powers(_FACTOR, int(places.max()) + 1)[places], np.uint64(0))
-    words = _mix(np.add.reduceat(values, starts))
-    n = len(words) - RUN + 1
+    return _mix(np.add.reduceat(values, starts)), owner
+
+
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` neighbouring words, of whichever texts."""
+    n = max(len(words) - size + 1, 0)
     runs = np.zeros(n, np.uint64)
-    for j, power in enumerate(_powers(_STEP, RUN)):
+    for j, power in enumerate(_powers(_STEP, size)):
         runs += words[j : j + n] * power
-    least, where = _mix(runs), np.arange(n)
+    return _mix(runs)
+
+
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window: its text's place, its first word's place in the text, its anchor, and the anchor's place among all words."""
+    words, owner = hashed_words(texts)
+    if len(words) < WINDOW:
+        empty = np.empty(0, np.int64)
+        return empty, empty, empty.astype(np.uint64), empty
+    least = run_hashes(words, RUN)
+    where = np.arange(len(least))
     span, wanted = 1, WINDOW - RUN + 1
     while span < wanted:
         step = min(span, wanted - span)

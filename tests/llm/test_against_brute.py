@@ -123,10 +123,11 @@ def test_op9(spark, small, awkward):
     assert got(QUERIES["op9_decontaminate"](spark, SMALL), *columns) == sorted(brute.contamination(small, items), key=str)
     awkward_items = [(1, "same text"), (2, None), (3, "..."), (10, "be be be be be be be be be be be"), (7, "word1 word2 word3 word4 word5 word6 word7 word8 word9 word10 word11"), (7, "same TEXT")]
     frame = spark.createDataFrame(awkward_items, "item_id long, text string")
-    for size in (8_000_000, 40):
-        hits = decontam.contamination(awkward, frame, block_bytes=size)
-        found = hits.select("doc_id", "found.n_words", decontam.n_hit(hits.found).alias("n_hit"), decontam.F.size("found.items").alias("n_items"), decontam.items_digest(hits.found).alias("items_sha256"), (decontam.F.size("found.ranges") > 0).alias("contaminated"))
-        assert got(found, *columns) == sorted(brute.contamination(AWKWARD, awkward_items), key=str)
+    hits = decontam.contamination(awkward, frame)
+    found = hits.select("doc_id", "n_words", "n_hit", decontam.F.size("items").alias("n_items"), decontam.items_digest(hits["items"]).alias("items_sha256"), (hits["n_hit"] > 0).alias("contaminated"))
+    assert got(found, *columns) == sorted(brute.contamination(AWKWARD, awkward_items), key=str)
+    clean = {r["doc_id"] for r in decontam.clean_documents(awkward, frame).select("doc_id").collect()}
+    assert clean == {i for i, *_, bad in brute.contamination(AWKWARD, awkward_items) if not bad}
 
 
 def test_op6(spark, small, awkward):
@@ -161,7 +162,7 @@ def test_empty_tables(spark):
     assert fingerprints.compare_with_edits(docs).count() == 0
     assert decontam.contamination(docs, items).count() == 0
     full = spark.createDataFrame([(None, None), (1, "a b c")], "doc_id long, text string")
-    assert decontam.contamination(full, items).where("found.n_words = 3").count() == 1
+    assert decontam.contamination(full, items).where("n_words = 3").count() == 1
     assert {r["doc_id"] for r in substring.dedup_substrings(full).collect()} == {None, 1}
     assert {r["doc_id"] for r in simhash_neardup.simhash_components(full).collect()} == {None, 1}
     assert {r["id"] for r in fingerprints.compare_with_edits(full).collect()} == {None, 1}

@@ -74,6 +74,19 @@ PAGES = [
     ("<article><p>a &lt;b&gt; &#233; &#x1F600;</p><!-- no --><table><tr><td>1<td>2</table></article>", "a <b> é 😀\n1\n2"),
     ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
     ("<p class=\"unclosed>text", "text"),
+    ("<form action=x><div><article><p>Inside of a form.</p></article><input></div></form>", "Inside of a form."),
+    ("<body><form id=aspnet><div id=top><a href=a>Home</a> <a href=b>News</a></div><div class=text><p>" + "A sentence of the page. " * 9 + "</p><p>" + "Another of them. " * 9 + "</p></div></form></body>",
+     ("A sentence of the page. " * 9).strip() + "\n" + ("Another of them. " * 9).strip()),
+    ("<main><article><p>The first of two.</p></article><article><p>The second of two.</p></article></main>", "The first of two.\nThe second of two."),
+    ("<body><article><p>The first of two.</p></article><article><p>The second of two.</p></article><footer>x</footer></body>", "The first of two.\nThe second of two."),
+    ("<body><div class=content>" + ("<div class=part><div class=inner>" + f"<p>{'Words of a part. ' * 12}</p>" * 4 + "</div></div>") * 3 + "</div></body>", "\n".join([("Words of a part. " * 12).strip()] * 12)),
+    ("<body><div class=content><div class=part><div class=inner>" + f"<p>{'Words of a part. ' * 12}</p>" * 4 + "</div></div><div class=part><div class=inner>" + f"<p>{'Fewer words. ' * 7}</p>" * 2 + "</div></div></div></body>",
+     "\n".join([("Words of a part. " * 12).strip()] * 4 + [("Fewer words. " * 7).strip()] * 2)),
+    ("<article><p class='share-of-market'>It has a share of the market.</p><section id=related-work><p>Others did it too.</p></section></article>", "It has a share of the market.\nOthers did it too."),
+    ("<article><p>Press <button>Start</button> to begin.</p><div class=feedback><p>Great post!</p></div><button>Share</button></article>", "Press Start to begin."),
+    ("<main><article><p>The text of the page.</p></article><section id=comments><article class=comment><p>I don't agree.</p></article></section></main>", "The text of the page."),
+    ("<article><p>The text of the page.</p><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li><li><a href=c>Three</a></li></ul><div class='related-posts'><p>More of this</p></div></article>", "The text of the page."),
+    ("<main><h1>Heading</h1><article><p>The text of the page.</p></article></main>", "Heading\nThe text of the page."),
 ]
 
 
@@ -103,7 +116,9 @@ def test_mixture_sums(spark):
     frame = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumn("weight", F.lit("clash"))
     rows = mixing.mix(frame, entropy=0.97, repeats=3.0, blocks=8).collect()
     placed = Counter((r["doc_id"], r["source"]) for r in rows)
-    assert all(placed[d[:2]] >= 1 for d in docs if d[1] != "empty")
+    assert all(placed[d[:2]] >= 1 for d in docs)
+    assert [(r["weight"], r["block"], r["place"]) for r in rows if r["source"] == "empty"] == [(0.0, 0, 0)]
+    rows = [r for r in rows if r["source"] != "empty"]
     tokens, spent, weights = Counter(), Counter(), {}
     for _, s, t in docs:
         tokens[s] += len((t or "").split())
@@ -125,6 +140,51 @@ def test_mixture_sums(spark):
             at = place + n
 
 
+def test_mixture_keeps_texts_without_words_and_clashing_columns(spark):
+    docs = [(i, "a" if i % 3 else "b", "w w w" if i % 2 else "") for i in range(40)] + [(40, "none", ""), (41, "none", None), (42, None, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumn("weight", F.lit("clash")).withColumn("block", F.lit("x")).withColumn("tokens", F.lit(1))
+    rows = mixing.mixture(frame)
+    assert rows.columns == ["doc_id", "source", "text", "tokens", "n_tokens", "weight", "pass", "block", "place"]
+    found = rows.collect()
+    assert {r["doc_id"] for r in found} == set(range(43)) and all(0 <= r["block"] < mixing.BLOCKS for r in found)
+    assert mixing.mixture(frame.where("false")).count() == 0
+
+
+def test_languages_without_texts_are_not_predicted(spark):
+    rows = [(1, "the cat and the dog", "en"), (2, "le chat et la souris", "fr"), (3, None, "zz"), (4, "12 34", "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid_ecoc.fit(docs)
+    assert model.languages == ["en", "fr"] and model.trust.shape == model.codes.shape
+    assert abs(model.trust.mean(axis=1) - 1).max() < 1e-9
+    assert model.decode("qqq xyx jjj")[0] in ("en", "fr")
+
+
+def test_language_decoding_is_the_plain_one(spark):
+    import numpy as np
+
+    docs = spark.read.parquet(f"{TINY}/documents.parquet").limit(120)
+    model = langid_ecoc.fit(docs)
+    got = {r["doc_id"]: r["f"]["lang_pred"] for r in docs.select("doc_id", langid_ecoc.identify(docs, model).alias("f")).collect()}
+    for r in docs.collect():
+        margins = np.array([sum(float(model.weights[g, b]) for g in langid_ecoc.grams(r["text"])) / (len(langid_ecoc.grams(r["text"])) + 20) for b in range(model.codes.shape[1])])
+        losses = [sum(model.trust[k, b] * np.log1p(np.exp(-model.codes[k, b] * margins[b])) for b in range(len(margins))) for k in range(len(model.languages))]
+        assert got[r["doc_id"]] == model.languages[int(np.argmin(losses))]
+
+
+def test_quality_votes_are_those_of_the_exact_neighbours(spark):
+    import numpy as np
+
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    model = quality_knn.fit(docs, spark.read.parquet(f"{TINY}/labels.parquet"), "quality")
+    got = {r["doc_id"]: r["s"] for r in docs.select("doc_id", quality_knn.quality(docs, model).alias("s")).collect()}
+    for r in docs.limit(40).collect():
+        own = model.latent([quality_knn.term_rates((r["text"] or "").encode())])[0]
+        near = sorted(((float(own @ v), float(y)) for v, y in zip(model.vectors, model.labels)), reverse=True)[: model.neighbours]
+        total = sum(max(c, 0) for c, _ in near)
+        want = sum(max(c, 0) * y for c, y in near) / total if total > 1e-6 else model.prior
+        assert abs(got[r["doc_id"]] - want) < 1e-3
+
+
 def test_fixed_budget_and_single_source(spark):
     docs = spark.createDataFrame([(i, "a" if i < 90 else "b", "w w w w w") for i in range(100)], "doc_id long, source string, text string")
     rows = mixing.mix(docs, budget=200, entropy=1.0, repeats=100.0).toPandas()
