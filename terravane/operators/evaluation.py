@@ -25,11 +25,12 @@ def match_counts(predicted: DataFrame, truth: DataFrame, keys: list[str], by: li
 
 
 def publication(rows: DataFrame, published: Column, correct: Column, keys: list[str], least: float = 0.95, needed: int = 1) -> DataFrame:
-    """Published and correct with Wilson's interval; passes at or above ``least`` on enough cases, none of them false (EVL-03, EVL-04)."""
+    """Published and correct with Wilson's interval. ``powered``: at or above ``least`` on enough cases (EVL-03); ``passed``: that, and none of them false (EVL-04)."""
     counts = rows.groupBy(*keys).agg(F.count_if(published).alias("published"), F.count_if(published & correct).alias("correct"))
     found = counts.withColumn("w", wilson(F.col("correct"), F.col("published")))
-    passed = (F.col("published") >= needed) & (F.coalesce(F.col("w.lower"), F.lit(0.0)) >= least)
-    return found.select(*keys, "published", "correct", F.col("w.lower").alias("lower"), F.col("w.upper").alias("upper"), passed.alias("passed"))
+    powered = (F.col("published") >= needed) & (F.coalesce(F.col("w.lower"), F.lit(0.0)) >= least)
+    passed = powered & (F.col("correct") == F.col("published"))
+    return found.select(*keys, "published", "correct", F.col("w.lower").alias("lower"), F.col("w.upper").alias("upper"), powered.alias("powered"), passed.alias("passed"))
 
 
 def intervals(rows: DataFrame, keys: list[str], success: Column) -> DataFrame:

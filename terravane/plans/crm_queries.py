@@ -13,26 +13,26 @@ from .rule_queries import FACTS_SQL, facts_of
 
 def contacts_of(spark, sf_dir):
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.alias("id"), (k % 300).alias("venue_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("email"), F.date_add(F.lit("1996-01-01").cast("date"), (k % 700).cast("int")).alias("updated_on"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), k.alias("venue_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("email"), F.date_add(F.lit("1996-01-01").cast("date"), (k % 700).cast("int")).alias("updated_on"))
 
 
 def pipeline_of(spark, sf_dir):
     k = F.col("o_custkey")
-    last = table(spark, sf_dir, "orders").where(k < 300).groupBy(k.alias("venue_id")).agg(F.max_by("o_orderpriority", "o_orderkey").alias("p"), F.max("o_orderdate").alias("d"))
+    last = table(spark, sf_dir, "orders").groupBy(k.alias("venue_id")).agg(F.max_by("o_orderpriority", "o_orderkey").alias("p"), F.max("o_orderdate").alias("d"))
     stage = F.when(F.col("p") == "1-URGENT", "won").when(F.col("p") == "2-HIGH", "lost").when(F.col("p") == "3-MEDIUM", "demo").otherwise("contacted")
     return last.select("venue_id", stage.alias("stage"), F.when(F.col("venue_id") % 3 != 0, F.to_date("d")).alias("next_action_on"))
 
 
 def crm_events(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey < 300")
+    o = table(spark, sf_dir, "orders")
     p = F.col("o_orderpriority")
     stage = F.when(p == "1-URGENT", "won").when(p == "2-HIGH", "lost").when(p == "3-MEDIUM", "demo").otherwise("contacted")
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("venue_id"), F.when(F.col("o_orderkey") % 2 == 0, "stage").otherwise("call").alias("kind"), stage.alias("stage_to"), F.to_date("o_orderdate").alias("happened_on"), (F.col("o_orderkey") % 1000).alias("contact_id"))
 
 
 CRM_SQL = """
-contacts AS (SELECT c_custkey AS id, c_custkey % 300 AS venue_id, c_name AS name, c_mktsegment AS email, DATE '1996-01-01' + CAST(c_custkey % 700 AS INT) AS updated_on FROM customer),
-staged AS (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'won' WHEN '2-HIGH' THEN 'lost' WHEN '3-MEDIUM' THEN 'demo' ELSE 'contacted' END AS stage FROM orders WHERE o_custkey < 300),
+contacts AS (SELECT c_custkey AS id, c_custkey AS venue_id, c_name AS name, c_mktsegment AS email, DATE '1996-01-01' + CAST(c_custkey % 700 AS INT) AS updated_on FROM customer),
+staged AS (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'won' WHEN '2-HIGH' THEN 'lost' WHEN '3-MEDIUM' THEN 'demo' ELSE 'contacted' END AS stage FROM orders),
 pipeline AS (SELECT o_custkey AS venue_id, arg_max(stage, o_orderkey) AS stage, CASE WHEN o_custkey % 3 <> 0 THEN CAST(max(o_orderdate) AS DATE) END AS next_action_on FROM staged GROUP BY o_custkey),
 ev AS (SELECT o_orderkey AS id, o_custkey AS venue_id, CASE WHEN o_orderkey % 2 = 0 THEN 'stage' ELSE 'call' END AS kind, stage AS stage_to, CAST(o_orderdate AS DATE) AS happened_on, o_orderkey % 1000 AS contact_id FROM staged),
 due AS (
@@ -184,7 +184,7 @@ SELECT region, g AS "group", status_rank, count(*) AS n FROM r GROUP BY 1, 2, 3"
 
 
 def named_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey < 300").select("p_partkey", F.array("p_name", "p_brand").alias("names"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.array("p_name", "p_brand").alias("names"))
     cases = spark.createDataFrame([("c1", "Brand#11"), ("c2", "Brand#99"), ("c3", "Brand#23")], "case_id string, name string")
     found = matching.by_any_name(p, cases, "names", "name")
     return found.groupBy("case_id").agg(F.max("n_matches").alias("n_matches"), F.min("p_partkey").alias("first_part"))
@@ -192,7 +192,7 @@ def named_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CASES_SQL = """
 WITH c(case_id, name) AS (VALUES ('c1', 'Brand#11'), ('c2', 'Brand#99'), ('c3', 'Brand#23'))
-SELECT case_id, count(p_partkey) AS n_matches, min(p_partkey) AS first_part FROM c LEFT JOIN part ON p_partkey < 300 AND (p_name = name OR p_brand = name) GROUP BY 1"""
+SELECT case_id, count(p_partkey) AS n_matches, min(p_partkey) AS first_part FROM c LEFT JOIN part ON (p_name = name OR p_brand = name) GROUP BY 1"""
 
 
 def cluster_tile(spark: SparkSession, sf_dir: str) -> DataFrame:

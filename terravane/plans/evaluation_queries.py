@@ -37,15 +37,15 @@ SELECT lang, successes, total,
 
 
 def publication_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evaluation.publication(labelled(spark, sf_dir), ~F.contains("text", F.lit("!!")), F.col("quality") == 1, ["source"], least=0.6, needed=5)
-    return found.select("source", "published", "correct", F.round("lower", 6).alias("lower"), "passed")
+    found = evaluation.publication(labelled(spark, sf_dir), ~F.contains("text", F.lit("!!")), F.col("quality") == 1, ["source", "lang"], least=0.6, needed=5)
+    return found.select("source", "lang", "published", "correct", F.round("lower", 6).alias("lower"), "powered", "passed")
 
 
 PUBLICATION_SQL = f"""
-WITH c AS (SELECT source, count(*) FILTER (NOT contains(text, '!!')) AS published, count(*) FILTER (NOT contains(text, '!!') AND quality = 1) AS correct FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+WITH c AS (SELECT source, lang, count(*) FILTER (NOT contains(text, '!!')) AS published, count(*) FILTER (NOT contains(text, '!!') AND quality = 1) AS correct FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2),
 p AS (SELECT *, correct / nullif(published, 0)::DOUBLE AS p, published::DOUBLE AS n FROM c),
 w AS (SELECT *, (p + {Z2} / (2 * n) - {stats.Z}::DOUBLE * sqrt((p * (1 - p) + {Z2} / (4 * n)) / n)) / (1 + {Z2} / n) AS lo FROM p)
-SELECT source, published, correct, CASE WHEN published > 0 THEN round(lo, 6) END AS lower, published >= 5 AND coalesce(lo, 0) >= 0.6::DOUBLE AS passed FROM w"""
+SELECT source, lang, published, correct, CASE WHEN published > 0 THEN round(lo, 6) END AS lower, published >= 5 AND coalesce(lo, 0) >= 0.6::DOUBLE AS powered, published >= 5 AND coalesce(lo, 0) >= 0.6::DOUBLE AND correct = published AS passed FROM w"""
 
 
 def gate_table(spark: SparkSession, sf_dir: str) -> DataFrame:

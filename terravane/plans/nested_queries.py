@@ -28,13 +28,13 @@ GUARDED_SQL = "SELECT CASE WHEN event_id % 5 <> 0 AND event_id % 3 = 0 THEN even
 
 
 def unnested_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("x"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("x"))
     pairs = lines.select("l_orderkey", F.posexplode(nested.unnested(F.col("x.l_partkey"), F.col("x.l_returnflag"))).alias("position", "p"))
     return pairs.select("l_orderkey", F.col("position").cast("long").alias("position"), F.col("p.key").alias("part"), F.col("p.value").alias("flag"))
 
 
 PAIRS_SQL = """
-SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS position, l_partkey AS part, l_returnflag AS flag FROM lineitem WHERE l_orderkey < 2000"""
+SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS position, l_partkey AS part, l_returnflag AS flag FROM lineitem"""
 
 
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ SELECT o_orderpriority, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN 'publis
 
 
 def attempts_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey < 4000")  # noqa: E741
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
     attempts = l.select(F.col("l_orderkey").alias("venue_id"), F.col("l_suppkey").alias("requested_url"), "l_linenumber")
     decisions = l.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("venue_id"), F.col("l_suppkey").alias("requested_url"), F.lit("kept").alias("decision")).distinct()
     numbered = history.latest_n(matching.attempts_with_decisions(attempts, decisions), ["venue_id"], [F.asc("l_linenumber"), F.asc("requested_url")], 3, "attempt")
@@ -95,7 +95,7 @@ def attempts_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ATTEMPTS_SQL = """
-WITH l AS (SELECT l_orderkey AS v, l_suppkey AS u, l_linenumber FROM lineitem WHERE l_orderkey < 4000), d AS (SELECT DISTINCT l_orderkey AS v, l_suppkey AS u FROM lineitem WHERE l_orderkey < 4000 AND l_returnflag = 'R'),
+WITH l AS (SELECT l_orderkey AS v, l_suppkey AS u, l_linenumber FROM lineitem), d AS (SELECT DISTINCT l_orderkey AS v, l_suppkey AS u FROM lineitem WHERE l_returnflag = 'R'),
 n AS (SELECT l.v, d.u AS decided, row_number() OVER (PARTITION BY l.v ORDER BY l_linenumber, l.u) AS n FROM l LEFT JOIN d ON d.v = l.v AND d.u = l.u)
 SELECT v AS venue_id, count(*) AS n, count(decided) AS n_decided, max(n) AS last_attempt FROM n WHERE n <= 3 GROUP BY 1"""
 
@@ -113,12 +113,12 @@ UNION ALL SELECT 'urgent', count(*), count(o_orderkey) FROM orders WHERE o_order
 
 
 def fixture_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey < 3000").select(F.col("l_orderkey").alias("case_id"), F.col("l_suppkey").alias("url"), F.col("l_returnflag").alias("role"))  # noqa: E741
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_suppkey").alias("url"), F.col("l_returnflag").alias("role"))  # noqa: E741
     return evaluation.fixture_scores(l.where("url % 3 <> 0"), l.where("url % 4 <> 0"), ["url", "role"])
 
 
 SCORES_SQL = """
-WITH l AS (SELECT DISTINCT l_orderkey AS case_id, l_suppkey AS u, l_returnflag AS r FROM lineitem WHERE l_orderkey < 3000)
+WITH l AS (SELECT DISTINCT l_orderkey AS case_id, l_suppkey AS u, l_returnflag AS r FROM lineitem)
 SELECT case_id, count(*) FILTER (u % 3 <> 0 AND u % 4 <> 0) AS found, count(*) FILTER (u % 3 <> 0 AND u % 4 = 0) AS missed, count(*) FILTER (u % 3 = 0 AND u % 4 <> 0) AS extra, count(*) FILTER ((u % 3 <> 0) <> (u % 4 <> 0)) = 0 AS exact
 FROM l WHERE u % 3 <> 0 OR u % 4 <> 0 GROUP BY 1"""
 

@@ -19,13 +19,15 @@ SELECT CASE WHEN len(l) <= 2 THEN array_to_string(l, '.') ELSE array_to_string(l
 
 
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", url.candidate_url(F.col("url")).alias("candidate"), url.website_key(F.col("url")).alias("site"), url.canonical_url(F.col("url"), True).alias("canonical"))
+    # Parameters in an order that sorting by whole pairs would change.
+    asked = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("b=2&a=2&utm_x=1&a=1&a-b=3&z"))).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").withColumn("url", asked).select("page_id", url.candidate_url(F.col("url")).alias("candidate"), url.website_key(F.col("url")).alias("site"), url.canonical_url(F.col("url"), True).alias("canonical"))
 
 
 URL_SQL = rf"""
 WITH p AS (SELECT page_id, regexp_extract(u, '^([a-z]+)://', 1) AS scheme, lower(regexp_extract(u, '^[a-z]+://([^/?]*)', 1)) AS auth, regexp_extract(u, '^[a-z]+://[^/?]*([^?]*)', 1) AS path, regexp_extract(u, '\?(.*)$', 1) AS q
-  FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages)),
-k AS (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|fbclid|gclid|ref|source)(=|$)', 'i'))) AS kept,
+  FROM (SELECT page_id, regexp_replace(CASE WHEN page_id % 3 = 0 THEN url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'b=2&a=2&utm_x=1&a=1&a-b=3&z' ELSE url END, '#.*$', '') AS u FROM pages)),
+k AS (SELECT *, list_transform(list_sort(list_transform(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|fbclid|gclid|ref|source)(=|$)', 'i')), lambda x, i: struct_pack(n := split_part(x, '=', 1), i := i, q := x))), lambda s: s.q) AS kept,
   list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|fbclid|gclid|ref|source)(=|$)', 'i')) AS ordered, regexp_replace(path, '/+$', '') AS short FROM p)
 SELECT page_id, scheme || '://' || auth || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS candidate,
   regexp_replace(auth, '^www\.', '') || CASE WHEN short = '' THEN '/' ELSE short END AS site,
@@ -147,7 +149,7 @@ p AS (SELECT a.k AS "left", b.k AS "right", a.name = b.name AS exact, a.core = b
   coalesce(a.phone = b.phone, false) AS ph, coalesce(a.site = b.site, false) AS si, a.number = b.number AS ad, a.postcode = b.postcode AS po, coalesce(a.phone <> b.phone, false) AS phx, a.postcode <> b.postcode AS pox, a.number <> b.number AS nux,
   {geo.EARTH_M}::DOUBLE * 2 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) AS m
   FROM n a JOIN n b ON a.town = b.town AND a.k < b.k),
-c AS (SELECT *, list_filter([CASE WHEN exact THEN 'name_exact' WHEN core THEN 'name_core' WHEN part THEN 'name_contained' END, CASE WHEN ph THEN 'phone_exact' END, CASE WHEN si THEN 'website_exact' END, CASE WHEN ad THEN 'address_exact' END,
+c AS (SELECT *, list_filter([CASE WHEN exact THEN 'name_exact' WHEN core OR part THEN 'name_alias' END, CASE WHEN ph THEN 'phone_exact' END, CASE WHEN si THEN 'website_exact' END, CASE WHEN ad THEN 'address_exact' END,
     CASE WHEN po THEN 'postcode_exact' END, CASE WHEN m <= 30 THEN 'distance_30' WHEN m <= 100 THEN 'distance_100' WHEN m <= 250 THEN 'distance_250' END], lambda x: x IS NOT NULL) AS ev,
   list_filter([CASE WHEN phx THEN 'phone_conflict' END, CASE WHEN pox THEN 'postcode_conflict' END, CASE WHEN nux THEN 'house_number_conflict' END], lambda x: x IS NOT NULL) AS cf,
   CASE WHEN exact THEN 50 WHEN core THEN 35 WHEN part THEN 25 ELSE 0 END + CASE WHEN ph THEN 45 ELSE 0 END + CASE WHEN si THEN 45 ELSE 0 END + CASE WHEN ad THEN 35 ELSE 0 END + CASE WHEN po THEN 10 ELSE 0 END + CASE WHEN m <= 30 THEN 35 WHEN m <= 100 THEN 25 WHEN m <= 250 THEN 15 ELSE 0 END AS score
@@ -156,6 +158,35 @@ d AS (SELECT *, len(cf) = 0 AND (ph OR si OR ad OR m <= 250) AND (((exact OR cor
 SELECT "left", "right", array_to_string(ev, ',') AS evidence, array_to_string(cf, ',') AS conflicts, CAST(score AS INT) AS score, merge, NOT merge AND (exact OR core OR part) AND len(cf) = 0 AND score >= 35 AS review FROM d"""
 
 
+TYPES, SITES = ["restaurant", "pizzeria", "restaurant", "bar"], ["https://www.facebook.com/x", "http://a.example.it/", "https://b.example.it/", "c.example"]
+
+
+def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of seven customers as records of one venue."""
+    k = F.col("c_custkey")
+    at = lambda words, i: F.element_at(F.array(*[F.lit(w) for w in words]), (i % len(words) + 1).cast("int"))
+    kind, site = at(TYPES, F.floor(k / 3)), F.when(k % 5 != 0, F.concat(at(SITES, k), F.lit("?"), k.cast("string")))
+    rows = table(spark, sf_dir, "customer").select(
+        k.alias("id"), F.col("c_name").alias("name"), F.when(k % 4 != 0, kind).alias("type"), site.alias("website"), F.when(k % 3 != 0, F.col("c_mktsegment")).alias("phone"),
+        F.when(k % 2 == 0, k / F.lit(7.0)).alias("lat"), F.when(k % 3 == 0, k / F.lit(9.0)).alias("lon"),
+        F.create_map(F.lit("name"), F.array(at(["a", "b"], k)), F.lit("website"), F.array(k.cast("string")), F.lit("phone"), F.array(k.cast("string")), F.lit("lat"), F.array(k.cast("string"))).alias("provenance"),
+    )
+    venues = entity.survivors(rows, rows.select("id", F.floor(F.col("id") / 7).alias("group")), ["name", "phone"], website="website", place=("lat", "lon"), kind="type", provenance="provenance")
+    source = lambda f: F.array_join(F.coalesce(F.col("provenance")[f], F.array().cast("array<string>")), ",")
+    return venues.select("group", "name", "phone", "website", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "type", F.array_join("members", ",").alias("members"), *[source(f).alias(f"{f}_from") for f in ("name", "website", "phone", "lat")])
+
+
+MERGED_SQL = f"""
+WITH r AS (SELECT c_custkey AS id, c_custkey // 7 AS g, c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN {TYPES}[(c_custkey // 3) % 4 + 1] END AS type, CASE WHEN c_custkey % 5 <> 0 THEN {SITES}[c_custkey % 4 + 1] || '?' || c_custkey END AS website,
+  CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 0 END AS quality, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS phone,
+  CASE WHEN c_custkey % 6 = 0 THEN c_custkey / 7.0::DOUBLE END AS lat, CASE WHEN c_custkey % 6 = 0 THEN c_custkey / 9.0::DOUBLE END AS lon, ['a', 'b'][c_custkey % 2 + 1] AS p FROM customer),
+f AS (SELECT g, arg_min(name, id) AS name, arg_min(phone, id) FILTER (phone IS NOT NULL) AS phone, arg_min(id, id) FILTER (phone IS NOT NULL) AS phone_id, arg_min(id, id * 10 - quality * 100000000000) FILTER (website IS NOT NULL) AS site_id, arg_min(id, id) FILTER (lat IS NOT NULL) AS place_id,
+  arg_min(type, id) FILTER (type IS NOT NULL) AS first_type, arg_min(type, id) FILTER (type <> 'restaurant') AS other_type, string_agg(id::VARCHAR, ',' ORDER BY id) AS members, list(p ORDER BY id) AS ps FROM r GROUP BY g)
+SELECT f.g AS "group", f.name, f.phone, s.website, round(p.lat, 9) AS lat, round(p.lon, 9) AS lon, CASE WHEN first_type = 'restaurant' THEN coalesce(other_type, first_type) ELSE first_type END AS type, members,
+  array_to_string(list_filter(ps, lambda x, i: list_position(ps, x) = i), ',') AS name_from, coalesce(site_id::VARCHAR, '') AS website_from, coalesce(phone_id::VARCHAR, '') AS phone_from, coalesce(place_id::VARCHAR, '') AS lat_from
+FROM f LEFT JOIN r s ON s.id = site_id LEFT JOIN r p ON p.id = place_id"""
+
+
 def entity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir)
     keys = entity.prepared(rows).persist()
@@ -207,6 +238,7 @@ QUERIES = {
     "grid_box_join": (grid_box_join, BOXJOIN_SQL),
     "pair_evidence_score": (pair_evidence_score, PAIR_SQL),
     "inventory_by_region": (inventory_by_region, INVENTORY_SQL),
+    "merged_records": (merged_records, MERGED_SQL),
     "entity_groups": (entity_groups, None),
     "map_clusters": (map_clusters, None),
     "diverse_selection": (diverse_selection, None),

@@ -247,14 +247,14 @@ SELECT k AS p_partkey, score, CASE WHEN (exact OR ratio >= 0.5 OR branded OR k %
 def resource_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_partkey")
     roles = F.array(*[F.lit(r) for r in ("menu", "drinks", "menu_image", "booking", "order")])
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").cast("long").alias("score"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").cast("long").alias("score"))
     rows = rows.select("l_orderkey", F.element_at(roles, (k % 5 + 1).cast("int")).alias("role"), F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium").otherwise("low").alias("confidence"), "score", F.concat(F.lit("https://x.example/"), F.lpad(k.cast("string"), 8, "0")).alias("target"))
     return web.diverse_top(rows, ["l_orderkey"], 3, most_images=1)
 
 
 _ROLE = "list_extract(['menu', 'drinks', 'menu_image', 'booking', 'order'], l_partkey % 5 + 1)"
 RANKING_SQL = f"""
-WITH r AS (SELECT l_orderkey, {_ROLE} AS role, CASE l_partkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, CAST(sum(l_quantity) AS BIGINT) AS score, 'https://x.example/' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS target, 3 - l_partkey % 3 AS c FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey, l_partkey),
+WITH r AS (SELECT l_orderkey, {_ROLE} AS role, CASE l_partkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, CAST(sum(l_quantity) AS BIGINT) AS score, 'https://x.example/' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS target, 3 - l_partkey % 3 AS c FROM lineitem GROUP BY l_orderkey, l_partkey),
 k AS (SELECT *, CASE role WHEN 'menu' THEN 7 WHEN 'drinks' THEN 6 WHEN 'order' THEN 5 WHEN 'booking' THEN 4 ELSE 2 END AS rr FROM r),
 n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, role ORDER BY c DESC, score DESC, target) AS n FROM k),
 p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN n > 1 THEN 1 ELSE 0 END, rr DESC, c DESC, score DESC, target) AS place FROM n WHERE role <> 'menu_image' OR n <= 1)
@@ -333,10 +333,10 @@ SELECT l_returnflag, l_linestatus, l_linenumber, 'right' AS side, count(*) AS n
 def harvested_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     nested = F.to_json(F.struct(F.struct(F.concat(F.lit("venue:"), k.cast("string")).alias("venue_id"), F.array(F.struct(F.concat(F.lit("venue:x"), (k % 50).cast("string")).alias("canonical_venue_id"))).alias("rows")).alias("a"), F.lit("venue:no").alias("other")))
-    return venue_ids(table(spark, sf_dir, "events").where("event_id < 300").select(nested.alias("json")), "json")
+    return venue_ids(table(spark, sf_dir, "events").select(nested.alias("json")), "json")
 
 
-HARVEST_SQL = "SELECT 'venue:' || event_id AS venue_id FROM events WHERE event_id < 300 UNION SELECT 'venue:x' || event_id % 50 FROM events WHERE event_id < 300"
+HARVEST_SQL = "SELECT 'venue:' || event_id AS venue_id FROM events UNION SELECT 'venue:x' || event_id % 50 FROM events"
 
 
 def outcome_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,12 +399,12 @@ SELECT c_custkey, CASE WHEN length(d) > 10 AND starts_with(d, '39') THEN substr(
 def text_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     cut = text.budgeted(F.col("text"), 400, 200)
-    titled = text.title_case(F.translate(F.left("text", F.lit(60)), "ß", "s"))
+    titled = text.title_case(F.translate("text", "ß", "s"))
     return d.select("doc_id", F.length(cut).cast("long").alias("n_kept"), F.sha2(cut, 256).alias("kept_sha"), F.sha2(titled, 256).alias("title_sha"))
 
 
 BUDGETS_SQL = """
-WITH c AS (SELECT doc_id, CASE WHEN length(text) <= 600 THEN text ELSE left(text, 400) || ' […] ' || right(text, 200) END AS c, translate(left(text, 60), 'ß', 's') AS t FROM documents)
+WITH c AS (SELECT doc_id, CASE WHEN length(text) <= 600 THEN text ELSE left(text, 400) || ' […] ' || right(text, 200) END AS c, translate(text, 'ß', 's') AS t FROM documents)
 SELECT doc_id, length(c) AS n_kept, sha256(c) AS kept_sha, sha256(array_to_string(list_transform(string_split(t, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')) AS title_sha FROM c"""
 
 
@@ -417,13 +417,13 @@ VERSIONS_SQL = "SELECT CAST(o_orderdate AS DATE) AS uploaded_at, max(o_orderkey)
 
 
 def selection_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = table(spark, sf_dir, "orders").where("o_orderkey < 60").select(F.col("o_custkey").alias("venue"), F.col("o_orderstatus").alias("region"))
+    chosen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("venue"), F.col("o_orderstatus").alias("region"))
     barred = table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("venue"))
     return sampling.selection_faults(chosen, "venue", "region", 20, barred)
 
 
 SELECTION_SQL = """
-WITH s AS (SELECT o_custkey AS venue, o_orderstatus AS region FROM orders WHERE o_orderkey < 60)
+WITH s AS (SELECT o_custkey AS venue, o_orderstatus AS region FROM orders)
 SELECT 'duplicate' AS fault, CAST(venue AS VARCHAR) AS of FROM s GROUP BY venue HAVING count(*) > 1
 UNION ALL SELECT 'excluded', CAST(venue AS VARCHAR) FROM s WHERE venue IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0)
 UNION ALL SELECT 'count', region FROM s GROUP BY region HAVING count(*) <> 20"""

@@ -116,7 +116,7 @@ def test_blocking_loses_no_pair(spark):
     got = {(r.left, r.right) for r in entity.candidate_pairs(keys).collect()}
     assert got == {(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5), (6, 7)}
     scored = {(r.left, r.right): r for r in entity.scored_pairs(entity.candidate_pairs(keys), keys).collect()}
-    assert scored[0, 1].evidence == ["name_core", "distance_30"] and scored[0, 1].score == 70 and scored[0, 1].merge
+    assert scored[0, 1].evidence == ["name_alias", "distance_30"] and scored[0, 1].score == 70 and scored[0, 1].merge
 
 
 def test_spatial_assignment(spark):
