@@ -28,7 +28,7 @@ BLOCK = 1 << 15
 #: One text in so many is counted, and so many of the most frequent shingles are known, for the order of keys.
 SAMPLE, COMMON = 16, 1 << 17
 #: Bits of a set's parity sketch to a shingle, at least; hubs of a key in the first round, and their growth by round.
-SKETCH_BITS, MORE_HUBS = 4, 4
+SKETCH_BITS, MORE_HUBS = 4, 8
 #: Products of a similarity and a count are whole numbers if they are so near to one.
 EPSILON = 1e-9
 LOWEST = -(1 << 63)
@@ -237,8 +237,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Texts with the same words are one class. Classes whose shingle sets have a Jaccard similarity of ``similarity``
     or more are linked, and groups are the connected components. Classes that share a key are compared unless they
-    are of one group already, see ``_groups``: first by their sketches, which can only link too much; then, within
-    the groups found so, by their whole sets, which are made again from the texts. Null texts count as empty; texts
+    are of one group already, see ``_links``: first by their sketches, which can only link too much; then,
+    among the classes linked so, by their whole sets, which are made again from the texts. Null texts count as empty; texts
     without words are a group. Ids are longs; a null id stands before all others.
     """
     if not 0 < similarity <= 1:
@@ -254,16 +254,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shared = cut(exploded.withColumn("crowded", crowded).where("crowded").select("key", "node", "n"))
     sketches = cut(classes.select("node", "first", "n", "bits"))
     drop(classes)
-    able = _groups(shared, similarity, lambda pairs: _able(pairs, sketches, similarity))
-    several = able.groupBy("label").count().where("count > 1").select("label")
-    asked = cut(able.join(several, "label").join(sketches.select("node", "first"), "node"))
+    able = _links(shared, similarity, lambda pairs: _able(pairs, sketches, similarity))
+    touched = able.select(F.col("a").alias("node")).unionByName(able.select(F.col("b").alias("node"))).distinct()
+    asked = cut(touched.join(sketches, "node"))
     # An id may have several texts: those of other classes are dropped again.
     read = texts.join(asked.select(F.col("first").alias("id"), F.col("node").alias("asked")), "id").select(F.col("asked").alias("id"), "text")
     sets = cut(_with_sets(read, words, hashes=lambda hashes: hashes).where("id = node").select("node", "n", "hashes").dropDuplicates(["node"]))
-    within = cut(shared.join(asked.select("node", "label"), "node").select(F.xxhash64("key", "label").alias("key"), "node", "n"))
+    within = cut(shared.join(asked.select("node"), "node"))
     drop(shared)
-    labels = _groups(within, similarity, lambda pairs: _alike(_able(pairs, sketches, similarity), sets, similarity))
-    drop(within, sets, asked)
+    labels = _groups(within, similarity, lambda pairs: _alike(_able(pairs, asked, similarity), sets, similarity))
     grouped = sketches.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = grouped.groupBy("label").agg(F.min("first").alias("group_first"))
     return members.join(grouped.join(first, "label").select("node", "group_first"), "node").select("id", F.col("group_first").alias("first"))
@@ -274,50 +273,59 @@ def _fit(n_a: Column, n_b: Column, similarity: float) -> Column:
     return F.least(n_a, n_b) >= similarity * F.greatest(n_a, n_b) - EPSILON
 
 
-def _groups(shared: DataFrame, similarity: float, alike) -> DataFrame:
-    """``shared(key, node, n)`` to ``(node, label)`` of all its nodes; ``alike`` keeps those pairs ``(a, b)`` that are links.
-
-    The groups are those of comparing every two nodes of each key. In a round some nodes of a key, its hubs, are
-    compared with all its nodes of other groups and leave the key: one in the first round, up to ``MORE_HUBS`` times
-    as many in each further one. A key is done when its nodes are of one group, and the loop ends when all keys are:
-    two nodes of a key are then of one group, or were compared. Hubs are the least nodes by one order for all keys, so
-    keys of the same nodes have the same hubs and their pairs fall together; they are found by aggregation, so
-    a key with many nodes needs no task of its own.
+def _links(shared: DataFrame, similarity: float, alike) -> DataFrame:
+    """``shared(key, node, n)`` to links ``(a, b)``; ``alike`` keeps those pairs ``(a, b)``, with all columns, that are links.
+
+    Their components are those of comparing every two nodes of each key. In a round some nodes of a key, its hubs,
+    are compared with all its nodes of other groups and leave the key: one in the first round, up to ``MORE_HUBS``
+    times as many in each further one. A key is done when its nodes are of one group, and the loop ends when all keys
+    are: two nodes of a key are then of one group, or were compared. Groups are followed by labels, each node's least
+    known one, so some that are one already may still count as two and be compared once more. Hubs are the least
+    nodes, which are hashes, so keys of the same nodes have the same hubs and their pairs fall together; they are
+    found by aggregation, so a key with many nodes needs no task of its own.
     """
-    left, hubs = shared, 1
-    labels = cut(shared.select("node").distinct().withColumn("label", F.col("node")))
+    left, hubs, found = shared.withColumn("label", F.col("node")), 1, []
     while True:
-        labelled = left.join(labels, "node")
-        rank = F.xxhash64("node")
-        slots = labelled.groupBy("key", F.pmod(rank, F.lit(hubs)).alias("slot")).agg(
-            F.min(F.struct(rank.alias("rank"), F.col("node"), F.col("n"), F.col("label"))).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")
-        )
-        keys = slots.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.min("low").alias("low"), F.max("high").alias("high"))
-        keys = cut(keys.where("low < high").select("key", "hubs"))
-        if keys.isEmpty():
-            return labels
-        now = cut(labelled.join(keys, "key"))
+        hub, low, high = F.min(F.struct("node", "n", "label")), F.min("label").alias("low"), F.max("label").alias("high")
+        if hubs == 1:
+            keys = left.groupBy("key").agg(F.array(hub).alias("hubs"), low, high)
+        else:
+            slots = left.groupBy("key", F.pmod("node", F.lit(hubs)).alias("slot")).agg(hub.alias("hub"), low, high)
+            keys = slots.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.min("low").alias("low"), F.max("high").alias("high"))
+        now = cut(left.join(keys.where("low < high").select("key", "hubs"), "key"))
+        if now.isEmpty():
+            links = shared.sparkSession.createDataFrame([], "a long, b long")
+            for part in found:
+                links = links.unionByName(part)
+            return links
         one = now.select("node", "n", "label", F.explode("hubs").alias("hub"))
-        pairs = one.where((F.col("label") != F.col("hub.label")) & _fit(F.col("n"), F.col("hub.n"), similarity))
-        pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        links = cut(alike(pairs))
-        left = cut(now.where(~F.array_contains("hubs.node", F.col("node"))).select("key", "node", "n"))
-        drop(now, keys)
-        if not links.isEmpty():
-            ends = links.join(labels.toDF("a", "u"), "a").join(labels.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
-            merged = connected_components(ends)
-            old, labels = labels, cut(labels.join(merged.toDF("label", "least"), "label", "left").select("node", F.coalesce("least", "label").alias("label")))
-            drop(old)
-        drop(links)
+        one = one.where((F.col("label") != F.col("hub.label")) & _fit(F.col("n"), F.col("hub.n"), similarity))
+        ends = F.struct("node", "label"), F.struct("hub.node", "hub.label")
+        pairs = one.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("u"), F.col("y.label").alias("v")).distinct()
+        linked = cut(alike(pairs))
+        rest = now.where(~F.array_contains("hubs.node", F.col("node"))).select("key", "node", "n", "label")
+        if not linked.isEmpty():
+            found.append(linked.select("a", "b"))
+            less = linked.groupBy(F.greatest("u", "v").alias("u")).agg(F.min(F.least("u", "v")).alias("v"))
+            least = less.join(less.toDF("v", "w"), "v", "left").select(F.col("u").alias("label"), F.coalesce("w", "v").alias("least"))
+            rest = rest.join(least, "label", "left").select("key", "node", "n", F.coalesce("least", "label").alias("label"))
+        left = cut(rest)
+        drop(now)
         hubs *= MORE_HUBS
 
 
+def _groups(shared: DataFrame, similarity: float, alike) -> DataFrame:
+    """``shared(key, node, n)`` to ``(node, label)`` of all its nodes: the components of its links."""
+    known = connected_components(cut(_links(shared, similarity, alike)))
+    return shared.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
 def _able(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The pairs that are as similar as asked as far as their sketches tell."""
     known = sketches.select("node", "n", "bits")
     both = pairs.join(known.toDF("a", "n_a", "bits_a"), "a").join(known.toDF("b", "n_b", "bits_b"), "b")
     most = most_shared(F.col("bits_a"), F.col("n_a"), F.col("bits_b"), F.col("n_b"))
-    return both.where(most * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - EPSILON).select("a", "b")
+    return both.where(most * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - EPSILON).select(*pairs.columns)
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -325,7 +333,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     pairs = cut(pairs)
     whole = pairs.join(sets.toDF("a", "n_a", "set_a"), "a").join(sets.toDF("b", "n_b", "set_b"), "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return whole.where(both >= similarity * (F.col("n_a") + F.col("n_b") - both) - EPSILON).select("a", "b")
+    return whole.where(both >= similarity * (F.col("n_a") + F.col("n_b") - both) - EPSILON).select(*pairs.columns)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
