@@ -254,9 +254,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shared = cut(exploded.withColumn("crowded", crowded).where("crowded").select("key", "node", "n"))
     sketches = cut(classes.select("node", "first", "n", "bits"))
     drop(classes)
-    able = _links(shared, similarity, lambda pairs: _able(pairs, sketches, similarity))
+    known = cut(sketches.join(shared.select("node").distinct(), "node"))
+    able = _links(shared, similarity, lambda pairs: _able(pairs, known, similarity))
     touched = able.select(F.col("a").alias("node")).unionByName(able.select(F.col("b").alias("node"))).distinct()
-    asked = cut(touched.join(sketches, "node"))
+    asked = cut(touched.join(known, "node"))
     # An id may have several texts: those of other classes are dropped again.
     read = texts.join(asked.select(F.col("first").alias("id"), F.col("node").alias("asked")), "id").select(F.col("asked").alias("id"), "text")
     sets = cut(_with_sets(read, words, hashes=lambda hashes: hashes).where("id = node").select("node", "n", "hashes").dropDuplicates(["node"]))
@@ -293,6 +294,8 @@ def _links(shared: DataFrame, similarity: float, alike) -> DataFrame:
             slots = left.groupBy("key", F.pmod("node", F.lit(hubs)).alias("slot")).agg(hub.alias("hub"), low, high)
             keys = slots.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.min("low").alias("low"), F.max("high").alias("high"))
         now = cut(left.join(keys.where("low < high").select("key", "hubs"), "key"))
+        if hubs > 1:
+            drop(left)
         if now.isEmpty():
             links = shared.sparkSession.createDataFrame([], "a long, b long")
             for part in found:
