@@ -44,9 +44,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     # The search asks for the documents whose id is divisible by 100, over distinct fingerprints.
-    classes = found.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))).alias("asked"))
+    classes = found.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))).alias("asked"), F.min("doc_id").alias("first"))
     near = fingerprints.within_radius(classes.where("asked").select("fp"), classes.select("fp"))
-    near = near.join(classes.select("fp", "n"), "fp").groupBy(F.col("query").alias("fp")).agg((F.sum("n") - 1).alias("n_within"))
+    # Of each fingerprint found, the smallest id stands for its documents.
+    others = F.array_sort(F.collect_set(F.when(F.col("fp") != F.col("query"), F.col("first"))))
+    near = near.join(classes.select("fp", "n", "first"), "fp").groupBy(F.col("query").alias("fp")).agg((F.sum("n") - 1).alias("n_within"), others.alias("near"))
     joined = found.join(near, "fp", "left")
     return joined.select(
         "doc_id",
@@ -57,6 +59,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited",
         "near_next",
         F.when(F.col("doc_id") % 100 == 0, F.col("n_within")).alias("n_within_radius"),
+        F.when(F.col("doc_id") % 100 == 0, F.col("near")).alias("near_doc_ids"),
     )
 
 

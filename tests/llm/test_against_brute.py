@@ -150,6 +150,10 @@ def test_op6(spark, small, awkward):
     for r in near:
         own = int(r["fingerprint"], 16)
         assert r["n_within_radius"] == sum(((p ^ own) & (2**64 - 1)).bit_count() <= fingerprints.RADIUS for p in prints) - 1
+        first = {}
+        for (i, _), p in zip(small, prints):
+            first[p & (2**64 - 1)] = min(i, first.get(p & (2**64 - 1), i))
+        assert r["near_doc_ids"] == sorted(i for p, i in first.items() if 0 < (p ^ own).bit_count() <= fingerprints.RADIUS)
 
 
 def test_empty_tables(spark):
@@ -166,3 +170,19 @@ def test_empty_tables(spark):
     assert {r["doc_id"] for r in substring.dedup_substrings(full).collect()} == {None, 1}
     assert {r["doc_id"] for r in simhash_neardup.simhash_components(full).collect()} == {None, 1}
     assert {r["id"] for r in fingerprints.compare_with_edits(full).collect()} == {None, 1}
+
+
+def test_written_tables_go_to_a_shared_folder(spark):
+    import os
+    from types import SimpleNamespace
+
+    from terravane.llm import common
+
+    table = common.cut(spark.range(3))
+    assert table.count() == 3
+    common.drop(table)
+    assert not os.path.exists(table._cut_path.removeprefix("file:"))
+    unset = lambda *_: None
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=unset), sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=unset), getCheckpointDir=unset))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(cluster)
