@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import golay
-from .common import cut, drop, raw
+from .common import cut, drop, join_hot, raw
 from .components import connected_components
 
 SEED = 42
@@ -134,13 +134,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component's id is null only if all its ids are. Repeated rows stay. Other columns are ignored.
     """
     prints = cut(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), words).alias("fp")))
-    classes = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    classes = prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     links = hamming_links(classes.select("fp"), bits)
     labels = connected_components(links)
     labelled = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_print = labelled.join(smallest, "label").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    smallest = cut(labelled.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    of_print = cut(join_hot(labelled.select("fp", "label", F.col("copies").alias("n")), smallest, ["label"]).select("fp", "component_id", "n"))
+    return join_hot(prints, of_print, ["fp"]).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def hex16(column: Column) -> Column:

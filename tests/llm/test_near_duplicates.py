@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from terravane.llm import simhash_neardup
+from terravane.llm.common import cut, join_hot
 
 
 def joined(nodes, links):
@@ -70,3 +73,13 @@ def test_groups_are_those_of_all_pairs(spark):
     for r in simhash_neardup.near_duplicate_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect():
         found.setdefault(r["first"], set()).add(r["id"])
     assert {frozenset(g) for g in found.values()} == joined(list(sets), links)
+
+
+def test_hot_and_other_keys_are_joined_alike(spark):
+    rows = [(i, 0 if i % 3 else i % 1500) for i in range(6000)] + [(7, 0), (7, 0)]
+    frame = spark.createDataFrame(rows, "id long, key long")
+    counted = cut(frame.groupBy("key").agg(F.min("id").alias("least"), F.when(F.col("key") == 3, None).otherwise(F.max("id")).alias("most"), F.count("*").alias("n")))
+    want = frame.join(counted.drop("n"), "key").select("id", "key", "least", "most")
+    found = join_hot(frame, counted, ["key"])
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert join_hot(frame.limit(0), counted.limit(0), ["key"]).count() == 0
