@@ -247,12 +247,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     common, counts = common_shingles(texts, words)
     rows = cut(_with_sets(texts, words, keys=lambda hashes: prefix(hashes, similarity, common, counts), bits=parities))
     members = cut(rows.select("id", "node"))
-    classes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("keys").alias("keys")))
+    classes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("keys").alias("keys"), F.count("*").alias("copies")))
     drop(rows)
     exploded = classes.select("node", "n", F.explode("keys").alias("key"))
     crowded = F.count("*").over(W.partitionBy("key")) > 1
     shared = cut(exploded.withColumn("crowded", crowded).where("crowded").select("key", "node", "n"))
-    sketches = cut(classes.select("node", "first", "n", "bits"))
+    sketches = cut(classes.select("node", "first", "n", "bits", "copies"))
     drop(classes)
     known = cut(sketches.join(shared.select("node").distinct(), "node"))
     able = _links(shared, similarity, lambda pairs: _able(pairs, known, similarity))
@@ -264,9 +264,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     within = cut(shared.join(asked.select("node"), "node"))
     drop(shared)
     labels = _groups(within, similarity, lambda pairs: _alike(_able(pairs, asked, similarity), sets, similarity))
-    grouped = sketches.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = grouped.groupBy("label").agg(F.min("first").alias("group_first"))
-    return members.join(grouped.join(first, "label").select("node", "group_first"), "node").select("id", F.col("group_first").alias("first"))
+    grouped = sketches.select("node", "first", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = cut(grouped.groupBy("label").agg(F.min("first").alias("group_first"), F.count("*").alias("n")))
+    of_node = cut(join_hot(grouped.select("node", "label", F.col("copies").alias("n")), first, ["label"]).select("node", "group_first", "n"))
+    return join_hot(members, of_node, ["node"]).select("id", F.col("group_first").alias("first"))
 
 
 def _fit(n_a: Column, n_b: Column, similarity: float) -> Column:
