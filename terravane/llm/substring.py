@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import raw
+from .common import cut, join_hot, raw
 
 WINDOW, RUN = 20, 8
 #: Sketches have at most 2**30 cells a row; merged they have four cells or more to an anchor, if these suffice.
@@ -268,8 +268,9 @@ def _row_tag():
 def copies(rows: DataFrame) -> DataFrame:
     """The key and tag of rows whose whole text also stands under a smaller key."""
     narrow = rows.select("key", "tag", F.octet_length("text").alias("size"))
-    first = narrow.groupBy("tag", "size").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
-    return narrow.join(first, ["tag", "size"]).where("key > first").select("key", _row_tag())
+    first = narrow.groupBy("tag", "size").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n"))
+    first = cut(first.where("first < last").drop("last"))
+    return join_hot(narrow, first, ["tag", "size"]).where("key > first").select("key", _row_tag())
 
 
 KEPT = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
