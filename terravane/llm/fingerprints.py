@@ -10,7 +10,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RADIUS = 3
@@ -74,6 +74,17 @@ def _pairs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), ROW)], schema=ROW)
 
 
+def _bucket(spark: SparkSession, bounds: list[int]):
+    """The number of bounds below a key, as a function of a column; the bounds are sent once, outside the plan."""
+    sent = spark.sparkContext.broadcast(np.array(bounds, np.int64))
+
+    @F.arrow_udf("int")
+    def bucket(keys: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(sent.value, keys.to_numpy(zero_copy_only=False)).astype(np.int32))
+
+    return bucket
+
+
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint, its edited text and that text's fingerprint, and likenesses (0 to 1).
 
@@ -86,7 +97,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_A_PARTITION
     bounds = sorted(set(rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n).alias("b")).first()["b"] or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("key"))) if bounds else F.lit(0)
+    bucket = _bucket(spark, bounds)("key")
     starts = rows.select(bucket.alias("bucket"), "key").groupBy("bucket").agg(F.min("key").alias("key")).orderBy("bucket").collect()
     if not starts:
         return spark.createDataFrame([], "id long, n_chars long, edited string, fp long, edited_fp long, near_edited double, near_next double")
