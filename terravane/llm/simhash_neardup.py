@@ -151,6 +151,9 @@ def hex16(column: Column) -> Column:
 # themselves decide. All shingles have one order, those that are frequent in a sample last. Two sets of n shingles or
 # more that are similar by t share at least t * n of them, so they share one of the first n - ceil(t * n) + 1 of each:
 # these are the keys. The sample changes only the order, so how many rows a key has, and never what is found.
+# A pair needs to be compared only under its first common shingle in that order. Of the shingles before it the sets
+# share none, so its places in both bound what they can share: a copy whose own shingles fill the places ahead
+# of the text it was made from meets none of the other copies.
 # A set also has a sketch: the parities of how many of its shingles fall on each bit. Two sketches differ in no more
 # bits than the sets do in shingles, so they bound what two sets can share from above, and no link is lost by them.
 
@@ -249,9 +252,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     members = cut(rows.select("id", "node"))
     classes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("keys").alias("keys"), F.count("*").alias("copies")))
     drop(rows)
-    exploded = classes.select("node", "n", F.explode("keys").alias("key"))
-    crowded = F.count("*").over(W.partitionBy("key")) > 1
-    shared = cut(exploded.withColumn("crowded", crowded).where("crowded").select("key", "node", "n"))
+    exploded = classes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    of_key = W.partitionBy("key")
+    crowded = exploded.select("*", F.count("*").over(of_key).alias("nodes"), F.min("n").over(of_key).alias("least_n")).where("nodes > 1")
+    # A node that is too late in the key for the smallest set of the key is so for all of them.
+    shared = cut(crowded.where(_enough(F.col("n"), F.col("pos"), F.col("least_n"), similarity)).select("key", "node", "n", "pos"))
     sketches = cut(classes.select("node", "first", "n", "bits", "copies"))
     drop(classes)
     known = cut(sketches.join(shared.select("node").distinct(), "node"))
@@ -270,15 +275,16 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return join_hot(members, of_node, ["node"]).select("id", F.col("group_first").alias("first"))
 
 
-def _fit(n_a: Column, n_b: Column, similarity: float) -> Column:
-    """Whether the sizes of two sets allow the similarity."""
-    return F.least(n_a, n_b) >= similarity * F.greatest(n_a, n_b) - EPSILON
+def _enough(n: Column, pos: Column, other_n: Column, similarity: float) -> Column:
+    """Whether a set of ``n`` shingles has enough from place ``pos`` on to be similar to one of ``other_n``."""
+    return (n - pos) * (1 + similarity) >= similarity * (n + other_n) - EPSILON
 
 
 def _links(shared: DataFrame, similarity: float, alike) -> DataFrame:
-    """``shared(key, node, n)`` to links ``(a, b)``; ``alike`` keeps those pairs ``(a, b)``, with all columns, that are links.
+    """``shared(key, node, n, pos)`` to links ``(a, b)``; ``alike`` keeps those pairs ``(a, b)``, with all columns, that are links.
 
-    Their components are those of comparing every two nodes of each key. In a round some nodes of a key, its hubs,
+    Their components are those of comparing every two nodes of each key whose sizes, and places ``pos`` of the key in
+    them, allow the similarity if the key is the first shingle that they share. In a round some nodes of a key, its hubs,
     are compared with all its nodes of other groups and leave the key: one in the first round, up to ``MORE_HUBS``
     times as many in each further one. A key is done when its nodes are of one group, and the loop ends when all keys
     are: two nodes of a key are then of one group, or were compared. Groups are followed by labels, each node's least
@@ -288,7 +294,7 @@ def _links(shared: DataFrame, similarity: float, alike) -> DataFrame:
     """
     left, hubs, found = shared.withColumn("label", F.col("node")), 1, []
     while True:
-        hub, low, high = F.min(F.struct("node", "n", "label")), F.min("label").alias("low"), F.max("label").alias("high")
+        hub, low, high = F.min(F.struct("node", "n", "pos", "label")), F.min("label").alias("low"), F.max("label").alias("high")
         if hubs == 1:
             keys = left.groupBy("key").agg(F.array(hub).alias("hubs"), low, high)
         else:
@@ -302,24 +308,25 @@ def _links(shared: DataFrame, similarity: float, alike) -> DataFrame:
             for part in found:
                 links = links.unionByName(part)
             return links
-        one = now.select("node", "n", "label", F.explode("hubs").alias("hub"))
-        one = one.where((F.col("label") != F.col("hub.label")) & _fit(F.col("n"), F.col("hub.n"), similarity))
+        one = now.select("node", "n", "pos", "label", F.explode("hubs").alias("hub"))
+        fit = [_enough(F.col(f"{x}n"), F.col(f"{x}pos"), F.col(f"{y}n"), similarity) for x, y in (("", "hub."), ("hub.", ""))]
+        one = one.where((F.col("label") != F.col("hub.label")) & fit[0] & fit[1])
         ends = F.struct("node", "label"), F.struct("hub.node", "hub.label")
         pairs = one.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("u"), F.col("y.label").alias("v")).distinct()
         linked = cut(alike(pairs))
-        rest = now.where(~F.array_contains("hubs.node", F.col("node"))).select("key", "node", "n", "label")
+        rest = now.where(~F.array_contains("hubs.node", F.col("node"))).select("key", "node", "n", "pos", "label")
         if not linked.isEmpty():
             found.append(linked.select("a", "b"))
             less = linked.groupBy(F.greatest("u", "v").alias("u")).agg(F.min(F.least("u", "v")).alias("v"))
             least = less.join(less.toDF("v", "w"), "v", "left").select(F.col("u").alias("label"), F.coalesce("w", "v").alias("least"))
-            rest = rest.join(least, "label", "left").select("key", "node", "n", F.coalesce("least", "label").alias("label"))
+            rest = rest.join(least, "label", "left").select("key", "node", "n", "pos", F.coalesce("least", "label").alias("label"))
         left = cut(rest)
         drop(now)
         hubs *= MORE_HUBS
 
 
 def _groups(shared: DataFrame, similarity: float, alike) -> DataFrame:
-    """``shared(key, node, n)`` to ``(node, label)`` of all its nodes: the components of its links."""
+    """``shared(key, node, n, pos)`` to ``(node, label)`` of all its nodes: the components of its links."""
     known = connected_components(cut(_links(shared, similarity, alike)))
     return shared.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 

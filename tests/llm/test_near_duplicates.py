@@ -23,7 +23,7 @@ def test_crowded_key_is_compared_whole(spark):
     family, pairs = list(range(300)), [(1000 + 2 * k, 1001 + 2 * k) for k in range(40)]
     links = {(a, a + 1) for a in family[:-1]} | {(0, a) for a in family[1:]} | set(pairs)
     nodes = family + [n for p in pairs for n in p]
-    shared = spark.createDataFrame([(7, n, 1) for n in nodes] + [(8, n, 1) for n in nodes[::3]], "key long, node long, n int")
+    shared = spark.createDataFrame([(7, n, 1, 0) for n in nodes] + [(8, n, 1, 0) for n in nodes[::3]], "key long, node long, n int, pos int")
     true = spark.createDataFrame(sorted(links), "a long, b long")
     labels = simhash_neardup._groups(shared, 0.8, lambda candidates: candidates.join(true, ["a", "b"])).collect()
     found = {}
