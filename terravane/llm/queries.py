@@ -1,9 +1,10 @@
 """The queries of this subpackage over the given tables, and their SQL where SQL can express them."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, html_extract, langid_ecoc, mixing, pii, quality_knn, secret_scan, simhash_neardup, substring
+from . import decontam, fingerprints, html_extract, importance, langid_ecoc, lexical, mixing, pieces, pii, quality_knn, secret_scan, simhash_neardup, substring
 from .common import crc32_of, cut, sha_hex, table
 
 
@@ -82,6 +83,22 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.Model(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    decoded = pieces.decode(F.col("ids"), model)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha_hex(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), sha_hex(decoded).alias("decoded_sha256"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_quality_knn": op2_quality_knn,
@@ -93,6 +110,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op10_html_extract": op10_html_extract,
     "op9_decontaminate": op9_decontaminate,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_pieces": op12_pieces,
+    "op13_importance": op13_importance,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -161,4 +181,40 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM worded LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL}
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11_SQL = rf"""
+WITH worded AS (SELECT row_number() OVER () AS doc, doc_id, {TERMS} AS w FROM documents),
+docs AS (SELECT doc, doc_id, CAST(len(w) AS BIGINT) AS n FROM worded WHERE len(w) > 0),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM docs),
+counted AS (SELECT doc, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc, unnest(w) AS term FROM worded) GROUP BY doc, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM counted, whole GROUP BY term, docs),
+asked AS (SELECT item_id, term, CAST(count(*) AS BIGINT) AS times FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+scored AS (
+  SELECT item_id, doc, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score
+  FROM asked JOIN counted USING (term) JOIN weights USING (term) JOIN docs USING (doc), whole GROUP BY item_id, doc),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored JOIN docs USING (doc) WHERE score > 0)
+SELECT item_id, CAST(place AS INT) AS "rank", doc_id, score FROM ranked WHERE place <= {lexical.K}
+"""
+
+OP13_SQL = rf"""
+WITH signs AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+worded AS (SELECT row_number() OVER () AS doc, doc_id, FALSE AS target, {ITEM_WORDS} AS w FROM documents UNION ALL SELECT -row_number() OVER (), NULL, TRUE, {ITEM_WORDS} FROM benchmark),
+runs AS (SELECT doc, target, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))], [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)])) AS run FROM worded),
+named AS (SELECT run, hex(encode(run)) AS h FROM (SELECT DISTINCT run FROM runs)),
+hashed AS (SELECT run, xor(list_reduce(list_prepend(4294967295, [(strpos('123456789ABCDEF', h[i]) * 16 + strpos('123456789ABCDEF', h[i + 1]))::BIGINT for i in range(1, len(h), 2)]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % {importance.BUCKETS} AS bucket FROM named, signs),
+held AS (SELECT doc, target, bucket, CAST(count(*) AS BIGINT) AS n FROM runs JOIN hashed USING (run) GROUP BY doc, target, bucket),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (NOT target), 0) AS s, coalesce(sum(n) FILTER (target), 0) AS t FROM held GROUP BY bucket),
+whole AS (SELECT sum(s)::DOUBLE AS s_all, sum(t)::DOUBLE AS t_all FROM sums),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (s_all + {importance.BUCKETS})) / ((s + 1)::DOUBLE * (t_all + {importance.BUCKETS})))) AS BIGINT) AS gain FROM sums, whole),
+weighed AS (SELECT doc, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM held JOIN gains USING (bucket) WHERE NOT target GROUP BY doc),
+drawn AS (
+  SELECT doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM worded LEFT JOIN weighed USING (doc) WHERE NOT target),
+placed AS (SELECT *, row_number() OVER (PARTITION BY words >= {importance.LEAST_WORDS} ORDER BY score DESC, doc_id) AS place, count(*) FILTER (words >= {importance.LEAST_WORDS}) OVER () AS able FROM drawn)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= {importance.LEAST_WORDS} AND place <= {importance.SHARE} * able // 100 THEN place END AS "rank" FROM placed
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL, "op11_lexical_search": OP11_SQL, "op13_importance": OP13_SQL}
