@@ -179,9 +179,10 @@ class Tree:
             left[leading] = False
             found = self._children(level[leading], prefix[leading], lo[leading], hi[leading], weight)
             leaf = found[0] == self.levels
-            for s, d in zip(found[4][leaf].tolist(), found[1][leaf].tolist()):
+            hit = leaf & (found[4] > 0)
+            for s, d in zip(found[4][hit].tolist(), found[1][hit].tolist()):
                 entry = (-s, int(self.doc_ids[d]))
-                if s and (len(best) < k or entry < best[-1]):
+                if len(best) < k or entry < best[-1]:
                     bisect.insort(best, entry)
                     del best[k:]
             level, prefix, lo, hi, bound = (np.concatenate([x[left], y[~leaf]]) for x, y in zip((level, prefix, lo, hi, bound), found))
