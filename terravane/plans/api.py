@@ -44,7 +44,7 @@ class LeadIndex:
     def tile(self, zoom: int, x: int, y: int, **criteria) -> DataFrame:
         """Counts on a fixed grid in one tile of the map."""
         points = self.leads.where(self.rule(**criteria)).select(geo.mercator_x(F.col("lon")).alias("x"), geo.mercator_y(F.col("lat")).alias("y"), (F.col("status") == "verified").alias("flagged"))
-        return clustering.tile_items(clustering.grid_clusters(points, zoom).withColumn("zoom", F.lit(zoom)), zoom, x, y)
+        return clustering.tile_items(clustering.grid_clusters(points, zoom).withColumn("zoom", F.lit(clustering.level_of(zoom))), zoom, x, y)
 
     def towns(self, most: int = 500) -> DataFrame:
         """Towns by size, whether there are more in ``truncated`` (AGG-22, SRT-08)."""

@@ -197,14 +197,15 @@ SELECT case_id, count(p_partkey) AS n_matches, min(p_partkey) AS first_part FROM
 
 def cluster_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = projected(spark, sf_dir).withColumn("zoom", F.lit(6))
-    return clustering.tile_items(fixed, 6, 33, 23).select("c_custkey", "px", "py")
+    return clustering.tile_items(fixed, 6, 16, 11).select("c_custkey", "px", "py")
 
 
 _X, _Y = "lon / 360 + 0.5::DOUBLE", "0.5::DOUBLE - 0.25::DOUBLE * ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / pi()"
 TILE_SQL = f"""
 WITH placed AS (SELECT c_custkey, 6.0::DOUBLE + (c_custkey * 7919 % 13000) / 1000.0::DOUBLE AS lon, 36.0::DOUBLE + (c_custkey * 104729 % 11000) / 1000.0::DOUBLE AS lat FROM customer),
-p AS (SELECT c_custkey, {_X} AS x, {_Y} AS y FROM placed), m AS (SELECT 1 / 64::DOUBLE AS s, {clustering.BUFFER_PX} / ({clustering.TILE_PX} * 64)::DOUBLE AS b)
-SELECT c_custkey, CAST(round((x - 33 * s) / s * {clustering.TILE_PX}) AS INT) AS px, CAST(round((y - 23 * s) / s * {clustering.TILE_PX}) AS INT) AS py FROM p, m WHERE x BETWEEN 33 * s - b AND 34 * s + b AND y BETWEEN 23 * s - b AND 24 * s + b"""
+p AS (SELECT c_custkey, {_X} AS x, {_Y} AS y FROM placed), m AS (SELECT {clustering.WORLD_PX * 64}::DOUBLE AS world, {clustering.TILE_PX} AS t, {clustering.BUFFER_PX} AS b)
+SELECT c_custkey, CAST(floor(x * world - 16 * t + 0.5) AS INT) AS px, CAST(floor(y * world - 11 * t + 0.5) AS INT) AS py FROM p, m
+WHERE x BETWEEN (16 * t - b) / world AND (17 * t + b) / world AND y BETWEEN (11 * t - b) / world AND (12 * t + b) / world"""
 
 
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
