@@ -1,9 +1,12 @@
 """SentencePiece encoding and decoding by a table of distinct chunks.
 
 A text is cut in front of every run of whitespace markers. Where no piece of the model holds a marker after another
-sign, no piece and no merge reaches over such a cut, so a chunk has the same ids wherever it stands. Each distinct
-chunk of the corpus is segmented once; the table of all chunks and their ids is written to the shared folder, and the
-ids of a text are those of its chunks, in order.
+sign, no piece and no merge reaches over such a cut, so a chunk has the same ids wherever it stands. A table of
+distinct chunks holds the ids of each, segmented once; those of a text are joined from it by position.
+
+The table has two parts. Chunks that recur are counted over the corpus; the most frequent of them, as many as fit a
+bound, are segmented once for all tasks and broadcast. The many that hardly recur are segmented once for each slice of
+texts that holds them. No occurrence of a chunk and no text is shuffled.
 """
 
 import functools
@@ -13,21 +16,24 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import sentencepiece
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot
+from .common import cut
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: The chunks that are broadcast take at most so many bytes in a worker; the others are joined by a shuffle.
+#: The chunks that are broadcast take at most so many bytes in a worker.
 HOT_BYTES = 1 << 26
 #: What a dictionary entry takes besides the text and the ids.
 ENTRY_BYTES = 160
-#: Distinct chunks a task counts before it hands them on.
-COUNTED = 1 << 17
+#: Distinct chunks a task counts before it hands on those met more than once.
+COUNTED = 1 << 18
+#: Characters of the texts that are looked at together.
+SLICE = 1 << 21
 
 
 def chunks(text: str) -> list[str]:
@@ -54,11 +60,25 @@ def check(sp: sentencepiece.SentencePieceProcessor) -> None:
         raise ValueError("this model normalises texts")
 
 
-def segment(sp: sentencepiece.SentencePieceProcessor, chunk: str) -> list[int]:
-    """The ids of a chunk. The library puts a marker before a text; a lone marker is what a blank adds to a text."""
-    if chunk == MARK:
-        return sp.encode("a ")[len(sp.encode("a")) :]
-    return sp.encode(chunk[1:].replace(MARK, " "))
+def segment(sp: sentencepiece.SentencePieceProcessor, wanted: list[str]) -> dict[str, bytes]:
+    """The ids of chunks, four bytes each. The library puts a marker before a text; a lone marker is what a blank adds to a text."""
+    found = {c: np.array(ids, "<i4").tobytes() for c, ids in zip(wanted, sp.encode([c[1:].replace(MARK, " ") for c in wanted]))}
+    if MARK in found:
+        found[MARK] = np.array(sp.encode("a ")[len(sp.encode("a")) :], "<i4").tobytes()
+    return found
+
+
+def _slices(texts: list[str]):
+    """The texts in order, some at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= SLICE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _count(batches):
@@ -67,87 +87,68 @@ def _count(batches):
         for text in batch.column(0).to_pylist():
             counted.update(chunks(text or ""))
             if len(counted) > COUNTED:
-                yield _counts(counted)
+                yield _again(counted)
                 counted = Counter()
-    yield _counts(counted)
+    yield _again(counted)
 
 
-def _counts(counted: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], ["chunk", "n"])
+def _again(counted: Counter) -> pa.RecordBatch:
+    again = [c for c, n in counted.items() if n > 1]
+    return pa.RecordBatch.from_arrays([pa.array(again, pa.string()), pa.array([counted[c] for c in again], pa.int64())], ["chunk", "n"])
 
 
-def chunk_table(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``(chunk, n, ids)`` for every distinct chunk of all texts: ``n`` its occurrences, ``ids`` an array of ints.
+def recurring(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(chunk, n)`` for chunks that recur in what a task counts together, written to the shared folder.
 
-    Written to the shared folder. Counts are added up in the tasks before they are shuffled. Null and empty texts
-    have no chunks.
+    ``n`` adds up these counts. Null and empty texts have no chunks.
     """
-    content = model.content
-
-    @F.arrow_udf("array<int>")
-    def ids(column: pa.Array) -> pa.Array:
-        sp = processor(content.value)
-        return pa.array([segment(sp, c) for c in column.to_pylist()], pa.list_(pa.int32()))
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_count, "chunk string, n long")
+    return cut(counted.groupBy("chunk").agg(F.sum("n").alias("n")))
 
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    return cut(counted.withColumn("ids", ids("chunk")))
 
-
-def _hot(table: DataFrame, limit: int) -> Column:
-    """A condition for the chunks to broadcast: all if they fit, else those met more often than a power of two."""
+def frequent(table: DataFrame, limit: int) -> DataFrame:
+    """The chunks met more often than a power of two, the lowest with which they fit ``limit`` bytes."""
     level = F.floor(F.log2("n"))
-    size = F.octet_length("chunk") + 4 * F.size("ids") + ENTRY_BYTES
+    # A sign has at most four bytes, each of them an id of four bytes at most.
+    size = 5 * F.octet_length("chunk") + ENTRY_BYTES
     levels = {r["level"]: r["bytes"] for r in table.groupBy(level.alias("level")).agg(F.sum(size).alias("bytes")).collect()}
     lowest, total = 63, 0
     while lowest and total + levels.get(lowest, 0) <= limit:
         total += levels.get(lowest, 0)
         lowest -= 1
-    if not lowest and total + levels.get(0, 0) <= limit:
-        return F.lit(True)
-    return level > lowest
+    return table.where(level > lowest)
 
 
 def encode(docs: DataFrame, model: Model, text_col: str = "text", into: str = "ids", hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``docs`` and a column ``into`` with the ids the library gives each whole text, without begin or end ids.
 
     Null and empty texts have an empty array. A column that is already called ``into`` is replaced; all others stay,
-    and so do all rows, repeated ones too. The part of the table of chunks that fits into ``hot_bytes`` is broadcast,
-    the most frequent first. If that is not all of it, the remaining chunks of each distinct text are joined with the
-    table by a shuffle, and their ids are brought to the text by its hash; two texts of one hash only share a
-    larger list.
+    and so do all rows, repeated ones too. At most ``hot_bytes`` are broadcast, whatever the corpus; that decides how
+    often a rare chunk is segmented, not what its ids are.
     """
-    table = chunk_table(docs, model, text_col)
-    hot = _hot(table, hot_bytes)
-    frequent = table.where(hot).select("chunk", "ids").toArrow()
-    lists = frequent.column("ids").combine_chunks()
-    sent = docs.sparkSession.sparkContext.broadcast((frequent.column("chunk").combine_chunks(), lists.offsets.to_numpy(), lists.values.to_numpy().astype("<i4").tobytes()))
-    name = uuid.uuid4().hex
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    nothing = F.lit(None).cast("array<struct<chunk:string,ids:array<int>>>")
-    cold = table.where(~hot).select("chunk", "ids")
+    content = model.content
+
+    @F.arrow_udf("binary")
+    def segmented(column: pa.Array) -> pa.Array:
+        wanted = column.to_pylist()
+        table = segment(processor(content.value), wanted)
+        return pa.array([table[c] for c in wanted], pa.binary())
+
+    hot = frequent(recurring(docs, text_col), hot_bytes).withColumn("ids", segmented("chunk")).toArrow()
+    name, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((hot.column("chunk").combine_chunks(), hot.column("ids").combine_chunks()))
 
     @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array, rest: pa.Array) -> pa.Array:
-        table, ends, out = known(name, sent), [0], []
-        for t, more in zip(texts.to_pylist(), rest.to_pylist()):
-            own = {m["chunk"]: np.array(m["ids"], "<i4").tobytes() for m in more or ()}
-            out.append(b"".join([table.get(c) or own[c] for c in chunks(t)]))
-            ends.append(ends[-1] + len(out[-1]) // 4)
+    def ids(texts: pa.Array) -> pa.Array:
+        table, sp, ends, out = known(name, sent), processor(content.value), [0], []
+        for some in _slices(texts.to_pylist()):
+            cuts = [chunks(t) for t in some]
+            rare = segment(sp, list(set().union(*cuts).difference(table)))
+            for cut_text in cuts:
+                out.append(b"".join([table.get(c) or rare[c] for c in cut_text]))
+                ends.append(ends[-1] + len(out[-1]) // 4)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
 
-    @F.arrow_udf("array<string>")
-    def unknown(texts: pa.Array) -> pa.Array:
-        table = known(name, sent)
-        return pa.array([[c for c in dict.fromkeys(chunks(t)) if c not in table] for t in texts.to_pylist()], pa.list_(pa.string()))
-
-    if cold.isEmpty():
-        return docs.withColumn(into, ids(text, nothing))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.xxhash64(text).alias("key"))
-    met = rows.select("key", F.explode(unknown("text")).alias("chunk")).distinct().join(cold, "chunk")
-    met = met.groupBy("key").agg(F.collect_list(F.struct("chunk", "ids")).alias("rest"))
-    copies = rows.groupBy("key").agg(F.count("*").alias("n"))
-    found = join_hot(rows, cut(met.join(copies, "key")), ["key"]).select("row", ids("text", "rest").alias("ids"))
-    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != into], F.col("ids").alias(into))
+    return docs.withColumn(into, ids(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def decode(ids: Column | str, model: Model) -> Column:
@@ -156,8 +157,12 @@ def decode(ids: Column | str, model: Model) -> Column:
 
     @F.arrow_udf("string")
     def text(column: pa.Array) -> pa.Array:
-        sp = processor(content.value)
-        return pa.array([sp.decode(x) if x else "" for x in column.to_pylist()], pa.string())
+        sp, lists = processor(content.value), column.fill_null([]) if column.null_count else column
+        values, out = lists.flatten(), []
+        ends = np.concatenate([[0], pa.compute.list_value_length(lists).to_numpy().cumsum()]).tolist()
+        for a, b in zip(ends, ends[1:]):
+            out.append(sp.decode(values[a:b].to_numpy().tolist()) if b > a else "")
+        return pa.array(out, pa.string())
 
     return text(ids)
 
@@ -174,7 +179,6 @@ _known: dict[str, dict[str, bytes]] = {}
 def known(name: str, sent: Broadcast) -> dict[str, bytes]:
     if name not in _known:
         _known.clear()
-        keys, ends, ids = sent.value
-        ends = (4 * ends).tolist()
-        _known[name] = {k: ids[a:b] for k, a, b in zip(keys.to_pylist(), ends, ends[1:])}
+        keys, ids = sent.value
+        _known[name] = dict(zip(keys.to_pylist(), ids.to_pylist()))
     return _known[name]
