@@ -16,11 +16,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import cut
 
@@ -31,9 +32,9 @@ HOT_BYTES = 1 << 26
 #: What a dictionary entry takes besides the text and the ids.
 ENTRY_BYTES = 160
 #: Distinct chunks a task counts before it hands on those met more than once.
-COUNTED = 1 << 18
-#: Characters of the texts that are looked at together.
-SLICE = 1 << 21
+COUNTED = 1 << 17
+#: Bytes of text that are looked at together.
+SLICE = 1 << 20
 
 
 def chunks(text: str) -> list[str]:
@@ -68,24 +69,22 @@ def segment(sp: sentencepiece.SentencePieceProcessor, wanted: list[str]) -> dict
     return found
 
 
-def _slices(texts: list[str]):
-    """The texts in order, some at a time."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= SLICE:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _slices(batch: pa.RecordBatch):
+    """The rows of a batch in order, some at a time: about ``SLICE`` bytes of text, which is the last column."""
+    ends = pc.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_numpy().cumsum()
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE)))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def _count(batches):
     counted: Counter = Counter()
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counted.update(chunks(text or ""))
+        for some in _slices(batch):
+            for text in some.column(0).to_pylist():
+                counted.update(chunks(text or ""))
             if len(counted) > COUNTED:
                 yield _again(counted)
                 counted = Counter()
@@ -119,12 +118,13 @@ def frequent(table: DataFrame, limit: int) -> DataFrame:
     return table.where(level > lowest)
 
 
-def encode(docs: DataFrame, model: Model, text_col: str = "text", into: str = "ids", hot_bytes: int = HOT_BYTES) -> DataFrame:
+def encode(docs: DataFrame, model: Model, text_col: str = "text", into: str = "ids", decoded: str | None = None, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``docs`` and a column ``into`` with the ids the library gives each whole text, without begin or end ids.
 
-    Null and empty texts have an empty array. A column that is already called ``into`` is replaced; all others stay,
-    and so do all rows, repeated ones too. At most ``hot_bytes`` are broadcast, whatever the corpus; that decides how
-    often a rare chunk is segmented, not what its ids are.
+    With ``decoded`` another column holds what the library decodes these ids to. Null and empty texts have an empty
+    array and decode to the empty text. Columns that are already called so are replaced; all others stay, and so do
+    all rows, repeated ones too. At most ``hot_bytes`` are broadcast, whatever the corpus; that decides how often a rare
+    chunk is segmented, not what its ids are.
     """
     content = model.content
 
@@ -137,18 +137,25 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", into: str = "i
     hot = frequent(recurring(docs, text_col), hot_bytes).withColumn("ids", segmented("chunk")).toArrow()
     name, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((hot.column("chunk").combine_chunks(), hot.column("ids").combine_chunks()))
 
-    @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        table, sp, ends, out = known(name, sent), processor(content.value), [0], []
-        for some in _slices(texts.to_pylist()):
-            cuts = [chunks(t) for t in some]
-            rare = segment(sp, list(set().union(*cuts).difference(table)))
-            for cut_text in cuts:
-                out.append(b"".join([table.get(c) or rare[c] for c in cut_text]))
-                ends.append(ends[-1] + len(out[-1]) // 4)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
-
-    return docs.withColumn(into, ids(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    def run(batches):
+        table, sp = known(name, sent), processor(content.value)
+        for batch in batches:
+            for some in _slices(batch):
+                cuts = [chunks(t or "") for t in some.column(1).to_pylist()]
+                rare = segment(sp, list(set().union(*cuts).difference(table)))
+                packed = [b"".join([table.get(c) or rare[c] for c in one]) for one in cuts]
+                ends = np.cumsum([0, *[len(p) // 4 for p in packed]])
+                flat = np.frombuffer(b"".join(packed), "<i4")
+                back = [sp.decode(flat[a:b].tolist()) if b > a else "" for a, b in zip(ends, ends[1:])] if decoded else [None] * len(packed)
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*some.columns, ids, pa.array(back, pa.string())], ["row", "text", "ids", "back"])
+
+    kept = [c for c in docs.columns if c != text_col]
+    row = F.struct(*kept) if kept else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
+    found = rows.mapInArrow(run, StructType([*rows.schema, StructField("ids", ArrayType(IntegerType())), StructField("back", StringType())]))
+    made = {text_col: F.col("text"), into: F.col("ids")} | ({decoded: F.col("back")} if decoded else {})
+    return found.select(*[made.pop(c, F.col("row")[c] if c in kept else None).alias(c) for c in docs.columns], *[v.alias(c) for c, v in made.items()])
 
 
 def decode(ids: Column | str, model: Model) -> Column:
@@ -157,12 +164,9 @@ def decode(ids: Column | str, model: Model) -> Column:
 
     @F.arrow_udf("string")
     def text(column: pa.Array) -> pa.Array:
-        sp, lists = processor(content.value), column.fill_null([]) if column.null_count else column
-        values, out = lists.flatten(), []
-        ends = np.concatenate([[0], pa.compute.list_value_length(lists).to_numpy().cumsum()]).tolist()
-        for a, b in zip(ends, ends[1:]):
-            out.append(sp.decode(values[a:b].to_numpy().tolist()) if b > a else "")
-        return pa.array(out, pa.string())
+        sp = processor(content.value)
+        values, ends = column.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(column).fill_null(0).to_pylist()])
+        return pa.array([sp.decode(values[a:b].tolist()) if b > a else "" for a, b in zip(ends, ends[1:])], pa.string())
 
     return text(ids)
 

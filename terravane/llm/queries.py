@@ -89,9 +89,8 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.Model(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    decoded = pieces.decode(F.col("ids"), model)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha_hex(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), sha_hex(decoded).alias("decoded_sha256"))
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded="decoded")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha_hex(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), sha_hex(F.col("decoded")).alias("decoded_sha256"))
 
 
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

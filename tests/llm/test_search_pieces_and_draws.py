@@ -53,12 +53,12 @@ def test_ids_and_decoded_texts_are_those_of_the_library(spark, awkward, hot_byte
     model = pieces.Model(spark, MODEL)
     for docs in (awkward, spark.read.parquet(f"{SMALL}/documents.parquet")):
         rows = docs.count()
-        found = pieces.encode(docs, model, hot_bytes=hot_bytes).withColumn("back", pieces.decode(F.col("ids"), model)).collect()
+        found = pieces.encode(docs, model, decoded="again", hot_bytes=hot_bytes).withColumn("back", pieces.decode(F.col("ids"), model)).collect()
         assert len(found) == rows
         for r in found:
             want = sp.encode(r["text"] or "")
             assert r["ids"] == want
-            assert r["back"] == (sp.decode(want) if want else "")
+            assert r["back"] == r["again"] == (sp.decode(want) if want else "")
 
 
 def test_other_columns_stay_and_ids_replace_a_column_of_that_name(spark, awkward):
@@ -69,6 +69,8 @@ def test_other_columns_stay_and_ids_replace_a_column_of_that_name(spark, awkward
         assert dict(found.dtypes)["ids"] == "array<int>"
         assert found.where("row = 'y' and key = 1").count() == awkward.count()
     assert pieces.encode(awkward.where("false"), model).collect() == []
+    alone = pieces.encode(awkward.select("text"), model, into="text", decoded="row")
+    assert alone.columns == ["text", "row"] and alone.count() == awkward.count()
 
 
 def test_the_table_holds_chunks_that_recur_within_its_bound(spark, awkward):
