@@ -91,7 +91,7 @@ def test_lead_index(spark):
     facets = {(r.facet, r.code): r.total for r in index.summary(status=["verified"], has_phone=True).collect()}
     assert facets["status", "unchecked"] == 10 and facets["category", "pub"] == 10
     assert index.locate("oderzo").first().n == 45 and index.towns(1).first().truncated
-    assert sum(r.n for r in index.tile(4, 8, 5).collect()) == 60
+    assert sum(r.n for r in index.tile(4, 4, 2).collect()) == 60
     assert index.find("bar").count() == 10 and index.export(sample=7, seed="s").count() == 7
     assert index.export().first().line.startswith("v0,Bar Aè,verified,bar,R,Q,Treviso,45.0,12.0,,")
     assert {r.value: r.n for r in index.meta().where("dimension = 'category'").collect()} == {"bar": 30, "pub": 30}
