@@ -1,9 +1,5 @@
 """Pages and search results: resources, scores, validation, ranking, queries."""
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -180,36 +176,3 @@ def first_party_failures(c: dict[str, Column], evidence: Column, contradictions:
 
 def sites_by_domain(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.groupBy(registrable_domain(F.col(url)).alias("domain")).agg(F.count("*").alias("n_pages"), F.min(url).alias("first_url"))
-
-
-def json_ld(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Name, telephone and address of the first restaurant-like JSON-LD object of a page (HTM-04)."""
-    kinds = {"Restaurant", "FoodEstablishment", "LocalBusiness", "BarOrPub", "CafeOrCoffeeShop", "Organization"}
-
-    def objects(value):
-        if isinstance(value, list):
-            for v in value:
-                yield from objects(v)
-        elif isinstance(value, dict):
-            yield value
-            for v in value.values():
-                yield from objects(v)
-
-    @F.pandas_udf("struct<name: string, telephone: string, address: string>")
-    def walk(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in texts:
-            best = (None, None, None)
-            for block in re.findall(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', text or ""):
-                try:
-                    found = [o for o in objects(json.loads(block)) if kinds & set(o.get("@type") if isinstance(o.get("@type"), list) else [o.get("@type")])]
-                except ValueError:
-                    continue
-                if found and best[0] is None:
-                    address = found[0].get("address")
-                    line = ", ".join(str(v) for k, v in address.items() if k != "@type") if isinstance(address, dict) else address
-                    best = tuple(None if v is None else str(v) for v in (found[0].get("name"), found[0].get("telephone"), line))
-            out.append(best)
-        return pd.DataFrame(out, columns=["name", "telephone", "address"])
-
-    return pages.withColumn("json_ld", walk(F.col(html)))

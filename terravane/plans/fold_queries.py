@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import queue, sampling, web
+from ..operators import harvest, queue, sampling
 from ..streaming import jobs
 from .common import leads, table
 
@@ -32,9 +32,9 @@ def balanced_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def structured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What pages say of themselves in JSON-LD; the given pages say nothing, so a part of them is made to."""
-    block = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Restaurant","name":"R'), F.col("page_id").cast("string"), F.lit('","telephone":"1","address":{"@type":"PostalAddress","streetAddress":"Via Roma 1"}}]}</script>'))
+    block = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Restaurant","name":"Ristoro '), F.col("page_id").cast("string"), F.lit('","telephone":"1","address":{"@type":"PostalAddress","streetAddress":"Via Roma 1"}}]}</script>'))
     pages = table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat("html", block)).otherwise(F.col("html")))
-    return web.json_ld(pages).select("page_id", "json_ld.name", "json_ld.telephone", "json_ld.address")
+    return harvest.json_ld(pages).select("page_id", "json_ld.name", "json_ld.telephone", "json_ld.address")
 
 
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, time_b
 
 # The given tables have pages without JSON-LD, so this one has SQL too: the made ones, and nulls.
 STRUCTURED_SQL = """
-SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'R' || page_id END AS name, CASE WHEN page_id % 2 = 0 THEN '1' END AS telephone, CASE WHEN page_id % 2 = 0 THEN 'Via Roma 1' END AS address FROM pages"""
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Ristoro ' || page_id END AS name, CASE WHEN page_id % 2 = 0 THEN '1' END AS telephone, CASE WHEN page_id % 2 = 0 THEN 'Via Roma 1' END AS address FROM pages"""
 
 QUERIES = {
     "reserved_budgets": (reserved_budgets, None),
