@@ -1,6 +1,8 @@
 """The job queue as data: enqueueing, eligibility, leases, budgets, circuits, stages."""
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -51,26 +53,38 @@ def after_outcome(jobs: DataFrame, outcomes: DataFrame, base: int, longest: int)
 
 
 def reserve(requests: DataFrame, limits: DataFrame) -> DataFrame:
-    """Requests in order, granted if all their scopes have room for all of them (QUE-05, QUE-10).
+    """``budget, request_id, granted, exhausted``: requests in order, granted if all their scopes have room (QUE-05, QUE-10).
 
-    Requests: request_id, budget, scope, n. Later smaller requests can fit where an earlier one did not, so each
-    budget is folded in order; budgets are independent. Limits: budget, scope, most.
-    """
-    rows = requests.join(limits, ["budget", "scope"]).groupBy("budget", "request_id").agg(F.map_from_entries(F.collect_list(F.struct("scope", F.struct("n", "most")))).alias("scopes"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: dict[str, int] = {}
-        granted = []
-        for scopes in (dict(s) for s in pdf.sort_values("request_id")["scopes"]):
-            ok = all(used.get(k, 0) + v["n"] <= v["most"] for k, v in scopes.items())
-            if ok:
-                for k, v in scopes.items():
-                    used[k] = used.get(k, 0) + v["n"]
-            granted.append(ok)
-        return pd.DataFrame({"budget": pdf["budget"], "request_id": sorted(pdf["request_id"]), "granted": granted})
+    Requests: request_id, budget, scope, n. A scope without a limit always has room, one that a request names twice
+    counts once, with the larger number. ``exhausted`` is the first scope, by name, that stood against a request; then
+    nothing of it is used. Limits: budget, scope, most; of several for one scope the lowest holds.
 
+    Later smaller requests can fit where an earlier one did not, so those of a budget are gone through in order:
+    Spark sorts them, on disk if need be, and a task streams over them, holding only the amounts used so far.
+    """
+    most = limits.groupBy("budget", "scope").agg(F.min("most").cast("long").alias("most"))
+    wanted = requests.groupBy("budget", "request_id", "scope").agg(F.max("n").cast("long").alias("n")).join(most, ["budget", "scope"], "left")
+    rows = wanted.groupBy("budget", "request_id").agg(F.array_sort(F.collect_list(F.when(F.col("most").isNotNull(), F.struct("scope", "n", "most")))).alias("scopes"))
     kinds = dict(requests.dtypes)
-    return rows.groupBy("budget").applyInPandas(fold, f"budget {kinds['budget']}, request_id {kinds['request_id']}, granted boolean")
+    sorted_rows = rows.repartition("budget").sortWithinPartitions("budget", "request_id")
+    return sorted_rows.mapInArrow(_granted, f"budget {kinds['budget']}, request_id {kinds['request_id']}, granted boolean, exhausted {kinds['scope']}")
+
+
+def _granted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    budget, used = None, {}
+    for batch in batches:
+        against = []
+        for name, scopes in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            if name != budget:
+                budget, used = name, {}
+            full = next((s["scope"] for s in scopes if used.get(s["scope"], 0) + s["n"] > s["most"]), None)
+            refused = any(used.get(s["scope"], 0) + s["n"] > s["most"] for s in scopes)
+            if not refused:
+                for s in scopes:
+                    used[s["scope"]] = used.get(s["scope"], 0) + s["n"]
+            against.append((not refused, full))
+        kind = batch.schema.field(2).type.value_type.field("scope").type
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g for g, _ in against], pa.bool_()), pa.array([f for _, f in against], kind)], ["budget", "request_id", "granted", "exhausted"])
 
 
 def running_budget(requests: DataFrame, keys: list[str], order: list[str], n: str, most: int) -> DataFrame:
