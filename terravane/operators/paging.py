@@ -2,11 +2,15 @@
 
 import base64
 import json
+from itertools import accumulate, pairwise
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..tables import new_path
+
 
 def ordering(key: str, descending: bool, ties: list[str]) -> list[Column]:
     """Empties last in both directions; ties by the other columns, ascending (SRT-02)."""
@@ -25,6 +29,49 @@ def page(rows: DataFrame, order: list[Column], offset: int, size: int, most: int
     return numbered.where(F.col("rn") > offset)
 
 
+class Pages(NamedTuple):
+    """A table in order, in ranges: the rows of each in a folder of its own, and how many rows stand before it."""
+
+    rows: DataFrame
+    before: list[int]
+
+    @property
+    def total(self) -> int:
+        return self.before[-1]
+
+    def page(self, offset: int, size: int, most: int = 200) -> DataFrame:
+        """A page by offset, as ``page`` gives it; only the ranges that hold it are read."""
+        size = max(1, min(size, most))
+        held = [i for i, (a, b) in enumerate(pairwise(self.before)) if a < offset + size and b > offset]
+        return self.rows.where(F.col("__range").isin(held) & F.col("rn").between(offset + 1, offset + size)).drop("__range")
+
+    def ranked(self) -> DataFrame:
+        """All rows with their rank."""
+        return self.rows.drop("__range")
+
+
+def pages(rows: DataFrame, order: list[Column], rows_a_range: int = 1 << 20) -> Pages:
+    """``rows`` numbered in ``rn`` from 1 over the whole order, for pages at any depth (SRT-02, SRT-03, WIN-01).
+
+    Rows are dealt out by ranges of the order, sorted within each and written, a folder a range; a rank is the place in
+    the range and the number of rows in the ranges before. No task sees more than a range, and the driver only counts.
+    The order has to tell rows apart, or ranks of equal rows are arbitrary. The table is written once, pages are read.
+    """
+    spark = rows.sparkSession
+    n = max(1, -(-rows.count() // rows_a_range))
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # The lower 33 bits of this id count the rows of a partition.
+    placed = dealt.withColumn("__range", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1)
+    path = new_path(spark)
+    placed.write.partitionBy("__range").parquet(path)
+    written = spark.read.schema(placed.schema).parquet(path)
+    counts = {r["__range"]: r["n"] for r in written.groupBy("__range").agg(F.count("*").alias("n")).collect()}
+    before = [0, *accumulate(counts.get(i, 0) for i in range(n))]
+    first = spark.createDataFrame(list(enumerate(before[:-1])), "__range int, __first long")
+    ranked = written.join(F.broadcast(first), "__range").withColumn("rn", F.col("__first") + F.col("__place"))
+    return Pages(ranked.select(*rows.columns, "rn", "__range"), before)
+
+
 def with_total(paged: DataFrame, rows: DataFrame) -> DataFrame:
     """The number of all rows beside each row of a page."""
     return paged.withColumn("total", rows.agg(F.count("*")).scalar())

@@ -1,21 +1,84 @@
 """Snapshots, exports and backups."""
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import csv_line
+from ..functions.url import registrable_domain
 from ..operators.evaluation import bag_fingerprint
 
 
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _point(spark: SparkSession, path: str, content: dict) -> None:
+    """Put a small file in place of another in one step: written aside, then renamed over it."""
+    aside, files = _file(spark, f"{path}.{uuid.uuid4().hex}")
+    out = files.create(aside, True)
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options
+    over = spark.sparkContext._gateway.new_array(options.Rename, 1)
+    over[0] = options.Rename.OVERWRITE
+    target, _ = _file(spark, path)
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(files.makeQualified(aside), files.makeQualified(target), over)
+
+
+def _pointed(spark: SparkSession, path: str) -> dict | None:
+    at, files = _file(spark, path)
+    return json.loads(spark.read.option("wholetext", "true").text(path).first()["value"]) if files.exists(at) else None
+
+
 def write_snapshot(rows: DataFrame, folder: str) -> str:
-    """Write under the content's hash, so that equal content is one version (SNK-01, SNK-03); the version."""
+    """Publish ``rows`` under the hash of their content; the version (SNK-01, SNK-03).
+
+    The table is written to a folder of its own, then a file that names the version is put in place in one step, and
+    with another the version becomes the current one. Readers follow these pointers, so they see a whole version or
+    the one before, and a write that fails leaves both as they were. Equal content is one version and is not
+    written again. Old versions stay until ``prune``.
+    """
+    spark, folder = rows.sparkSession, folder.rstrip("/")
     version = bag_fingerprint(rows, sorted(rows.columns)).first()["fingerprint"][:16]
-    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/version={version}")
+    known = _pointed(spark, f"{folder}/versions/{version}.json")
+    if known is None:
+        data = f"data/{version}-{uuid.uuid4().hex[:8]}"
+        rows.write.parquet(f"{folder}/{data}")
+        known = {"version": version, "data": data, "schema": rows.schema.jsonValue()}
+        _point(spark, f"{folder}/versions/{version}.json", known)
+    if (_pointed(spark, f"{folder}/current.json") or {}).get("version") != version:
+        _point(spark, f"{folder}/current.json", known)
     return version
 
 
-def read_snapshot(spark: SparkSession, folder: str, version: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/version={version}")
+def read_snapshot(spark: SparkSession, folder: str, version: str | None = None) -> DataFrame:
+    """A version that was published, the current one by default."""
+    folder = folder.rstrip("/")
+    known = _pointed(spark, f"{folder}/current.json" if version is None else f"{folder}/versions/{version}.json")
+    if known is None:
+        raise ValueError(f"no version {version or ''} in {folder}")
+    return spark.read.schema(StructType.fromJson(known["schema"])).parquet(f"{folder}/{known['data']}")
+
+
+def prune(spark: SparkSession, folder: str, keep: list[str]) -> list[str]:
+    """Delete all versions but the current one and those to ``keep``, and what failed writes have left; the names deleted."""
+    folder = folder.rstrip("/")
+    current = _pointed(spark, f"{folder}/current.json") or {}
+    kept = {*keep, current.get("version")}
+    gone = []
+    for part in ("versions", "data"):
+        at, files = _file(spark, f"{folder}/{part}")
+        for status in files.listStatus(at) if files.exists(at) else ():
+            name = status.getPath().getName()
+            if part == "versions" and name.split(".")[0] not in kept or part == "data" and not any((_pointed(spark, f"{folder}/versions/{v}.json") or {}).get("data") == f"data/{name}" for v in kept if v):
+                files.delete(status.getPath(), True)
+                gone.append(name)
+    return sorted(gone)
 
 
 def write_csv(rows: DataFrame, columns: list[str], folder: str) -> None:
@@ -40,11 +103,21 @@ def without_snippets(scan: DataFrame, column: str, nested: str) -> DataFrame:
     return scan.withColumn(column, F.transform(F.col(column), lambda x: x.withField(nested, F.transform(x[nested], lambda y: y.dropFields("snippet")))))
 
 
-def legacy_export(venues: DataFrame, facts: DataFrame, attestations: DataFrame) -> DataFrame:
-    """Active venues; the website only with a live attestation, resources only with a website (SNK-07)."""
-    live = attestations.where("lifecycle = 'active' AND decision = 'verified'").groupBy("venue_id").agg(F.min("website").alias("website"))
-    accepted = facts.where("kind = 'resource' AND decision = 'accepted' AND lifecycle = 'active'")
-    resources = accepted.groupBy("venue_id").agg(F.array_sort(F.collect_list(F.struct("role", "url"))).alias("resources"))
-    out = venues.where("active").join(live, "venue_id", "left").join(resources, "venue_id", "left")
-    none = F.array().cast("array<struct<role: string, url: string>>")
-    return out.withColumn("resources", F.when(F.col("website").isNotNull(), F.coalesce("resources", none)).otherwise(none))
+def legacy_export(venues: DataFrame, facts: DataFrame, attestations: DataFrame, at: Column, municipality: str = "") -> DataFrame:
+    """``name, canonical_venue_id, website, resources`` of active venues, of one municipality or of all (SNK-07).
+
+    The website is the first accepted website fact, by address, for whose registrable domain the venue has a verified
+    attestation that was reviewed by ``at`` and has not expired then. Resources are the accepted ones, by address, and
+    none without a website. Venues: venue_id, display_name, municipality, lifecycle. Facts: venue_id, kind, url, role,
+    decision, lifecycle. Attestations: venue_id, domain, decision, lifecycle, reviewed_at, expires_at.
+    """
+    live = attestations.where("decision = 'verified' AND lifecycle = 'active'").where((F.col("reviewed_at") <= at) & (F.col("expires_at") > at)).select("venue_id", "domain").distinct()
+    accepted = facts.where("decision = 'accepted' AND lifecycle = 'active'")
+    sites = accepted.where("kind = 'website'").select("venue_id", "url", registrable_domain(F.col("url")).alias("domain"))
+    website = sites.join(live, ["venue_id", "domain"]).groupBy("venue_id").agg(F.min("url").alias("website"))
+    resources = accepted.where("kind = 'resource'").groupBy("venue_id").agg(F.array_sort(F.collect_list(F.struct("url", "role"))).alias("resources"))
+    chosen = venues.where((F.col("lifecycle") == "active") & ((F.lit(municipality) == "") | (F.col("municipality") == municipality)))
+    none = F.array().cast("array<struct<url: string, role: string>>")
+    out = chosen.join(website, "venue_id", "left").join(resources, "venue_id", "left")
+    shown = F.when(F.col("website").isNotNull(), F.coalesce("resources", none)).otherwise(none)
+    return out.select(F.col("display_name").alias("name"), F.col("venue_id").alias("canonical_venue_id"), "website", shown.alias("resources"))

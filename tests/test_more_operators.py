@@ -61,10 +61,6 @@ def test_merged_regions_and_boxes(spark):
 def test_exports(spark):
     scan = spark.createDataFrame([([("v", [("t", "s")])],)], "rows array<struct<id: string, found: array<struct<title: string, snippet: string>>>>")
     assert "snippet" not in sinks.without_snippets(scan, "rows", "found").schema.simpleString()
-    venues = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "venue_id string, active boolean")
-    facts = spark.createDataFrame([(v, "resource", "accepted", "active", "menu", f"u{v}") for v in "ab"], "venue_id string, kind string, decision string, lifecycle string, role string, url string")
-    attested = spark.createDataFrame([("a", "active", "verified", "https://a.b")], "venue_id string, lifecycle string, decision string, website string")
-    assert {r.venue_id: (r.website, len(r.resources)) for r in sinks.legacy_export(venues, facts, attested).collect()} == {"a": ("https://a.b", 1), "b": (None, 0)}
 
 
 def test_times(spark):
