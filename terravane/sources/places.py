@@ -7,6 +7,7 @@ from ..functions.filters import first_true, inside, reasons
 from ..functions.text import words_only
 from ..functions.url import with_scheme
 from ..operators.spatial import assign
+from . import json_array
 
 PLACE = """
 struct<type: string, geometry: struct<type: string, coordinates: array<double>>,
@@ -30,15 +31,15 @@ def geojson_sequence(spark: SparkSession, path: str, schema: str = PLACE) -> Dat
 
 
 def extract(spark: SparkSession, path: str, schema: str = PLACE) -> DataFrame:
-    """A local extract: lines, a feature collection, an array, or ``{places: []}`` (SRC-02)."""
+    """A local extract: lines, a feature collection, an array, or ``{places: []}`` (SRC-02).
+
+    The last three may be one file of any size; many tasks read it. A malformed record fails the read.
+    """
     if path.endswith((".jsonl", ".ndjson", ".geojsonl", ".geojsonseq")):
         return geojson_sequence(spark, path, schema)
-    shape = f"struct<features: array<{schema.strip()}>, places: array<{schema.strip()}>>"
-    whole = spark.read.option("wholetext", "true").text(path)
-    listed = F.from_json("value", f"array<{schema.strip()}>")
-    nested = F.from_json("value", shape)
-    chosen = F.when(F.ltrim("value").startswith("["), listed).otherwise(F.coalesce(nested["features"], nested["places"]))
-    return whole.select(F.explode(chosen).alias("r")).select("r.*")
+    parsed = json_array.records(spark, path).withColumn("r", F.from_json("text", schema, {"mode": "PERMISSIVE"}))
+    checked = F.when(F.col("r").isNull() | F.col("r.type").isNull(), F.raise_error(F.concat(F.lit("malformed record in "), F.col("file"), F.lit(": "), F.left("text", F.lit(80))))).otherwise(F.col("r"))
+    return parsed.select(checked.alias("r")).select("r.*")
 
 
 def local_evidence(address: Column, locality: str, postcodes: list[str], country: str) -> dict[str, Column]:
