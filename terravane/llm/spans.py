@@ -21,18 +21,36 @@ def no_spans() -> Column:
 
 
 def match_spans(text: Column, pattern: str, kind: int) -> Column:
-    """All matches of ``pattern`` in a text that has no null, in order."""
+    """All matches of ``pattern`` in a text that has no null, in order.
+
+    Offsets are running sums. An array that grows in a fold is copied at each step, so the matches are folded in
+    blocks of the root of their number: first the lengths of the blocks, then each block from its start.
+    """
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(pieces.alias("piece"), matches.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
+    pairs = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size"), m.alias("match")))
+
+    def lengths(block):
+        return F.aggregate(block, F.lit(0), lambda n, p: n + p["gap"] + p["size"])
 
     def step(acc, pair):
-        begin = acc["at"] + F.length(pair["piece"])
-        end = begin + F.coalesce(F.length(pair["match"]), F.lit(0))
+        begin = acc["at"] + pair["gap"]
+        end = begin + pair["size"]
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["match"].alias("value"))
         return F.struct(end.alias("at"), F.when(pair["match"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(span))).alias("found"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+    def spans(block, at):
+        return F.aggregate(block, F.struct(at.alias("at"), no_spans().alias("found")), step, lambda acc: acc["found"])
+
+    def starts(blocks):
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(blocks, first, lambda acc, b: F.struct((acc["at"] + lengths(b)).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+
+    def in_blocks(every):
+        width = F.ceil(F.sqrt(F.size(every))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / width).cast("int")), lambda i: F.slice(every, i * width + 1, width))
+        return bound(blocks, lambda held: F.flatten(F.zip_with(held, starts(held), spans)))
+
+    return bound(pairs, in_blocks)
 
 
 def listed(spans: Column, kinds: list[str]) -> Column:
@@ -45,17 +63,25 @@ def count_kind(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+#: A text with more spans than this is taken apart into its signs, as finding a place in a text costs its distance.
+MANY = 64
+
+
 def masked(text: Column, spans: Column, kinds: list[str]) -> Column:
     """The text with each span replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in kinds])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(acc, s):
-        between = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = F.concat(acc["parts"], F.array(between, F.element_at(names, s["kind"] + 1)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["parts"]).alias("parts"))
+    def replaced(part):
+        """``part`` gives so many signs from a place on."""
+
+        def step(acc, s):
+            between = part(acc["at"], F.greatest(s["start"] - acc["at"], F.lit(0)))
+            fresh = F.concat(acc["parts"], F.array(between, F.element_at(names, s["kind"] + 1)))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["parts"]).alias("parts"))
 
-    def finish(acc):
-        return F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+        return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), part(acc["at"], F.length(text))))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, finish))
+    few = replaced(lambda at, n: F.substring(text, at + 1, n))
+    many = bound(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda signs: replaced(lambda at, n: F.array_join(F.slice(signs, at + 1, n), "")))
+    return F.when(F.size(spans) == 0, text).when(F.size(spans) <= MANY, few).otherwise(many)
