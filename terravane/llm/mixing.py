@@ -117,11 +117,12 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     """The placed documents with their columns, texts too: those of ``docs``, then n_tokens, weight, pass, block, place.
 
     Columns of ``docs`` with one of these five names are replaced. Nulls, ties, texts without words and empty tables
-    are treated as in ``mix``; rows that repeat an id and its text are placed as often as they occur.
+    are treated as in ``mix``; rows that repeat an id are documents of their own, and are placed as often as they
+    occur, each with its own columns. Two that differ in columns of maps alone count as the same.
     """
     kept = [c for c in docs.columns if c not in PLACED]
     docs = docs.select(*kept)
-    key, tag = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text")
+    key, tag = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(*[F.coalesce(F.xxhash64(c), F.lit(0)) + F.col(c).isNull().cast("int") for c, kind in docs.dtypes if "map<" not in kind])
     placed = mix(docs.withColumn("__tag", tag), carry=("__tag",), **options).withColumn("__key", key).drop("doc_id", "source")
     whole = docs.withColumn("__key", key).withColumn("__tag", tag).dropDuplicates(["__key", "__tag"])
     return whole.join(placed, ["__key", "__tag"]).select(*kept, *PLACED)
