@@ -96,15 +96,41 @@ def policy_replay(decisions: DataFrame, labels: DataFrame, key: str, retain: Col
     return decisions.join(labels, key).groupBy(F.when(retain, "retain").otherwise("reject").alias("policy"), label.alias("label")).agg(F.count("*").alias("n"))
 
 
-def model_shortlist(models: DataFrame, scores: DataFrame, in_tokens: int, out_tokens: int, least: float, n: int) -> DataFrame:
-    """Models with benchmark scores by slug, of the id or else of the name, by score, then cost of a call (EVL-13, JN-22, SRT-13)."""
-    slug = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"^.*/", ""), "[^a-z0-9]+", "-")
-    by_id = scores.select(slug(F.col("slug")).alias("id_slug"), F.col("score").alias("by_id"))
-    by_name = scores.select(slug(F.col("slug")).alias("name_slug"), F.col("score").alias("by_name"))
-    m = models.withColumn("id_slug", slug(F.col("id"))).withColumn("name_slug", slug(F.col("name")))
-    m = m.join(by_id, "id_slug", "left").join(by_name, "name_slug", "left").withColumn("score", F.coalesce("by_id", "by_name"))
-    cost = F.col("price_in") * in_tokens + F.col("price_out") * out_tokens
-    return m.where(F.coalesce("score", F.lit(-1.0)) >= least).select("id", "name", "score", cost.alias("cost")).orderBy(F.desc_nulls_last("score"), "cost", "id").limit(n)
+#: The tokens of a call in each stage, as (input, output).
+CALL_TOKENS = {"triage": (4_500, 300), "verifier": (4_500, 1_500)}
+
+
+def model_slug(name: Column) -> Column:
+    """Letters and digits in lower case with single hyphens between, without the mark of a free variant."""
+    parts = F.regexp_replace(F.regexp_replace(F.lower(name), ":free$", ""), "[^a-z0-9]+", "-")
+    return F.regexp_replace(parts, "^-|-$", "")
+
+
+def model_shortlist(models: DataFrame, scores: DataFrame, least_context: int = 32_000) -> DataFrame:
+    """Models that can be used, with costs and benchmark scores, the best first, then the cheapest (EVL-13, JN-22, SRT-13).
+
+    Models: id, name, context_length, input_modalities, supported_parameters, prompt, completion, reasoning (prices a
+    token). Those that cannot answer in a given structure, take no text (none stated is text), have a shorter context
+    than ``least_context`` or no fixed price are left out. Scores: position, slug, name, score; of several under one
+    slug the last holds, whether the slug is of a name or an id. A model is looked up by the last part of its id, then
+    by its name, and is one row.
+    """
+    keyed = scores.select("position", F.posexplode(F.array(model_slug(F.col("slug")), model_slug(F.col("name")))).alias("n", "key"), F.col("slug").alias("score_slug"), "score").where(F.col("key").isNotNull())
+    last = keyed.groupBy("key").agg(F.max_by(F.struct("score", "score_slug"), F.struct("position", "n")).alias("s"))
+    has = lambda c, value: F.array_contains(c, value)
+    priced = (F.coalesce("prompt", F.lit(0.0)) >= 0) & (F.coalesce("completion", F.lit(0.0)) >= 0) & F.col("prompt").isNotNull() & F.col("completion").isNotNull()
+    text = has(F.coalesce("input_modalities", F.array(F.lit("text"))), "text")
+    usable = models.where(F.coalesce(has(F.col("supported_parameters"), "structured_outputs"), F.lit(False)) & text & (F.col("context_length") >= least_context) & priced)
+    m = usable.withColumn("id_key", model_slug(F.element_at(F.split("id", "/"), -1))).withColumn("name_key", model_slug(F.col("name")))
+    by_id, by_name = last.select(F.col("key").alias("id_key"), F.col("s").alias("by_id")), last.select(F.col("key").alias("name_key"), F.col("s").alias("by_name"))
+    found = m.join(by_id, "id_key", "left").join(by_name, "name_key", "left").withColumn("found", F.coalesce("by_id", "by_name"))
+    output = F.greatest("completion", F.coalesce("reasoning", F.lit(0.0)))
+    cost = {stage: F.round(1000 * (i * F.col("prompt") + o * output), 4) for stage, (i, o) in CALL_TOKENS.items()}
+    rows = found.select(
+        "id", "name", ((F.col("prompt") == 0) & (output == 0)).alias("free"), "context_length", F.round(F.col("prompt") * 1e6, 4).alias("usd_per_million_input"), F.round(output * 1e6, 4).alias("usd_per_million_output"),
+        *[c.alias(f"usd_per_1000_{stage}") for stage, c in cost.items()], F.col("found.score").alias("score"), F.col("found.score_slug").alias("slug"),
+    )
+    return rows.orderBy(F.coalesce("score", F.lit(-1.0)).desc(), "usd_per_1000_verifier", "id")
 
 
 def fixture_scores(cases: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Window as W
 
 from ..functions import html as H
 from ..functions.filters import first_true, reasons
-from ..functions.text import meaningful, token_ratio, words_only
-from ..functions.url import canonical_url, registrable_domain, resolve
+from ..functions.text import has_term, meaningful, token_ratio, words_only
+from ..functions.url import canonical_url, host, registrable_domain, resolve, website_kind
 
 # Ranks of roles and of levels of confidence.
 ROLE_RANK = {"menu": 7, "drinks": 6, "order": 5, "booking": 4, "specialty": 3, "menu_image": 2, "venue_page": 1, "secondary": 0}
@@ -18,19 +18,82 @@ def _rank(column: Column, table: dict[str, int]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)]), column), F.lit(0))
 
 
-def resources(pages: DataFrame, url: str = "url", html: str = "html", terms: dict[str, list[str]] = H.ROLE_TERMS) -> DataFrame:
-    """Links and images of pages with a role by their words, addresses resolved, once each (HTM-03)."""
-    anchors = F.regexp_extract_all(F.regexp_replace(html, r"(?is)<script\b.*?</script>", " "), F.lit(r'(?is)(<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>|<img\b[^>]*?src="[^"]*"[^>]*>)'), F.lit(1))
-    each = pages.select(F.col(url).alias("page"), F.posexplode(anchors).alias("position", "tag"))
-    link = F.coalesce(F.nullif(F.regexp_extract("tag", r'(?i)href="([^"]*)"', 1), F.lit("")), F.regexp_extract("tag", r'(?i)src="([^"]*)"', 1))
-    label = H.decode_entities(H.strip_tags(F.concat_ws(" ", F.regexp_extract("tag", r'(?i)(?:alt|title)="([^"]*)"', 1), F.col("tag"))))
-    found = each.select("page", "position", F.col("tag").rlike("(?i)^<img").alias("is_image"), link.alias("link"), label.alias("label"))
-    found = found.withColumn("target", resolve(F.col("link"), F.col("page"))).where(F.col("target").rlike("^https?://"))
-    pdf = F.col("target").rlike(r"(?i)\.pdf(?:$|[?#])")
-    role = H.role(words_only(F.concat_ws(" ", "label", F.regexp_replace("target", r"^https?://[^/]*", ""))), pdf, terms)
-    found = found.withColumn("role", F.when(F.col("is_image") & (role == "menu"), "menu_image").otherwise(role)).where("role IS NOT NULL")
-    first = W.partitionBy("page", canonical_url(F.col("target"), True)).orderBy("position")
-    return found.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+# What links and images of a venue's site are about, and signs that one is about something else.
+RESOURCE_TERMS = {
+    "menu": ["menu", "listino", "food", "antipasti", "primi", "secondi", "dolci", "alla carta", "carta del ristorante", "carta dei piatti"],
+    "drinks": ["drink", "vino", "vini", "wine", "bevande", "birre", "cocktail", "bar list"],
+    "order": ["ordina", "ordine", "ordering", "asporto", "consegna", "domicilio", "delivery", "takeaway", "take away"],
+    "booking": ["prenota", "prenotazione", "booking", "reservation", "riserva tavolo"],
+    "specialty": ["carne", "pesce", "brace", "griglia", "specialita", "degustazione", "cantina"],
+    "food": ["ristorante", "pizzeria", "trattoria", "osteria", "cucina", "ristorazione", "pizza", "sushi", "paninoteca", "birreria", "enoteca", "gastronomia"],
+    "lodging": ["room", "rooms", "camera", "camere", "suite", "bedroom", "alloggio"],
+    "boilerplate": [
+        "privacy", "cookie", "login", "sign in", "signin", "account", "terms", "condizioni", "imprint", "sitemap", "withdrawal", "recesso", "email protection", "wp admin", "wp login", "feed", "weather", "webcam", "helpcenter",
+    ],
+    "image_junk": ["logo", "icon", "favicon", "sprite", "avatar", "flag", "placeholder", "cookie", "tracking", "pixel", "loading", "spinner", "badge"],
+}
+ORDERING_HOSTS = r"^(?:orders?|delivery)\.|\.(?:orders?|delivery)\.|(?:^|\.)(?:dish\.co|ipratico\.com)$"
+MAX_IMAGES, IMAGE_CONTEXT = 2, 180
+LINK = r"""(?is)<a\b([^>]*?)href\s*=\s*["']([^"']+)["']([^>]*)>(.*?)</a>"""
+IMAGE = r"""(?i)<img\b([^>]*?)src\s*=\s*["']([^"']+)["']([^>]*)>"""
+
+
+def resources(pages: DataFrame, url: str = "url", html: str = "html", terms: dict[str, list[str]] = RESOURCE_TERMS, blocked: tuple[str, ...] = (), directories: tuple[str, ...] = ()) -> DataFrame:
+    """What a venue's page links to or shows of its menu, drinks, orders, bookings and specialties (HTM-03).
+
+    ``page, position, target, type, role, confidence, label, evidence, is_image``: links first, then images, in the
+    order of the page, an address once a page. Links stand in either quotes. They have to be on the page's own domain;
+    only pages for orders and bookings may be elsewhere, not at ``blocked`` or ``directories``. What speaks of
+    privacy, accounts and the like is passed over, and orders that are for rooms. An image counts if its own text
+    names a menu, or if the text around it does and speaks of food; no more than two of a page do. ``terms`` replace
+    those of the same kinds. Pages without an address or text have no rows.
+    """
+    terms = {**RESOURCE_TERMS, **terms}
+    base = pages.select(F.col(url).alias("page"), F.col(html).alias("html"))
+    about = lambda text, kind: has_term(text, terms[kind])
+    same = F.coalesce(host(F.col("target")) == host(F.col("page")), F.lit(False))
+    http = F.col("target").rlike("^https?://")
+
+    tags = base.select("page", F.posexplode(F.regexp_extract_all("html", F.lit(LINK), F.lit(0))).alias("position", "tag"))
+    part = lambda n, pattern=LINK: F.regexp_extract("tag", pattern, n)
+    links = tags.select("page", "position", H.decode_entities(part(2)).alias("href"), part(4).alias("inner")).where(~F.col("href").rlike("(?i)^(#|javascript:|mailto:|tel:)"))
+    links = links.withColumn("target", resolve(F.col("href"), F.col("page"))).where(http & ~F.coalesce(canonical_url(F.col("target")) == canonical_url(F.col("page")), F.lit(False)))
+    shown = F.array_join(F.regexp_extract_all("inner", F.lit(r"""(?i)\b(?:alt|title)\s*=\s*["']([^"']+)["']"""), F.lit(1)), " ")
+    links = links.withColumn("label", F.trim(H.decode_entities(H.strip_tags(F.col("inner"))))).withColumn("text", words_only(F.concat_ws(" ", "target", "label", shown))).withColumn("same", same)
+    ordering = F.coalesce(host(F.col("target")).rlike(ORDERING_HOSTS), F.lit(False))
+    links = links.withColumns({k: about(F.col("text"), k) for k in ("menu", "drinks", "booking", "specialty")}).withColumn("order", ordering | about(F.col("text"), "order"))
+    links = links.withColumn("pdf", F.col("target").rlike(r"(?i)\.pdf(?:$|[?#])")).withColumn("picture", F.col("target").rlike(r"(?i)\.(?:png|jpe?g|gif|webp|avif)(?:$|[?#])"))
+    c = F.col
+    elsewhere = (c("order") | c("booking")) & (website_kind(c("target"), list(blocked), list(directories)) == "official")
+    wanted = (c("same") | elsewhere) & (c("pdf") | c("menu") | c("drinks") | c("order") | c("booking") | c("specialty"))
+    wanted = wanted & ~about(c("text"), "boilerplate") & ~(c("order") & about(c("text"), "lodging") & ~c("menu") & ~c("specialty"))
+    role = F.when(c("picture"), "menu_image").when(c("order"), "order").when(c("booking"), "booking").when(c("drinks"), "drinks").when(c("menu") | c("pdf"), "menu").otherwise("specialty")
+    anchor = F.when(c("pdf"), "pdf_url").when(c("order"), "order_anchor").when(c("drinks"), "drinks_anchor").when(c("menu"), "menu_anchor").otherwise("specialty_anchor")
+    linked = links.where(wanted).select(
+        "page", "position", "target", F.when(c("pdf"), "pdf").when(c("picture"), "image").otherwise("webpage").alias("type"), role.alias("role"),
+        F.when(c("picture"), "low").when(c("pdf") | c("menu") | c("order"), "high").otherwise("medium").alias("confidence"), "label",
+        F.array(F.when(c("same"), "same_official_domain").otherwise("linked_from_official_site"), anchor).alias("evidence"), F.lit(False).alias("is_image"),
+    )
+
+    found = base.select("page", "html", F.split("html", IMAGE, -1).alias("between"), F.regexp_extract_all("html", F.lit(IMAGE), F.lit(0)).alias("tags"))
+    length = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
+    each = found.select("*", F.posexplode("tags").alias("position", "tag")).withColumn("at", length(F.slice("between", 1, F.col("position") + 1)) + length(F.slice("tags", F.lit(1), F.col("position"))))
+    first, last = F.greatest(c("at") - IMAGE_CONTEXT, F.lit(0)), c("at") + F.length("tag") + IMAGE_CONTEXT
+    images = each.select("page", "position", H.decode_entities(part(2, IMAGE)).alias("src"), F.concat_ws(" ", part(1, IMAGE), part(3, IMAGE)).alias("attributes"), words_only(H.strip_tags(F.substring("html", first + 1, last - first))).alias("around"))
+    images = images.where(~F.startswith("src", F.lit("data:"))).withColumn("target", resolve(F.col("src"), F.col("page"))).where(http & same)
+    said = lambda name: F.regexp_extract("attributes", rf"""(?i)\b{name}\s*=\s*["']([^"']*)["']""", 1)
+    images = images.withColumn("alt", said("alt")).withColumn("title", said("title")).withColumn("text", words_only(F.concat_ws(" ", "target", "alt", "title")))
+    both = F.concat_ws(" ", "text", "around")
+    strong, weak = about(c("text"), "menu"), about(c("around"), "menu") & (about(both, "food") | about(both, "specialty"))
+    images = images.where(~about(c("text"), "image_junk") & (strong | weak)).withColumn("strong", strong)
+    images = images.withColumn("__n", F.row_number().over(W.partitionBy("page").orderBy("position"))).where(c("__n") <= MAX_IMAGES)
+    pictured = images.select(
+        "page", "position", "target", F.lit("image").alias("type"), F.lit("menu_image").alias("role"), F.when(c("strong"), "medium").otherwise("low").alias("confidence"),
+        F.when(c("alt") != "", c("alt")).otherwise(c("title")).alias("label"), F.array(F.lit("same_official_domain"), F.when(c("strong"), "menu_image_metadata").otherwise("menu_image_context")).alias("evidence"), F.lit(True).alias("is_image"),
+    )
+    every = linked.unionByName(pictured).withColumn("label", F.left("label", F.lit(100)))
+    once = W.partitionBy("page", canonical_url(F.col("target"))).orderBy("is_image", "position")
+    return every.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
 
 
 def search_score(candidates: DataFrame) -> DataFrame:

@@ -97,10 +97,40 @@ def test_joins(spark):
 
 
 def test_models(spark):
-    models = spark.createDataFrame([("x/Alpha-1", "Alpha 1", 1.0, 2.0), ("x/b", "Beta Two", 0.5, 0.5), ("x/c", "Gamma", 0.1, 0.1)], "id string, name string, price_in double, price_out double")
-    scores = spark.createDataFrame([("alpha-1", 50.0), ("beta-two", 50.0), ("other", 9.0)], "slug string, score double")
-    got = evaluation.model_shortlist(models, scores, 1000, 100, 10.0, 5).collect()
-    assert [(r.id, r.score) for r in got] == [("x/b", 50.0), ("x/Alpha-1", 50.0)]
+    """Two scores of one slug, a name that another model's slug is, filters, and prices of free and routed models."""
+    model = "id string, name string, context_length long, input_modalities array<string>, supported_parameters array<string>, prompt double, completion double, reasoning double"
+    can = ["structured_outputs"]
+    models = [
+        ("x/Alpha-1:free", "Whatever", 64_000, ["text"], can, 0.0, 0.0, None), ("y/unknown", "Beta  Two!", 32_000, None, can, 1e-6, 2e-6, 3e-6), ("z/gamma", "Gamma", 99_000, ["text"], can, 1e-7, 1e-7, None),
+        ("z/short", "Short", 16_000, ["text"], can, 0.0, 0.0, None), ("z/images", "Images", 64_000, ["image"], can, 0.0, 0.0, None), ("z/auto", "Auto", 64_000, ["text"], can, -1.0, -1.0, None), ("z/loose", "Loose", 64_000, ["text"], [], 0.0, 0.0, None), ("z/dear", "Dear", 64_000, ["text"], can, 1e-3, 1e-3, None),
+    ]
+    scores = [(1, "alpha-1", "A", 10.0), (2, "beta-two", "Other", 50.0), (3, "alpha-1", "B", 70.0), (4, "elsewhere", "Alpha 1", 60.0)]
+    got = evaluation.model_shortlist(spark.createDataFrame(models, model), spark.createDataFrame(scores, "position int, slug string, name string, score double")).collect()
+    assert [(r.id, r.score, r.slug, r.free) for r in got] == [("x/Alpha-1:free", 60.0, "elsewhere", True), ("y/unknown", 50.0, "beta-two", False), ("z/gamma", None, None, False), ("z/dear", None, None, False)]
+    assert (got[1].usd_per_1000_triage, got[1].usd_per_1000_verifier, got[1].usd_per_million_output) == (5.4, 9.0, 3.0)
+
+
+RESOURCE_CASES = [
+    ("https://a.test/", "<a href='/menu'>Il menu</a>", [("https://a.test/menu", "menu", "high", ["same_official_domain", "menu_anchor"])]),
+    ("https://a.test/", '<a href="https://other.com/menu">menu</a>', []),
+    ("https://www.a.test/", '<a href="http://a.test/x?b=1&amp;c=2">Dolci</a><a href="#menu">menu</a><a href="mailto:menu@a.test">menu</a>', [("http://a.test/x?b=1&c=2", "menu", "high", ["same_official_domain", "menu_anchor"])]),
+    ("https://pizza-smile.order.dish.co/", '<a href="/menus/dolci">Dolci</a>', [("https://pizza-smile.order.dish.co/menus/dolci", "order", "high", ["same_official_domain", "order_anchor"])]),
+    ("https://a.test/", '<a href="/Listino.pdf"><img src="button-123.jpg" alt="Consulta prezzi"></a>', [("https://a.test/Listino.pdf", "menu", "high", ["same_official_domain", "pdf_url"])]),
+    ("https://a.test/", '<a href="https://orders.example.test/al-bivio">Ordina online</a>', [("https://orders.example.test/al-bivio", "order", "high", ["linked_from_official_site", "order_anchor"])]),
+    ("https://a.test/", '<a href="https://booking.example.test/table/1">Prenota il tuo tavolo</a>', [("https://booking.example.test/table/1", "booking", "medium", ["linked_from_official_site", "specialty_anchor"])]),
+    ("https://a.test/", '<a href="/privacy-menu">Privacy del menu</a><a href="/camere">Ordina camere</a><a href="/">menu</a><a href="/chi">Chi siamo</a>', []),
+    ("https://a.test/", '<a href="/pesce/">Pesce</a><a href="/pesce#x">Menu</a>', [("https://a.test/pesce/", "specialty", "medium", ["same_official_domain", "specialty_anchor"])]),
+    ("https://a.test/", '<img src="/logo-menu.png"><img src="/m1.jpg" alt="Menu"><p>la nostra pizza, il menu</p><img src="/m2.jpg"><img src="/menu.jpg">', [("https://a.test/m1.jpg", "menu_image", "medium", ["same_official_domain", "menu_image_metadata"]), ("https://a.test/m2.jpg", "menu_image", "low", ["same_official_domain", "menu_image_context"])]),
+    ("https://a.test/", None, []),
+    (None, '<a href="/menu">menu</a>', []),
+]
+
+
+def test_resources_of_pages(spark):
+    for page, html, want in RESOURCE_CASES:
+        rows = web.resources(spark.createDataFrame([(page, html)], "url string, html string")).orderBy("is_image", "position").collect()
+        assert [(r.target, r.role, r.confidence, r.evidence) for r in rows] == want, html
+    assert web.resources(spark.createDataFrame([], "url string, html string")).collect() == []
 
 
 def test_entities(spark):
