@@ -3,31 +3,13 @@
 import struct
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import RINGS, utm_to_lonlat
 
 POLYGONS = {5, 15, 25}
-SHAPE = f"attributes map<string, string>, rings {RINGS}"
-
-
-def records(dbf: bytes) -> list[dict[str, str]]:
-    """The attribute rows of a dBASE file as text; deleted rows keep their place."""
-    n, head, width = struct.unpack_from("<IHH", dbf, 4)
-    fields, at = [], 32
-    while dbf[at] != 0x0D:
-        fields.append((dbf[at : at + 11].split(b"\0")[0].decode("latin-1"), dbf[at + 16]))
-        at += 32
-    out = []
-    for i in range(n):
-        at, row = head + i * width + 1, {}
-        for name, size in fields:
-            row[name] = dbf[at : at + size].decode("utf-8", "replace").strip()
-            at += size
-        out.append(row)
-    return out
 
 
 def signed_area(ring: np.ndarray) -> float:
@@ -43,43 +25,89 @@ def holds(ring: np.ndarray, point: np.ndarray) -> bool:
     return bool((spans & (point[0] < x)).sum() % 2)
 
 
-def polygons(shp: bytes) -> list[list[list[np.ndarray]]]:
-    """The multipolygon of each record: clockwise rings are outer ones, the others holes of the one that holds them."""
-    out, at = [], 100
-    while at + 8 <= len(shp):
-        (words,) = struct.unpack_from(">i", shp, at + 4)
-        body, at = at + 8, at + 8 + 2 * words
-        shapes: list[list[np.ndarray]] = []
-        if struct.unpack_from("<i", shp, body)[0] in POLYGONS:
-            n_parts, n_points = struct.unpack_from("<ii", shp, body + 36)
-            parts = [*struct.unpack_from(f"<{n_parts}i", shp, body + 44), n_points]
-            points = np.frombuffer(shp, "<f8", 2 * n_points, body + 44 + 4 * n_parts).reshape(-1, 2)
-            rings = [points[a:b] for a, b in zip(parts, parts[1:])]
-            rings = [r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r for r in rings]
-            shapes = [[r] for r in rings if signed_area(r) < 0]
-            for hole in (r for r in rings if signed_area(r) >= 0):
-                owner = next((s for s in shapes if holds(s[0], hole[0])), shapes[-1] if shapes else None)
-                if owner is None:
-                    shapes.append([hole])
-                else:
-                    owner.append(hole)
-        out.append(shapes)
-    return out
-
-
-def layers(spark: SparkSession, folder: str) -> DataFrame:
-    """``layer, attributes, rings`` of all polygon shapefiles in a folder (SRC-05). A layer is parsed by one task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{shp,dbf}").load(folder)
-    named = files.select(F.regexp_extract("path", r"([^/]+)\.(?:shp|dbf)$", 1).alias("layer"), F.regexp_extract("path", r"\.(shp|dbf)$", 1).alias("kind"), "content")
-    pairs = named.groupBy("layer").agg(F.max(F.when(F.col("kind") == "shp", F.col("content"))).alias("shp"), F.max(F.when(F.col("kind") == "dbf", F.col("content"))).alias("dbf")).where("shp IS NOT NULL AND dbf IS NOT NULL")
-
-    def parse(frames):
-        for pdf in frames:
-            for layer, shp, dbf in pdf.itertuples(index=False):
-                rows = [(layer, a, [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in p] for p in shape]) for a, shape in zip(records(dbf), polygons(shp))]
-                yield pd.DataFrame(rows, columns=["layer", "attributes", "rings"])
-
-    return pairs.mapInPandas(parse, f"layer string, {SHAPE}")
+def multipolygon(record: bytes) -> list[list[np.ndarray]]:
+    """The polygons of a record's content: clockwise rings are outer ones, the others holes of the one that holds them."""
+    if len(record) < 44 or struct.unpack_from("<i", record)[0] not in POLYGONS:
+        return []
+    n_parts, n_points = struct.unpack_from("<ii", record, 36)
+    parts = [*struct.unpack_from(f"<{n_parts}i", record, 44), n_points]
+    points = np.frombuffer(record, "<f8", 2 * n_points, 44 + 4 * n_parts).reshape(-1, 2)
+    rings = [points[a:b] for a, b in zip(parts, parts[1:])]
+    rings = [r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r for r in rings]
+    shapes = [[r] for r in rings if signed_area(r) < 0]
+    for hole in (r for r in rings if signed_area(r) >= 0):
+        owner = next((s for s in shapes if holds(s[0], hole[0])), shapes[-1] if shapes else None)
+        if owner is None:
+            shapes.append([hole])
+        else:
+            owner.append(hole)
+    return shapes
+
+
+def _number(content: Column, at: Column | int, size: int, little: bool = False) -> Column:
+    """An unsigned number of some bytes, the first of them at ``at`` from 0."""
+    sign = lambda i: F.conv(F.hex(F.substring(content, F.lit(at) + 1 + i, F.lit(1))), 16, 10).cast("long")
+    return sum((sign(i) * 256 ** (i if little else size - 1 - i) for i in range(size)), F.lit(0).cast("long"))
+
+
+def _places(shp: pa.Array) -> pa.Array:
+    """Where the records of a file without an index are: each tells its own length."""
+    out = []
+    for content in shp.to_pylist():
+        at, found = 100, []
+        while content and at + 8 <= len(content):
+            (words,) = struct.unpack_from(">i", content, at + 4)
+            found.append({"at": at + 8, "size": 2 * words})
+            at += 8 + 2 * words
+        out.append(found)
+    return pa.array(out, pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int64())])))
+
+
+def _shapes(batches):
+    for batch in batches:
+        rings = [[[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in p] for p in multipolygon(content)] for content in batch.column(2).to_pylist()]
+        kind = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rings, kind)], ["layer", "n", "rings"])
+
+
+def layers(spark: SparkSession, folder: str, names: list[str] | None = None) -> DataFrame:
+    """``layer, attributes, rings`` of the polygon shapefiles in a folder, or of those ``named`` (SRC-05).
+
+    A file is read by one task, which only cuts it: by the places in its index ``.shx``, or where there is none by the
+    lengths the records tell. The records of all layers are then dealt out evenly, and many tasks read the shapes of
+    one layer. Rows of attributes have a fixed width and are cut likewise, inside the JVM, and meet the shapes by
+    layer and number. Deleted rows keep their place; a shape that is no polygon has no rings.
+    """
+    glob = "{" + ",".join(f"{n}.{{shp,dbf,shx}}" for n in names) + "}" if names else "*.{shp,dbf,shx}"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    named = files.select(F.regexp_extract("path", r"([^/]+)\.(?:shp|dbf|shx)$", 1).alias("layer"), F.regexp_extract("path", r"\.(shp|dbf|shx)$", 1).alias("kind"), "content")
+    of = lambda kind: named.where(F.col("kind") == kind).select("layer", F.col("content").alias(kind))
+    both = of("shp").join(of("dbf").select("layer"), "layer", "left_semi").join(of("shx"), "layer", "left")
+    last = ((F.length("shx") - 100) / 8 - 1).cast("long")
+    indexed = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct((_number(F.col("shx"), 100 + 8 * i, 4) * 2 + 8).alias("at"), (_number(F.col("shx"), 104 + 8 * i, 4) * 2).alias("size")))
+    told = F.arrow_udf("array<struct<at: long, size: long>>")(_places)
+    places = F.when(F.col("shx").isNull(), told(F.when(F.col("shx").isNull(), F.col("shp")))).when(last < 0, F.array()).otherwise(indexed)
+    cut = F.transform(places, lambda p: F.substring(F.col("shp"), (p["at"] + 1).cast("int"), p["size"].cast("int")))
+    contents = both.select("layer", F.posexplode(cut).alias("n", "content")).repartition(F.col("layer"), F.col("n"))
+    shapes = contents.mapInArrow(_shapes, f"layer string, n int, rings {RINGS}")
+    return shapes.join(_attributes(of("dbf")), ["layer", "n"]).select("layer", "attributes", "rings")
+
+
+def _attributes(tables: DataFrame) -> DataFrame:
+    """``layer, n, attributes`` of dBASE files: the head tells how many rows there are, how wide, and the fields."""
+    d = F.col("dbf")
+    head = tables.select("layer", "dbf", _number(d, 4, 4, True).alias("rows"), _number(d, 8, 2, True).alias("head"), _number(d, 10, 2, True).alias("width"))
+    # Descriptions of fields stand between the first 32 bytes and a byte that ends the head.
+    slots = F.sequence(F.lit(0).cast("long"), F.floor((F.col("head") - 33) / 32) - 1)
+    name = lambda i: F.regexp_extract(F.decode(F.substring(d, (33 + 32 * i).cast("int"), F.lit(11)), "ISO-8859-1"), "^[^\\x00]*", 0)
+    fields = F.transform(slots, lambda i: F.struct(name(i).alias("name"), _number(d, 32 + 32 * i + 16, 1).alias("size")))
+    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<name: string, at: long, size: long>>").alias("fields"))
+    placed = F.aggregate(fields, start, lambda acc, f: F.struct((acc["at"] + f["size"]).alias("at"), F.concat(acc["fields"], F.array(F.struct(f["name"].alias("name"), acc["at"].alias("at"), f["size"].alias("size")))).alias("fields")), lambda acc: acc["fields"])
+    wide = head.where("rows > 0").withColumn("fields", placed)
+    rows = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1), lambda i: F.substring(d, (F.col("head") + i * F.col("width") + 1).cast("int"), F.col("width").cast("int")))
+    each = wide.select("layer", "fields", F.posexplode(rows).alias("n", "row"))
+    value = lambda f: F.trim(F.decode(F.substring("row", (f["at"] + 1).cast("int"), f["size"].cast("int")), "UTF-8"))
+    return each.select("layer", "n", F.map_from_entries(F.transform("fields", lambda f: F.struct(f["name"], value(f)))).alias("attributes"))
 
 
 def reprojected(rows: DataFrame, zone: int = 32) -> DataFrame:

@@ -47,6 +47,48 @@ def test_shapefile(spark, tmp_path):
     assert row.rings[0][0][0].x == pytest.approx(9, abs=1e-9) and row.rings[0][0][0].y == pytest.approx(0, abs=1e-9)
 
 
+def shx_of(shapes):
+    shp, at, out = shp_of(shapes), 100, bytes(100)
+    while at < len(shp):
+        (words,) = struct.unpack_from(">i", shp, at + 4)
+        out += struct.pack(">2i", at // 2, words)
+        at += 8 + 2 * words
+    return out
+
+
+@pytest.mark.parametrize("index", [True, False])
+def test_many_tasks_read_one_layer(spark, tmp_path, index):
+    """Two hundred shapes with holes and several parts, other kinds of shapes, and text in two encodings."""
+    box = lambda x, y, s, turn: [(x, y), (x, y + s), (x + s, y + s), (x + s, y), (x, y)][:: -1 if turn else 1]
+    shapes = [[box(i, 0, 5, False), box(i + 1, 1, 1, True), *([box(i + 10, 0, 2, False)] if i % 3 == 0 else [])] for i in range(200)]
+    rows = [(f"{i:03d}", f"Forlì {i}", i * 7) for i in range(200)]
+    (tmp_path / "a.shp").write_bytes(shp_of(shapes))
+    (tmp_path / "a.dbf").write_bytes(dbf_of(["CODE", "NAME", "N"], rows))
+    if index:
+        (tmp_path / "a.shx").write_bytes(shx_of(shapes))
+    (tmp_path / "lonely.shp").write_bytes(shp_of(shapes))
+    for suffix, content in (("shp", bytes(100)), ("dbf", dbf_of(["CODE"], [])), ("shx", bytes(100))):
+        (tmp_path / f"empty.{suffix}").write_bytes(content)
+    found = shapefile.layers(spark, str(tmp_path))
+    got = {r["attributes"]["CODE"]: r for r in found.collect()}
+    assert len(got) == 200 and {r["layer"] for r in got.values()} == {"a"}
+    for i, row in enumerate(rows):
+        r = got[row[0]]
+        assert r["attributes"] == {"CODE": row[0], "NAME": row[1], "N": str(row[2])}
+        outer = [[(p["x"], p["y"]) for p in ring] for polygon in r["rings"] for ring in polygon]
+        assert sorted(outer) == sorted([[(float(x), float(y)) for x, y in ring[:-1]] for ring in shapes[i]])
+        assert [len(p) for p in r["rings"]] == ([2, 1] if i % 3 == 0 else [2])
+    assert shapefile.layers(spark, str(tmp_path), ["empty"]).collect() == []
+    # The shapes of a layer are dealt out before they are read.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [layer" in plan.split("MapInArrow")[1].split("Join")[0]
+
+
+def test_shapes_that_are_no_polygons_have_no_rings():
+    assert shapefile.multipolygon(struct.pack("<i2d", 1, 0.0, 0.0)) == [] and shapefile.multipolygon(b"") == []
+    assert shapefile.multipolygon(struct.pack("<i", 0) + bytes(60)) == []
+
+
 def test_reprojection(spark):
     # A metre of northing along the central meridian is 1 / 0.9996 metres of the ellipsoid's meridian arc.
     a, f = geo.SEMI_AXIS_M, geo.FLATTENING
