@@ -128,7 +128,7 @@ def records(spark, sf_dir):
         k.alias("id"), F.col("c_nationkey").alias("town"), F.concat_ws(" ", F.element_at(words, (k % 8 + 1).cast("int")), F.when(k % 3 == 0, "II")).alias("name"), F.array().cast("array<string>").alias("aliases"),
         F.when(k % 4 != 0, F.concat(F.lit("+39 0422 "), (F.lit(700000) + k % 23).cast("string"))).alias("phone"), F.when(k % 5 != 0, F.concat(F.lit("https://www.site"), (k % 29).cast("string"), F.lit(".example.com/"))).alias("website"),
         F.concat(F.lit("Via Roma "), (k % 17).cast("string")).alias("address"), F.lit("Via Roma").alias("street"), (k % 17).cast("string").alias("house_number"), F.lpad((F.lit(31000) + k % 3).cast("string"), 5, "0").alias("postcode"),
-        F.lit(None).cast("string").alias("place_id"), F.lit(None).cast("string").alias("locality"), (F.lit(45.0) + k % 7 / F.lit(10000.0)).alias("lat"), (F.lit(12.0) + k % 11 / F.lit(10000.0)).alias("lon"),
+        F.lit(None).cast("string").alias("place_id"), F.lit(None).cast("string").alias("locality"), F.when(k % 5 == 0, "overture_places").when(k % 5 == 1, "crawl").otherwise("site").alias("source"), (F.lit(45.0) + k % 7 / F.lit(10000.0)).alias("lat"), (F.lit(12.0) + k % 11 / F.lit(10000.0)).alias("lon"),
     )
 
 
@@ -143,14 +143,15 @@ _NAMES = "['trattoria aurora', 'osteria bella', 'aurora', 'bar centrale', 'risto
 _CORES = "['aurora', 'bella', 'aurora', 'centrale', 'centrale', 'pergola', 'pergola nova', 'da mario']"
 PAIR_SQL = f"""
 WITH r AS (SELECT c_custkey AS k, c_nationkey AS town, {_NAMES}[c_custkey % 8 + 1] || CASE WHEN c_custkey % 3 = 0 THEN ' ii' ELSE '' END AS raw, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 23 END AS phone, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 29 END AS site,
-  c_custkey % 17 AS number, c_custkey % 3 AS postcode, 45.0::DOUBLE + c_custkey % 7 / 10000.0::DOUBLE AS lat, 12.0::DOUBLE + c_custkey % 11 / 10000.0::DOUBLE AS lon FROM customer),
+  c_custkey % 17 AS number, c_custkey % 3 AS postcode, CASE c_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS source, 45.0::DOUBLE + c_custkey % 7 / 10000.0::DOUBLE AS lat, 12.0::DOUBLE + c_custkey % 11 / 10000.0::DOUBLE AS lon FROM customer),
 n AS (SELECT *, regexp_replace(raw, ' srl$', '') AS name, regexp_replace(regexp_replace(raw, ' srl$', ''), '^(trattoria|osteria|bar|ristorante|la) ', '') AS core FROM r),
 p AS (SELECT a.k AS "left", b.k AS "right", a.name = b.name AS exact, a.core = b.core AS core, (contains(a.core, b.core) OR contains(b.core, a.core)) AND least(length(a.core), length(b.core)) >= 4 AS part,
-  coalesce(a.phone = b.phone, false) AS ph, coalesce(a.site = b.site, false) AS si, a.number = b.number AS ad, a.postcode = b.postcode AS po, coalesce(a.phone <> b.phone, false) AS phx, a.postcode <> b.postcode AS pox, a.number <> b.number AS nux,
+  coalesce(a.phone = b.phone, false) AS ph, coalesce(a.site = b.site, false) AS si, a.number = b.number AS ad, a.postcode = b.postcode AS po, coalesce(a.phone <> b.phone, false) AS phx, a.postcode <> b.postcode AS pox, a.number <> b.number AS nux, a.source <> b.source AND 0 IN (a.source, b.source) AS witness,
   {geo.EARTH_M}::DOUBLE * 2 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) AS m
   FROM n a JOIN n b ON a.town = b.town AND a.k < b.k),
 c AS (SELECT *, list_filter([CASE WHEN exact THEN 'name_exact' WHEN core OR part THEN 'name_alias' END, CASE WHEN ph THEN 'phone_exact' END, CASE WHEN si THEN 'website_exact' END, CASE WHEN ad THEN 'address_exact' END,
-    CASE WHEN po THEN 'postcode_exact' END, CASE WHEN m <= 30 THEN 'distance_30' WHEN m <= 100 THEN 'distance_100' WHEN m <= 250 THEN 'distance_250' END], lambda x: x IS NOT NULL) AS ev,
+    CASE WHEN po THEN 'postcode_exact' END, CASE WHEN m <= 30 THEN 'distance_30' WHEN m <= 100 THEN 'distance_100' WHEN m <= 250 THEN 'distance_250' END,
+    CASE WHEN witness AND (ph OR si OR ad OR m <= 250) THEN 'independent_source_records' END], lambda x: x IS NOT NULL) AS ev,
   list_filter([CASE WHEN phx THEN 'phone_conflict' END, CASE WHEN pox THEN 'postcode_conflict' END, CASE WHEN nux THEN 'house_number_conflict' END], lambda x: x IS NOT NULL) AS cf,
   CASE WHEN exact THEN 50 WHEN core THEN 35 WHEN part THEN 25 ELSE 0 END + CASE WHEN ph THEN 45 ELSE 0 END + CASE WHEN si THEN 45 ELSE 0 END + CASE WHEN ad THEN 35 ELSE 0 END + CASE WHEN po THEN 10 ELSE 0 END + CASE WHEN m <= 30 THEN 35 WHEN m <= 100 THEN 25 WHEN m <= 250 THEN 15 ELSE 0 END AS score
   FROM p WHERE exact OR core OR part OR (ph AND (si OR ad))),
