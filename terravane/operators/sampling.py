@@ -101,6 +101,46 @@ def diverse_slots(rows: DataFrame, slots: int = 15, holdout: int = 5, per_cell:
     return cut.groupBy("region").applyInPandas(fill, f"region {kinds['region']}, venue_id {kinds['venue_id']}, slot long, part string")
 
 
+def powered_target(slot: int) -> dict[str, str]:
+    """As ``slot_target``, with chains and languages in every ten slots."""
+    return slot_target(slot) | {"chain": "known_chain" if slot % 10 == 1 else "independent_or_unknown", "language": "included" if slot % 10 == 2 else "standard"}
+
+
+def powered_holdout(rows: DataFrame, seed: str, slots: int = 25) -> DataFrame:
+    """``region, venue_id, slot, part``: 25 venues a region, all locked, by the least penalty in turn (SMP-06).
+
+    Ties of a slot go by sha256(seed, region, slot, venue), which differs from slot to slot. A region that has no venue
+    left with the website a slot asks for fails. Rows are those of ``diverse_slots`` without the hash. Each slot takes the
+    first of some cell of strata, type and town, and at most ``slots`` are taken, so the first ``slots`` of a cell by a
+    slot's hash are all that is gathered for it.
+    """
+    strata = ["website", "size", "tourism", "chain", "language", "type", "town"]
+    asked = F.explode(F.filter(F.sequence(F.lit(0), F.lit(slots - 1)), lambda s: (s % 2 == 0) == (F.col("website") == "known"))).alias("slot")
+    each = rows.where(F.col("website").isin("known", "missing")).select("region", "venue_id", *strata, asked)
+    each = each.withColumn("hash", F.sha2(F.concat_ws(":", F.lit(seed), F.col("region").cast("string"), F.col("slot").cast("string"), F.col("venue_id").cast("string")), 256))
+    w = W.partitionBy("region", "slot", *strata).orderBy("hash", "venue_id")
+    first = each.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= slots).drop("__n")
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        types, towns, taken, out = Counter(), Counter(), set(), []
+        by_slot = {slot: part.to_dict("records") for slot, part in pdf.groupby("slot")}
+        for slot in range(slots):
+            target = powered_target(slot)
+            fit = [r for r in by_slot.get(slot, ()) if r["venue_id"] not in taken]
+            if not fit:
+                raise ValueError(f"region {pdf['region'].iloc[0]} lacks venues whose website is {target['website']}")
+            penalty = lambda r, target=target: sum(p for k, p in PENALTY.items() if r[k] != target[k]) + TYPE_PENALTY * types[r["type"]] + TOWN_PENALTY * towns[r["town"]]
+            best = min(fit, key=lambda r, penalty=penalty: (penalty(r), r["hash"], r["venue_id"]))
+            taken.add(best["venue_id"])
+            types[best["type"]] += 1
+            towns[best["town"]] += 1
+            out.append((best["region"], best["venue_id"], slot, "locked_holdout"))
+        return pd.DataFrame(out, columns=["region", "venue_id", "slot", "part"])
+
+    kinds = dict(rows.dtypes)
+    return first.groupBy("region").applyInPandas(fill, f"region {kinds['region']}, venue_id {kinds['venue_id']}, slot long, part string")
+
+
 def balanced_types(rows: DataFrame, catalog: list[str]) -> DataFrame:
     """For each town of a short catalog, in order, one known and one missing website, types chosen least so far, ties by hash (SMP-04).
 

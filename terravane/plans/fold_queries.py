@@ -24,6 +24,15 @@ def stages_after_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.stage_after(steps, "venue_id", ["id"], "stage", "automatic")
 
 
+_STAGES, _FINAL = str(queue.STAGES), str(queue.FINAL)
+STAGES_SQL = f"""
+WITH RECURSIVE s AS (SELECT o_custkey AS venue_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderkey % 7 + 1 AS stage, o_orderkey % 3 <> 0 AS automatic FROM orders),
+f AS (SELECT DISTINCT venue_id, 0::BIGINT AS i, 1::BIGINT AS stage FROM s
+  UNION ALL
+  SELECT f.venue_id, s.i, CASE WHEN NOT s.automatic OR (NOT list_contains({_FINAL}, {_STAGES}[f.stage]) AND s.stage > f.stage) THEN s.stage ELSE f.stage END FROM f JOIN s ON s.venue_id = f.venue_id AND s.i = f.i + 1)
+SELECT venue_id, {_STAGES}[arg_max(stage, i)] AS stage FROM f GROUP BY venue_id"""
+
+
 def balanced_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     rows = leads(spark, sf_dir).select(F.col("nation").alias("town"), k.alias("venue_id"), sampling.order_hash("b", k).alias("order_hash"), F.col("segment").alias("type"), F.when(k % 2 == 0, "known").otherwise("missing").alias("website"))
@@ -51,7 +60,7 @@ SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Ristoro ' || page_id END AS name
 
 QUERIES = {
     "reserved_budgets": (reserved_budgets, None),
-    "stages_after_steps": (stages_after_steps, None),
+    "stages_after_steps": (stages_after_steps, STAGES_SQL),
     "balanced_selection": (balanced_selection, None),
     "structured_pages": (structured_pages, STRUCTURED_SQL),
     "windowed_events": (windowed_events, WINDOWED_SQL),

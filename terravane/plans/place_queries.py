@@ -200,14 +200,21 @@ def map_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.greedy_clusters(projected(spark, sf_dir), key="c_custkey")
 
 
-def diverse_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    rows = leads(spark, sf_dir).select(
+    return leads(spark, sf_dir).select(
         "region", k.alias("venue_id"), sampling.order_hash("u", k).alias("order_hash"), F.col("segment").alias("type"), F.col("nation").alias("town"), F.when(k % 2 == 0, "known").otherwise("missing").alias("website"),
         F.when(k % 3 == 0, "small").when(k % 3 == 1, "medium").otherwise("large").alias("size"), F.when(k % 5 == 0, "tourism_focus").otherwise("general_market").alias("tourism"),
         F.when(k % 7 == 0, "known_chain").otherwise("independent_or_unknown").alias("chain"), F.when(k % 11 == 0, "included").otherwise("standard").alias("language"),
     )
-    return sampling.diverse_slots(rows)
+
+
+def diverse_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.diverse_slots(strata(spark, sf_dir))
+
+
+def powered_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.powered_holdout(strata(spark, sf_dir).drop("order_hash"), "powered")
 
 
 def page_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,5 +250,6 @@ QUERIES = {
     "entity_groups": (entity_groups, None),
     "map_clusters": (map_clusters, None),
     "diverse_selection": (diverse_selection, None),
+    "powered_selection": (powered_selection, None),
     "page_resources": (page_resources, None),
 }
