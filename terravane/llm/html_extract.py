@@ -12,6 +12,7 @@ holds an article, or a form that holds most of a page's text, is never cut. With
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -66,6 +67,8 @@ class Node:
 def parse(page: str) -> Node:
     """The tree of a page; unclosed elements end where the standard lets them end, stray end tags are skipped."""
     root = now = Node("#root", "", None)
+    # How many elements of a name are open, so that nobody climbs for one that isn't.
+    opened: Counter = Counter()
     at, end = 0, len(page)
     while at < end:
         found = TAG.search(page, at)
@@ -80,12 +83,18 @@ def parse(page: str) -> Node:
                 now.kids.append(found[0][9:].removesuffix("]]>"))
             continue
         if found[1]:
-            node = now
-            while node.up and node.tag != tag:
-                node = node.up
-            now = node.up or now
+            if opened[tag]:
+                node = now
+                while node.tag != tag:
+                    opened[node.tag] -= 1
+                    node = node.up
+                opened[tag] -= 1
+                now = node.up
             continue
-        now = _make_room(now, tag)
+        room = _make_room(now, tag, opened)
+        while now is not room:
+            opened[now.tag] -= 1
+            now = now.up
         node = Node(tag, found[3], now)
         now.kids.append(node)
         if tag in RAW:
@@ -93,13 +102,14 @@ def parse(page: str) -> Node:
             at = close.end() if close else end
         elif tag not in VOID and not (found[3].endswith("/") and tag in ("svg", "path")):
             now = node
+            opened[tag] += 1
     return root
 
 
-def _make_room(now: Node, tag: str) -> Node:
-    """Close what an element that opens closes."""
+def _make_room(now: Node, tag: str, opened: Counter) -> Node:
+    """The element that is left open when what ``tag`` closes is closed."""
     for closed, barriers in ((CLOSES.get(tag), BARRIERS.get(tag, {"table"})), ({"p"} if tag in CLOSES_P else None, {"button", "table", "td", "th", "li", "div", "article", "section"})):
-        if closed:
+        if closed and any(opened[c] for c in closed):
             node = now
             while node.up and node.tag not in barriers:
                 if node.tag in closed:
