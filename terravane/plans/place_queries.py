@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, html, stats, url
 from ..operators import clustering, entity, facets, sampling, spatial, web
+from ..tables import cut
 from .common import LEADS_SQL, PLACED_SQL, leads, placed_customers, table
 
 
@@ -134,7 +135,7 @@ def records(spark, sf_dir):
 
 def pair_evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The keys are read by every block and both sides of the scoring.
-    keys = entity.prepared(records(spark, sf_dir)).persist()
+    keys = cut(entity.prepared(records(spark, sf_dir)))
     found = entity.scored_pairs(entity.candidate_pairs(keys), keys)
     return found.select("left", "right", F.array_join("evidence", ",").alias("evidence"), F.array_join("conflicts", ",").alias("conflicts"), "score", "merge", "review")
 
@@ -190,7 +191,7 @@ FROM f LEFT JOIN r s ON s.id = site_id LEFT JOIN r p ON p.id = place_id"""
 
 def entity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir)
-    keys = entity.prepared(rows).persist()
+    keys = cut(entity.prepared(rows))
     groups = entity.greedy_groups(keys, entity.scored_pairs(entity.candidate_pairs(keys), keys))
     venues = entity.survivors(rows, groups, ["town", "name", "phone", "website", "address"])
     return entity.canonical_ids(venues, F.col("town").cast("string"), "name").select("venue_id", "group", "name", "phone", F.size("members").cast("long").alias("n_members"))

@@ -27,10 +27,15 @@ class Circuit(StatefulProcessor):
         self.failures = handle.getValueState("failures", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = self.failures.get()[0] if self.failures.exists() else 0
-        every = pd.concat(list(rows)).sort_values("event_id")
-        for failed in every["failed"]:
-            n = n + 1 if failed else 0
+        # Of the rows seen so far only the failures after the last success are held.
+        since, last = pd.Series(dtype="int64"), None
+        for part in rows:
+            good = part.loc[~part["failed"], "event_id"]
+            last = last if good.empty else int(good.max()) if last is None else max(last, int(good.max()))
+            since = pd.concat([since, part.loc[part["failed"], "event_id"]])
+            since = since if last is None else since[since > last]
+        before = self.failures.get()[0] if self.failures.exists() else 0
+        n = len(since) + (before if last is None else 0)
         self.failures.update((n,))
         yield pd.DataFrame({"provider": [key[0]], "failures": [n], "open": [n >= self.threshold]})
 
@@ -39,7 +44,7 @@ class Circuit(StatefulProcessor):
 
 
 def circuits(outcomes: DataFrame, threshold: int) -> DataFrame:
-    """``provider, failures, open`` after each batch of ``outcomes(provider, event_id, failed)``. A provider's rows of one batch are held together."""
+    """``provider, failures, open`` after each batch of ``outcomes(provider, event_id, failed)``."""
     return outcomes.groupBy("provider").transformWithStateInPandas(
         statefulProcessor=Circuit(threshold), outputStructType="provider long, failures long, open boolean", outputMode="update", timeMode="none"
     )
