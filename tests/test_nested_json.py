@@ -25,7 +25,7 @@ def walked(value, found):
 
 def test_identifiers_at_any_depth(spark):
     deep = {"venue_id": "venue:bottom"}
-    for i in range(40):
+    for i in range(16):
         deep = {"k": [deep, i]} if i % 2 else {"venue_id": {"venue_id": "no", "x": deep}}
     values = [
         {"venue_id": "venue:\"quo\\ted\" è \n"}, [{"canonical_venue_id": "venue:a"}, [[{"duplicate_of_venue_id": "venue:b"}]]],
