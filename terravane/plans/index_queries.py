@@ -48,10 +48,10 @@ SELECT * FROM r WHERE rn <= 10"""
 
 def index_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A town by its name, in any case (SRT-09)."""
-    return index(spark, sf_dir).locate("gerMANY", "GER").select("municipality", "province", "n", F.round("south", 6).alias("south"), F.round("east", 6).alias("east"))
+    return index(spark, sf_dir).locate("naTION 7", "NAT").select("municipality", "province", "n", F.round("south", 6).alias("south"), F.round("east", 6).alias("east"))
 
 
-LOCATE_SQL = f"WITH {INDEX_SQL} SELECT municipality, province, count(*) AS n, round(min(lat), 6) AS south, round(max(lon), 6) AS east FROM x WHERE municipality = 'GERMANY' GROUP BY 1, 2"
+LOCATE_SQL = f"WITH {INDEX_SQL} SELECT municipality, province, count(*) AS n, round(min(lat), 6) AS south, round(max(lon), 6) AS east FROM x WHERE municipality = 'NATION_7' GROUP BY 1, 2"
 
 
 def index_export(spark: SparkSession, sf_dir: str) -> DataFrame:
