@@ -47,11 +47,12 @@ def places_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 def places_in_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A feature collection a nation, each one file (SRC-02, SRC-03)."""
     path = f"{new_path(spark)}.json"
-    rows = features(spark, sf_dir).withColumn("first", F.row_number().over(W.partitionBy("nation").orderBy("n")) == 1)
-    lines = rows.select("nation", F.lit(1).alias("part"), "n", F.concat(F.when(F.col("first"), "").otherwise(","), F.col("text")).alias("line"))
-    ends = rows.where("first").select("nation", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit('{"type":"FeatureCollection","name":{"features":[{}]},"features":[').alias("line")), F.struct(F.lit(2).alias("part"), F.lit("]}").alias("line")))).alias("e"))
-    every = lines.unionByName(ends.select("nation", "e.part", F.lit(0).cast("long").alias("n"), "e.line"))
-    every.repartition("nation").sortWithinPartitions("nation", "part", "n").select("nation", "line").write.partitionBy("nation").text(path)
+    # The ends of a collection stand in the lines of its first and last feature: a union of lines and ends need not keep a nation in one task.
+    order = W.partitionBy("nation").orderBy("n")
+    rows = features(spark, sf_dir).select("nation", "text", F.row_number().over(order).alias("at"), F.lead(F.lit(1)).over(order).isNull().alias("last"))
+    head = F.when(F.col("at") == 1, '{"type":"FeatureCollection","name":{"features":[{}]},"features":[\n').otherwise(",")
+    lines = rows.select("nation", "at", F.concat(head, F.col("text"), F.when(F.col("last"), "\n]}").otherwise("")).alias("line"))
+    lines.repartition("nation").sortWithinPartitions("nation", "at").select("nation", "line").write.partitionBy("nation").text(path)
     return _admitted(places.extract(spark, path))
 
 
