@@ -1,5 +1,8 @@
 """Predictions against truth: counts, rates, intervals, gates, validations."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,12 +17,28 @@ def confusion(rows: DataFrame, predicted: Column, actual: Column, keys: list[str
     return counts.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
 
 
+#: Rows to a task that takes two sets together, at most on average.
+ROWS_A_TASK = 1 << 19
+
+
+def _sides(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct ``keys`` of two tables, and whether each is in the one (``__a``) and in the other (``__b``).
+
+    One aggregation in place of two and a join. The tasks follow the rows, which are counted first, so none holds more as
+    the tables grow. A key with a null in it matches none of the other table: it stands once for each side.
+    """
+    side = lambda d, first: d.select(*keys, F.lit(first).alias("__first"))
+    rows = side(a, True).unionByName(side(b, False))
+    n = max(1, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_A_TASK))
+    apart = F.when(reduce(or_, [F.col(k).isNull() for k in keys]), F.col("__first"))
+    dealt = rows.withColumn("__apart", apart).repartition(n, *keys, "__apart")
+    return dealt.groupBy(*keys, "__apart").agg(F.bool_or("__first").alias("__a"), F.bool_or(~F.col("__first")).alias("__b")).drop("__apart")
+
+
 def match_counts(predicted: DataFrame, truth: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """tp, fp and fn of two sets of keys, by some of them (EVL-01, AGG-16)."""
-    p = predicted.select(*keys).distinct().withColumn("__p", F.lit(True))
-    t = truth.select(*keys).distinct().withColumn("__t", F.lit(True))
-    both = p.join(t, keys, "full_outer")
-    hit, false, missed = (F.count_if(c) for c in (F.col("__p").isNotNull() & F.col("__t").isNotNull(), F.col("__t").isNull(), F.col("__p").isNull()))
+    both = _sides(predicted, truth, keys)
+    hit, false, missed = (F.count_if(c) for c in (F.col("__a") & F.col("__b"), ~F.col("__b"), ~F.col("__a")))
     counts = both.groupBy(*by).agg(hit.alias("tp"), false.alias("fp"), missed.alias("fn"))
     return counts.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
 
@@ -135,11 +154,9 @@ def model_shortlist(models: DataFrame, scores: DataFrame, least_context: int = 3
 
 def fixture_scores(cases: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """Expected against found pairs ``(case_id, value)`` by case, and which cases are exact (EVL-06)."""
-    e = cases.select("case_id", *keys).distinct().withColumn("__e", F.lit(True))
-    f = results.select("case_id", *keys).distinct().withColumn("__f", F.lit(True))
-    j = e.join(f, ["case_id", *keys], "full_outer")
-    hit = F.count_if(F.col("__e").isNotNull() & F.col("__f").isNotNull())
-    counts = j.groupBy("case_id").agg(hit.alias("found"), F.count_if(F.col("__f").isNull()).alias("missed"), F.count_if(F.col("__e").isNull()).alias("extra"))
+    j = _sides(cases, results, ["case_id", *keys])
+    hit = F.count_if(F.col("__a") & F.col("__b"))
+    counts = j.groupBy("case_id").agg(hit.alias("found"), F.count_if(~F.col("__b")).alias("missed"), F.count_if(~F.col("__a")).alias("extra"))
     return counts.withColumn("exact", (F.col("missed") == 0) & (F.col("extra") == 0))
 
 
