@@ -40,3 +40,22 @@ def test_fixture_scores_with_repeats_and_nulls(spark):
     assert {r["case_id"]: [r["found"], r["missed"], r["extra"]] for r in rows} == counted(a, b, lambda k: k[0])
     assert len(rows) == 7 and all(r["exact"] == (r["missed"] == r["extra"] == 0) for r in rows)
     assert evaluation.fixture_scores(frame([]), frame([]), ["url", "role"]).collect() == []
+
+
+def test_match_counts_with_repeats_and_nulls(spark):
+    rng = random.Random(4)
+    a, b = made(rng, 200, 3), made(rng, 200, 3)
+    frame = lambda rows: spark.createDataFrame(rows, "k int, s int, role int")
+    rows = evaluation.match_counts(frame(a), frame(b), ["k", "s", "role"], ["role"]).collect()
+    assert {r["role"]: [r["tp"], r["fp"], r["fn"]] for r in rows} == counted(a, b, lambda k: k[2])
+    assert len(rows) == 7 and next(r for r in rows if r["role"] is None)["precision"] == 0
+
+
+def test_match_counts_of_many_rows_take_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "ROWS_A_TASK", 100)
+    dealt, sides = [], evaluation._sides
+    monkeypatch.setattr(evaluation, "_sides", lambda *args: dealt.append(sides(*args)) or dealt[-1])
+    a, b = (spark.range(at, at + 2000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("role")) for at in (0, 500))
+    found = {r["role"]: (r["tp"], r["fp"], r["fn"]) for r in evaluation.match_counts(a, b, ["k", "role"], ["role"]).collect()}
+    assert found == {0: (500, 167, 167), 1: (500, 167, 166), 2: (500, 166, 167)}
+    assert dealt[0].select(F.spark_partition_id()).distinct().count() == 40
