@@ -147,15 +147,16 @@ def hex16(column: Column) -> Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
-# Near copies by similarity. Four bits hold only the closest copies, so for a similarity of shingle sets the sets
-# themselves decide. All shingles have one order, those that are frequent in a sample last. Two sets of n shingles or
-# more that are similar by t share at least t * n of them, so they share one of the first n - ceil(t * n) + 1 of each:
-# these are the keys. The sample changes only the order, so how many rows a key has, and never what is found.
-# A pair needs to be compared only under its first common shingle in that order. Of the shingles before it the sets
-# share none, so its places in both bound what they can share: a copy whose own shingles fill the places ahead
-# of the text it was made from meets none of the other copies.
-# A set also has a sketch: the parities of how many of its shingles fall on each bit. Two sketches differ in no more
-# bits than the sets do in shingles, so they bound what two sets can share from above, and no link is lost by them.
+# Near copies by similarity. Fingerprints and their Golay keys come first: each class of texts is checked against the
+# least one whose fingerprint is within four bits. Four bits hold only the closest copies, so classes are compared
+# further, by keys that lose no pair, and the shingle sets decide both. All shingles have one order, those that are
+# frequent in a sample last. Two sets of n shingles or more that are similar by t share at least t * n of them, so
+# they share one of the first n - ceil(t * n) + 1 of each: these are the keys. The sample changes only the order, so
+# how many rows a key has, and never what is found. A pair needs to be compared only under its first common shingle in
+# that order. Of the shingles before it the sets share none, so its places in both bound what they can share: a copy
+# whose own shingles fill the places ahead of the text it was made from meets none of the other copies. A set also has
+# a sketch: the parities of how many of its shingles fall on each bit. Two sketches differ in no more bits than the
+# sets do in shingles, so they bound what two sets can share from above, and no link is lost by them.
 
 
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -220,28 +221,46 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _with_sets(docs: DataFrame, words: int, **chosen) -> DataFrame:
-    """``id``, ``node``, ``n`` and what each of ``chosen`` takes of the set of shingle hashes, for ``docs(id, text)``."""
+    """``id``, ``node``, ``n``, ``fp`` and what each of ``chosen`` takes of the set of shingle hashes, for ``docs(id, text)``."""
 
     def describe(batches):
         for batch in batches:
             texts = raw(batch.column(1))
             for at in range(0, len(texts), 256):
                 part = texts[at : at + 256]
-                sets = [np.unique(shingle_hashes(t, words)) for t in part]
+                every = [shingle_hashes(t, words) for t in part]
+                sets = [np.unique(x) for x in every]
                 nodes, sizes = pa.array([node_of(t) for t in part], pa.int64()), pa.array([len(x) for x in sets], pa.int32())
+                prints = pa.array([majority(x) for x in every], pa.int64())
                 lists = [_lists([take(x) for x in sets]) for take in chosen.values()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), nodes, sizes, *lists], names=["id", "node", "n", *chosen])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), nodes, sizes, prints, *lists], names=["id", "node", "n", "fp", *chosen])
 
-    return docs.mapInArrow(describe, ", ".join(["id long, node long, n int", *[f"{name} array<long>" for name in chosen]]))
+    return docs.mapInArrow(describe, ", ".join(["id long, node long, n int, fp long", *[f"{name} array<long>" for name in chosen]]))
+
+
+def nearest_prints(classes: DataFrame, bits: int = MOST_BITS) -> DataFrame:
+    """``classes(node, fp)`` to pairs of nodes ``(a, b)``, a < b, whose fingerprints differ in ``bits`` bits or fewer.
+
+    Each fingerprint is paired with the least one that the Golay keys find for it, by their least nodes, and each other node
+    of a fingerprint with its least: no node has more than one such pair, however many near copies there are.
+    """
+    prints = cut(classes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    near = hamming_links(prints.select("fp"), bits).groupBy("b").agg(F.min("a").alias("a"))
+    of = prints.select("fp", "least")
+    across = near.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    within = join_hot(classes.select("node", "fp"), prints, ["fp"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return across.unionByName(within)
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id``, and ``first``, the smallest id of its group, over documents that are equal or as similar as asked.
 
     Texts with the same words are one class. Classes whose shingle sets have a Jaccard similarity of ``similarity``
-    or more are linked, and groups are the connected components. Classes that share a key are compared unless they
-    are of one group already, see ``_links``: first by their sketches, which can only link too much; then,
-    among the classes linked so, by their whole sets, which are made again from the texts. Null texts count as empty; texts
+    or more are linked, and groups are the connected components. Candidates are, first, the classes whose SimHash
+    fingerprints are within four bits by the Golay keys, see ``nearest_prints``; then, as similar texts may differ in more
+    bits, the classes that share a key, unless keys have brought them into one group, see ``_links``. Both are compared
+    first by their sketches, which can only link too much; then, among the classes linked so, by their whole sets,
+    which are made again from the texts. Null texts count as empty; texts
     without words are a group. Ids are longs; a null id stands before all others.
     """
     if not 0 < similarity <= 1:
@@ -250,8 +269,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     common, counts = common_shingles(texts, words)
     rows = cut(_with_sets(texts, words, keys=lambda hashes: prefix(hashes, similarity, common, counts), bits=parities))
     members = cut(rows.select("id", "node"))
-    classes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("keys").alias("keys"), F.count("*").alias("copies")))
+    classes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("bits").alias("bits"), F.max("keys").alias("keys"), F.count("*").alias("copies")))
     drop(rows)
+    near = cut(nearest_prints(classes))
     exploded = classes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
     of_key = W.partitionBy("key")
     crowded = exploded.select("*", F.count("*").over(of_key).alias("nodes"), F.min("n").over(of_key).alias("least_n")).where("nodes > 1")
@@ -260,7 +280,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sketches = cut(classes.select("node", "first", "n", "bits", "copies"))
     drop(classes)
     known = cut(sketches.join(shared.select("node").distinct(), "node"))
-    able = _links(shared, similarity, lambda pairs: _able(pairs, known, similarity))
+    # Two sets that are similar share a key, so a pair without a row in ``known`` is none.
+    near_able = cut(_able(near, known, similarity))
+    able = near_able.unionByName(_links(shared, similarity, lambda pairs: _able(pairs, known, similarity)))
     touched = able.select(F.col("a").alias("node")).unionByName(able.select(F.col("b").alias("node"))).distinct()
     asked = cut(touched.join(known, "node"))
     # An id may have several texts: those of other classes are dropped again.
@@ -268,7 +290,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sets = cut(_with_sets(read, words, hashes=lambda hashes: hashes).where("id = node").select("node", "n", "hashes").dropDuplicates(["node"]))
     within = cut(shared.join(asked.select("node"), "node"))
     drop(shared)
-    labels = _groups(within, similarity, lambda pairs: _alike(_able(pairs, asked, similarity), sets, similarity))
+    near_alike = cut(_alike(near_able, sets, similarity))
+    labels = _groups(within, similarity, lambda pairs: _alike(_able(pairs, asked, similarity), sets, similarity), near_alike)
     grouped = sketches.select("node", "first", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = cut(grouped.groupBy("label").agg(F.min("first").alias("group_first"), F.count("*").alias("n")))
     of_node = cut(join_hot(grouped.select("node", "label", F.col("copies").alias("n")), first, ["label"]).select("node", "group_first", "n"))
@@ -325,10 +348,11 @@ def _links(shared: DataFrame, similarity: float, alike) -> DataFrame:
         hubs *= MORE_HUBS
 
 
-def _groups(shared: DataFrame, similarity: float, alike) -> DataFrame:
-    """``shared(key, node, n, pos)`` to ``(node, label)`` of all its nodes: the components of its links."""
-    known = connected_components(cut(_links(shared, similarity, alike)))
-    return shared.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+def _groups(shared: DataFrame, similarity: float, alike, known: DataFrame | None = None) -> DataFrame:
+    """``shared(key, node, n, pos)`` to ``(node, label)`` of all its nodes: the components of its links and the ``known`` ones."""
+    links = _links(shared, similarity, alike)
+    labels = connected_components(cut(links if known is None else links.unionByName(known)))
+    return shared.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def _able(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:

@@ -83,3 +83,42 @@ def test_hot_and_other_keys_are_joined_alike(spark):
     found = join_hot(frame, counted, ["key"])
     assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
     assert join_hot(frame.limit(0), counted.limit(0), ["key"]).count() == 0
+
+
+def with_last_words(rng, base, n):
+    return " ".join(base[:-n] + [f"z{rng.getrandbits(40)}" for _ in range(n)])
+
+
+def test_close_copies_are_grouped_by_fingerprints_and_golay_keys(spark, monkeypatch):
+    rng, docs = random.Random(8), []
+    for g in range(12):
+        base = [f"x{rng.getrandbits(40)}" for _ in range(400)]
+        docs += [(4 * g, " ".join(base)), (4 * g + 1, with_last_words(rng, base, 3)), (4 * g + 2, with_last_words(rng, base, 40)), (4 * g + 3, with_last_words(rng, base, 200))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    prints = {i: simhash_neardup.majority(simhash_neardup.shingle_hashes(t.encode(), 5)) for i, t in docs}
+    apart = lambda a, b: ((prints[a] ^ prints[b]) & ((1 << 64) - 1)).bit_count()
+    assert sum(apart(4 * g, 4 * g + 1) <= 4 for g in range(12)) > 6 and sum(apart(4 * g, 4 * g + 2) > 4 for g in range(12)) > 6
+    groups = lambda: {r["id"]: r["first"] for r in simhash_neardup.near_duplicate_groups(frame).collect()}
+    whole = groups()
+    assert whole == {i: i if i % 4 == 3 else i - i % 4 for i, _ in docs}
+    # Without the comparison by shared keys, those within four bits are left, and only if their shingles are similar too.
+    monkeypatch.setattr(simhash_neardup, "_links", lambda shared, similarity, alike: spark.createDataFrame([], "a long, b long"))
+    alone = groups()
+    assert all(alone[4 * g + 1] == (4 * g if apart(4 * g, 4 * g + 1) <= 4 else 4 * g + 1) for g in range(12) if apart(4 * g + 1, 4 * g + 2) > 4)
+    assert all(alone[i] == i for i in range(3, 48, 4)) and all(whole[alone[i]] == whole[i] for i in alone)
+
+
+def test_each_node_has_one_nearest_print(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(60) for _ in range(5)]
+    prints = [b ^ sum(1 << k for k in rng.sample(range(60), rng.randrange(4))) for b in base for _ in range(40)] + base * 3
+    nodes = dict(enumerate(prints))
+    found = simhash_neardup.nearest_prints(spark.createDataFrame(list(nodes.items()), "node long, fp long")).collect()
+    pairs = [(r["a"], r["b"]) for r in found]
+    assert all(a < b and (nodes[a] ^ nodes[b]).bit_count() <= 4 for a, b in pairs) and len(set(pairs)) == len(pairs) < len(nodes)
+    least = {p: min(n for n in nodes if nodes[n] == p) for p in set(prints)}
+    want = {(least[p], n) for n, p in nodes.items() if n != least[p]}
+    for p in least:
+        lower = [q for q in least if q < p and (p ^ q).bit_count() <= 4]
+        want |= {tuple(sorted((least[p], least[min(lower)])))} if lower else set()
+    assert set(pairs) == want
