@@ -17,8 +17,13 @@ def confusion(rows: DataFrame, predicted: Column, actual: Column, keys: list[str
     return counts.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
 
 
-#: Rows to a task that takes two sets together, at most on average.
-ROWS_A_TASK = 1 << 19
+#: Rows to a task that takes two sets together, on average. Above so many tasks those that write the rows hold them in memory
+#: until they are written; where it keeps to that number, a task takes up to four times as many rows.
+ROWS_A_TASK, FEW_TASKS = 1 << 19, 200
+
+
+def _tasks(rows: int, least: int) -> int:
+    return max(1, least, min(FEW_TASKS, -(-rows // ROWS_A_TASK)), -(-rows // (4 * ROWS_A_TASK)))
 
 
 def _sides(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,9 +34,9 @@ def _sides(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """
     side = lambda d, first: d.select(*keys, F.lit(first).alias("__first"))
     rows = side(a, True).unionByName(side(b, False))
-    n = max(1, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_A_TASK))
+    n = _tasks(rows.count(), int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     apart = F.when(reduce(or_, [F.col(k).isNull() for k in keys]), F.col("__first"))
-    dealt = rows.withColumn("__apart", apart).repartition(n, *keys, "__apart")
+    dealt = rows.repartition(n, *keys).withColumn("__apart", apart)
     return dealt.groupBy(*keys, "__apart").agg(F.bool_or("__first").alias("__a"), F.bool_or(~F.col("__first")).alias("__b")).drop("__apart")
 
 

@@ -1,6 +1,7 @@
 """Two sets of keys against each other: counts by case, and tasks that follow the rows."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -59,3 +60,15 @@ def test_match_counts_of_many_rows_take_many_tasks(spark, monkeypatch):
     found = {r["role"]: (r["tp"], r["fp"], r["fn"]) for r in evaluation.match_counts(a, b, ["k", "role"], ["role"]).collect()}
     assert found == {0: (500, 167, 167), 1: (500, 167, 166), 2: (500, 166, 167)}
     assert dealt[0].select(F.spark_partition_id()).distinct().count() == 40
+
+
+def dealing(frame):
+    """What the rows are dealt by, from the plan: the columns and the number of tasks."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange hashpartitioning\(([^)]*), (\d+)\), REPARTITION_BY_NUM", plan), plan.count("Exchange hashpartitioning")
+
+
+def test_rows_are_dealt_once_by_their_keys_alone(spark):
+    a, b = (spark.range(at, at + 200).select(F.col("id").alias("case_id"), (F.col("id") % 3).alias("url")) for at in (0, 50))
+    dealt, n = dealing(evaluation._sides(a, b, ["case_id", "url"]))
+    assert n == len(dealt) == 1 and "__apart" not in dealt[0][0] and dealt[0][1] == "4"
