@@ -72,3 +72,10 @@ def test_rows_are_dealt_once_by_their_keys_alone(spark):
     a, b = (spark.range(at, at + 200).select(F.col("id").alias("case_id"), (F.col("id") % 3).alias("url")) for at in (0, 50))
     dealt, n = dealing(evaluation._sides(a, b, ["case_id", "url"]))
     assert n == len(dealt) == 1 and "__apart" not in dealt[0][0] and dealt[0][1] == "4"
+
+
+def test_more_rows_first_take_more_tasks_then_larger_ones():
+    """At 360 times sf0.1 fixture_scores deals 305,926,200 rows, match_metrics 334,755,360; above 200 tasks the writers hold their rows."""
+    assert [evaluation._tasks(n, 12) for n in (0, 5_098_770, 50_987_700, 305_926_200, 334_755_360)] == [12, 12, 98, 200, 200]
+    assert evaluation._tasks(334_755_360, 400) == 400 and evaluation._tasks(0, 0) == 1
+    assert all(n <= evaluation._tasks(n, 12) * 4 * evaluation.ROWS_A_TASK for n in (10**9, 10**11))
