@@ -75,7 +75,8 @@ def join_hot(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` left-joined with ``found``: written by ``cut``, one row for each of its keys, ``n`` the rows of a key.
 
     The hot keys, at most ``HOT_KEYS``, are broadcast, and their rows are spread by a salt in the join that finds the
-    others, so no task receives all rows of a key. Keys are not null.
+    others, so no task receives all rows of a key. The others are never broadcast: a written table is far larger in
+    memory than on disk. Keys are not null.
     """
     total = found.agg(F.sum("n")).first()[0] or 0
     values = [c for c in found.columns if c not in (*keys, "n")]
@@ -85,7 +86,7 @@ def join_hot(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     salt = F.when(F.col("__hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 16))).cast("int")
     dealt = rows.join(F.broadcast(few), keys, "left").withColumn("__salt", salt)
     either = [F.coalesce(f"__hot.{c}", f"__cold.{c}").alias(c) for c in values]
-    return dealt.join(rest, [*keys, "__salt"], "left").select(*rows.columns, *either)
+    return dealt.join(rest.hint("merge"), [*keys, "__salt"], "left").select(*rows.columns, *either)
 
 
 def raw(texts: pa.Array) -> list:

@@ -124,7 +124,8 @@ def hamming_links(prints: DataFrame, bits: int = MOST_BITS) -> DataFrame:
         raise ValueError(f"the keys find up to {MOST_BITS} differing bits")
     index, probe = _keyed(prints, index_keys, "a"), _keyed(prints, probe_keys, "b")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    return index.join(probe, "key").where(close).select("a", "b").distinct()
+    # Spark sizes the keys by the fingerprints they are made from, a hundredth of them, and would broadcast them.
+    return index.join(probe.hint("merge"), "key").where(close).select("a", "b").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = MOST_BITS) -> DataFrame:
@@ -137,7 +138,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     links = hamming_links(classes.select("fp"), bits)
     labels = connected_components(links)
-    labelled = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    labelled = classes.join(labels.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = cut(labelled.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
     of_print = cut(join_hot(labelled.select("fp", "label", F.col("copies").alias("n")), smallest, ["label"]).select("fp", "component_id", "n"))
     return join_hot(prints, of_print, ["fp"]).select(F.col("id").alias(id_col), "fp", "component_id")
