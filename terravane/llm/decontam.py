@@ -133,8 +133,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     sizes = [r["k"] for r in windows.select(F.least("size", F.lit(SHINGLE)).alias("k")).distinct().orderBy("k").collect()]
     known = bitmap(shingles.select("hash").distinct())
     counts = rows.select("text").mapInArrow(_counter(spark.sparkContext.broadcast((sizes, known))), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    rarest = shingles.join(counts, "hash", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("hash"), F.col("offset"))).alias("token"))
-    prefixes = cut(windows.join(rarest, "window").select("token.hash", "token.offset", "window", "size", "items"))
+    rarest = shingles.join(counts.hint("merge"), "hash", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("hash"), F.col("offset"))).alias("token"))
+    prefixes = cut(windows.join(rarest.hint("merge"), "window").select("token.hash", "token.offset", "window", "size", "items"))
     known = bitmap(prefixes.select("hash").distinct())
     searched = cut(rows.mapInArrow(_searcher(spark.sparkContext.broadcast((sizes, known)), window), f"key {dict(rows.dtypes)['key']}, tag long, n_words long, places {PLACE}"))
     # A token that a third of all documents hold is dealt over several tasks.
@@ -145,9 +145,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     fits = (start >= 0) & (start + F.col("size") <= F.size("near"))
     same = F.array_join(F.slice("near", F.greatest(start, F.lit(0)) + 1, F.col("size")), " ") == F.col("window")
     begin = F.col("at") - F.col("offset")
-    hits = asked.join(salted, ["hash", "salt"]).where(fits & same).select("key", "tag", F.struct(begin.alias("start"), (begin + F.col("size")).alias("end")).alias("range"), "items")
+    # Spark sizes the salted prefixes as if each were one row, so it could broadcast them; the salt is for a shuffle.
+    hits = asked.join(salted.hint("merge"), ["hash", "salt"]).where(fits & same).select("key", "tag", F.struct(begin.alias("start"), (begin + F.col("size")).alias("end")).alias("range"), "items")
     found = hits.groupBy(F.col("key").alias("of"), F.col("tag").alias("t")).agg(F.sort_array(F.collect_set("range")).alias("ranges"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    joined = searched.select("key", "tag", "n_words").join(found, F.col("key").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("t")), "left")
+    joined = searched.select("key", "tag", "n_words").join(found.hint("merge"), F.col("key").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("t")), "left")
     ranges = F.coalesce("ranges", F.array().cast("array<struct<start: int, end: int>>"))
     return joined.select(F.col("key").alias(id_col), "tag", "n_words", covered(ranges).alias("n_hit"), ranges.alias("ranges"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 

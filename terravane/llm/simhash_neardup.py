@@ -158,6 +158,8 @@ def hex16(column: Column) -> Column:
 # whose own shingles fill the places ahead of the text it was made from meets none of the other copies. A set also has
 # a sketch: the parities of how many of its shingles fall on each bit. Two sketches differ in no more bits than the
 # sets do in shingles, so they bound what two sets can share from above, and no link is lost by them.
+# Joins of all these tables merge: Spark sizes keys, hubs and pairs by small files or by the rows they are made from, and
+# would broadcast them at some sizes of the corpus.
 
 
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -248,7 +250,7 @@ def nearest_prints(classes: DataFrame, bits: int = MOST_BITS) -> DataFrame:
     prints = cut(classes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
     near = hamming_links(prints.select("fp"), bits).groupBy("b").agg(F.min("a").alias("a"))
     of = prints.select("fp", "least")
-    across = near.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    across = near.join(of.toDF("a", "x").hint("merge"), "a").join(of.toDF("b", "y").hint("merge"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     within = join_hot(classes.select("node", "fp"), prints, ["fp"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     return across.unionByName(within)
 
@@ -280,20 +282,20 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shared = cut(crowded.where(_enough(F.col("n"), F.col("pos"), F.col("least_n"), similarity)).select("key", "node", "n", "pos"))
     sketches = cut(classes.select("node", "first", "n", "bits", "copies"))
     drop(classes)
-    known = cut(sketches.join(shared.select("node").distinct(), "node"))
+    known = cut(sketches.join(shared.select("node").distinct().hint("merge"), "node"))
     # Two sets that are similar share a key, so a pair without a row in ``known`` is none.
     near_able = cut(_able(near, known, similarity))
     able = near_able.unionByName(_links(shared, similarity, lambda pairs: _able(pairs, known, similarity)))
     touched = able.select(F.col("a").alias("node")).unionByName(able.select(F.col("b").alias("node"))).distinct()
-    asked = cut(touched.join(known, "node"))
+    asked = cut(touched.join(known.hint("merge"), "node"))
     # An id may have several texts: those of other classes are dropped again.
-    read = texts.join(asked.select(F.col("first").alias("id"), F.col("node").alias("asked")), "id").select(F.col("asked").alias("id"), "text")
+    read = texts.join(asked.select(F.col("first").alias("id"), F.col("node").alias("asked")).hint("merge"), "id").select(F.col("asked").alias("id"), "text")
     sets = cut(_with_sets(read, words, hashes=lambda hashes: hashes).where("id = node").select("node", "n", "hashes").dropDuplicates(["node"]))
-    within = cut(shared.join(asked.select("node"), "node"))
+    within = cut(shared.join(asked.select("node").hint("merge"), "node"))
     drop(shared)
     near_alike = cut(_alike(near_able, sets, similarity))
     labels = _groups(within, similarity, lambda pairs: _alike(_able(pairs, asked, similarity), sets, similarity), near_alike)
-    grouped = sketches.select("node", "first", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    grouped = sketches.select("node", "first", "copies").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = cut(grouped.groupBy("label").agg(F.min("first").alias("group_first"), F.count("*").alias("n")))
     of_node = cut(join_hot(grouped.select("node", "label", F.col("copies").alias("n")), first, ["label"]).select("node", "group_first", "n"))
     return join_hot(members, of_node, ["node"]).select("id", F.col("group_first").alias("first"))
@@ -324,7 +326,7 @@ def _links(shared: DataFrame, similarity: float, alike) -> DataFrame:
         else:
             slots = left.groupBy("key", F.pmod("node", F.lit(hubs)).alias("slot")).agg(hub.alias("hub"), low, high)
             keys = slots.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.min("low").alias("low"), F.max("high").alias("high"))
-        now = cut(left.join(keys.where("low < high").select("key", "hubs"), "key"))
+        now = cut(left.join(keys.where("low < high").select("key", "hubs").hint("merge"), "key"))
         if hubs > 1:
             drop(left)
         if now.isEmpty():
@@ -342,8 +344,8 @@ def _links(shared: DataFrame, similarity: float, alike) -> DataFrame:
         if not linked.isEmpty():
             found.append(linked.select("a", "b"))
             less = linked.groupBy(F.greatest("u", "v").alias("u")).agg(F.min(F.least("u", "v")).alias("v"))
-            least = less.join(less.toDF("v", "w"), "v", "left").select(F.col("u").alias("label"), F.coalesce("w", "v").alias("least"))
-            rest = rest.join(least, "label", "left").select("key", "node", "n", "pos", F.coalesce("least", "label").alias("label"))
+            least = less.join(less.toDF("v", "w").hint("merge"), "v", "left").select(F.col("u").alias("label"), F.coalesce("w", "v").alias("least"))
+            rest = rest.join(least.hint("merge"), "label", "left").select("key", "node", "n", "pos", F.coalesce("least", "label").alias("label"))
         left = cut(rest)
         drop(now)
         hubs *= MORE_HUBS
@@ -353,13 +355,13 @@ def _groups(shared: DataFrame, similarity: float, alike, known: DataFrame | None
     """``shared(key, node, n, pos)`` to ``(node, label)`` of all its nodes: the components of its links and the ``known`` ones."""
     links = _links(shared, similarity, alike)
     labels = connected_components(cut(links if known is None else links.unionByName(known)))
-    return shared.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return shared.select("node").distinct().join(labels.hint("merge"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def _able(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The pairs that are as similar as asked as far as their sketches tell."""
     known = sketches.select("node", "n", "bits")
-    both = pairs.join(known.toDF("a", "n_a", "bits_a"), "a").join(known.toDF("b", "n_b", "bits_b"), "b")
+    both = pairs.join(known.toDF("a", "n_a", "bits_a").hint("merge"), "a").join(known.toDF("b", "n_b", "bits_b").hint("merge"), "b")
     most = most_shared(F.col("bits_a"), F.col("n_a"), F.col("bits_b"), F.col("n_b"))
     return both.where(most * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - EPSILON).select(*pairs.columns)
 
@@ -367,7 +369,7 @@ def _able(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
     pairs = cut(pairs)
-    whole = pairs.join(sets.toDF("a", "n_a", "set_a"), "a").join(sets.toDF("b", "n_b", "set_b"), "b")
+    whole = pairs.join(sets.toDF("a", "n_a", "set_a").hint("merge"), "a").join(sets.toDF("b", "n_b", "set_b").hint("merge"), "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return whole.where(both >= similarity * (F.col("n_a") + F.col("n_b") - both) - EPSILON).select(*pairs.columns)
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from terravane.llm import common, components, simhash_neardup
+from terravane.llm import common, components, decontam, simhash_neardup
 
 SF = "/root/testdata/sf0.01"
 
@@ -36,3 +36,22 @@ def test_op1_broadcasts_hot_keys_only(spark, monkeypatch):
     # Two joins hold hot keys, at most ``HOT_KEYS``.
     assert len(plans) > 5 and sum(p.count("BroadcastExchange") for p in plans) == 2
     assert last.agg(F.count("*")).first()[0] == docs.count()
+
+
+def test_near_duplicates_broadcast_hot_keys_only(spark, monkeypatch):
+    plans = planned(monkeypatch, simhash_neardup, components)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = simhash_neardup.keep_first(docs)
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    # Hot keys are held in one join of fingerprints, one of labels and one of nodes.
+    assert len(plans) > 15 and sum(p.count("BroadcastExchange") for p in plans) <= 3
+    assert 0 < kept.count() < docs.count()
+
+
+def test_salted_prefixes_are_not_broadcast(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    plans = planned(monkeypatch, decontam)
+    found = decontam.contamination(docs, items)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 4 and not any("BroadcastExchange" in p for p in plans)
+    assert found.where("n_hit > 0").count() > 0
