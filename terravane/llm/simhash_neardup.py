@@ -148,9 +148,9 @@ def hex16(column: Column) -> Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
-# Near copies by similarity. Fingerprints and their Golay keys come first: each class of texts is checked against the
-# least one whose fingerprint is within four bits. Four bits hold only the closest copies, so classes are compared
-# further, by keys that lose no pair, and the shingle sets decide both. All shingles have one order, those that are
+# Near copies by similarity. Fingerprints and their Golay keys come first: all classes of texts whose fingerprints are
+# within four bits are compared, unless they are of one group by then. Four bits hold only the closest copies, so classes
+# are compared further, by keys that lose no pair, and the shingle sets decide both. All shingles have one order, those that are
 # frequent in a sample last. Two sets of n shingles or more that are similar by t share at least t * n of them, so
 # they share one of the first n - ceil(t * n) + 1 of each: these are the keys. The sample changes only the order, so
 # how many rows a key has, and never what is found. A pair needs to be compared only under its first common shingle in
@@ -241,27 +241,47 @@ def _with_sets(docs: DataFrame, words: int, **chosen) -> DataFrame:
     return docs.mapInArrow(describe, ", ".join(["id long, node long, n int, fp long", *[f"{name} array<long>" for name in chosen]]))
 
 
-def nearest_prints(classes: DataFrame, bits: int = MOST_BITS) -> DataFrame:
+def nearest_prints(classes: DataFrame, bits: int = MOST_BITS, links: DataFrame | None = None) -> DataFrame:
     """``classes(node, fp)`` to pairs of nodes ``(a, b)``, a < b, whose fingerprints differ in ``bits`` bits or fewer.
 
     Each fingerprint is paired with the least one that the Golay keys find for it, by their least nodes, and each other node
-    of a fingerprint with its least: no node has more than one such pair, however many near copies there are.
+    of a fingerprint with its least: no node has more than one such pair, however many near copies there are. The other
+    pairs are those of ``close_links``. ``links`` are those of ``hamming_links``, if they are known.
     """
     prints = cut(classes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
-    near = hamming_links(prints.select("fp"), bits).groupBy("b").agg(F.min("a").alias("a"))
+    near = (hamming_links(prints.select("fp"), bits) if links is None else links).groupBy("b").agg(F.min("a").alias("a"))
     of = prints.select("fp", "least")
     across = near.join(of.toDF("a", "x").hint("merge"), "a").join(of.toDF("b", "y").hint("merge"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     within = join_hot(classes.select("node", "fp"), prints, ["fp"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     return across.unionByName(within)
 
 
+def close_links(nodes: DataFrame, links: DataFrame, nearest: DataFrame, similarity: float, alike) -> DataFrame:
+    """The links ``(a, b)`` among ``nodes(node, n, fp)`` whose fingerprints are equal or one of ``links(a, b)``; see ``_links`` for ``alike``.
+
+    The pairs ``nearest`` come first, as they bring most near copies into one group. Then all others are compared, but those that are of one
+    group by then: their components are those of comparing all pairs.
+    """
+    first = cut(alike(nearest))
+    labels = connected_components(first).hint("merge")
+    of = cut(nodes.select("node", "n", "fp").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    groups = of.groupBy("fp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    side = lambda x: groups.toDF(x, f"low_{x}", f"high_{x}").hint("merge")
+    apart = F.least("low_a", "low_b") < F.greatest("high_a", "high_b")
+    across = links.join(side("a"), "a").join(side("b"), "b").where(apart).select("a", "b")
+    within = groups.where("low < high").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    keys = across.unionByName(within).select(F.xxhash64("a", "b").alias("key"), F.explode(F.array_distinct(F.array("a", "b"))).alias("fp"))
+    rest = cut(keys.join(of.hint("merge"), "fp").select("key", "node", "n", F.lit(0).alias("pos"), "label"))
+    return first.select("a", "b").unionByName(_links(rest, similarity, alike))
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id``, and ``first``, the smallest id of its group, over documents that are equal or as similar as asked.
 
     Texts with the same words are one class. Classes whose shingle sets have a Jaccard similarity of ``similarity``
-    or more are linked, and groups are the connected components. Candidates are, first, the classes whose SimHash
-    fingerprints are within four bits by the Golay keys, see ``nearest_prints``; then, as similar texts may differ in more
-    bits, the classes that share a key, unless keys have brought them into one group, see ``_links``. Both are compared
+    or more are linked, and groups are the connected components. Candidates are, first, all classes whose SimHash
+    fingerprints are within four bits by the Golay keys, see ``close_links``; then, as similar texts may differ in more
+    bits, the classes that share a key, see ``_links``; both unless links have brought them into one group. They are compared
     first by their sketches, which can only link too much; then, among the classes linked so, by their whole sets,
     which are made again from the texts. Null texts count as empty; texts
     without words are a group. Ids are longs; a null id stands before all others.
@@ -274,17 +294,19 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     members = cut(rows.select("id", "node"))
     classes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("bits").alias("bits"), F.max("keys").alias("keys"), F.count("*").alias("copies")))
     drop(rows)
-    near = cut(nearest_prints(classes))
+    links = cut(hamming_links(classes.select("fp").distinct()))
+    nearest = cut(nearest_prints(classes, links=links))
     exploded = classes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
     of_key = W.partitionBy("key")
     crowded = exploded.select("*", F.count("*").over(of_key).alias("nodes"), F.min("n").over(of_key).alias("least_n")).where("nodes > 1")
     # A node that is too late in the key for the smallest set of the key is so for all of them.
     shared = cut(crowded.where(_enough(F.col("n"), F.col("pos"), F.col("least_n"), similarity)).select("key", "node", "n", "pos"))
-    sketches = cut(classes.select("node", "first", "n", "bits", "copies"))
+    sketches = cut(classes.select("node", "first", "n", "fp", "bits", "copies"))
     drop(classes)
     known = cut(sketches.join(shared.select("node").distinct().hint("merge"), "node"))
     # Two sets that are similar share a key, so a pair without a row in ``known`` is none.
-    near_able = cut(_able(near, known, similarity))
+    near_able = cut(_able(nearest, known, similarity))
+    # Of two sets that are similar, each is linked by the sketches, be it to a third; so all pairs of close prints that can be links are among those asked.
     able = near_able.unionByName(_links(shared, similarity, lambda pairs: _able(pairs, known, similarity)))
     touched = able.select(F.col("a").alias("node")).unionByName(able.select(F.col("b").alias("node"))).distinct()
     asked = cut(touched.join(known.hint("merge"), "node"))
@@ -293,8 +315,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sets = cut(_with_sets(read, words, hashes=lambda hashes: hashes).where("id = node").select("node", "n", "hashes").dropDuplicates(["node"]))
     within = cut(shared.join(asked.select("node").hint("merge"), "node"))
     drop(shared)
-    near_alike = cut(_alike(near_able, sets, similarity))
-    labels = _groups(within, similarity, lambda pairs: _alike(_able(pairs, asked, similarity), sets, similarity), near_alike)
+    as_held = lambda pairs: _alike(_able(pairs, asked, similarity), sets, similarity)
+    labels = _groups(within, similarity, as_held, close_links(asked, links, near_able, similarity, as_held))
     grouped = sketches.select("node", "first", "copies").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = cut(grouped.groupBy("label").agg(F.min("first").alias("group_first"), F.count("*").alias("n")))
     of_node = cut(join_hot(grouped.select("node", "label", F.col("copies").alias("n")), first, ["label"]).select("node", "group_first", "n"))
@@ -309,6 +331,8 @@ def _enough(n: Column, pos: Column, other_n: Column, similarity: float) -> Colum
 def _links(shared: DataFrame, similarity: float, alike) -> DataFrame:
     """``shared(key, node, n, pos)`` to links ``(a, b)``; ``alike`` keeps those pairs ``(a, b)``, with all columns, that are links.
 
+    A column ``label`` may tell which nodes are of one group already.
+
     Their components are those of comparing every two nodes of each key whose sizes, and places ``pos`` of the key in
     them, allow the similarity if the key is the first shingle that they share. In a round some nodes of a key, its hubs,
     are compared with all its nodes of other groups and leave the key: one in the first round, up to ``MORE_HUBS``
@@ -318,7 +342,7 @@ def _links(shared: DataFrame, similarity: float, alike) -> DataFrame:
     nodes, which are hashes, so keys of the same nodes have the same hubs and their pairs fall together; they are
     found by aggregation, so a key with many nodes needs no task of its own.
     """
-    left, hubs, found = shared.withColumn("label", F.col("node")), 1, []
+    left, hubs, found = shared if "label" in shared.columns else shared.withColumn("label", F.col("node")), 1, []
     while True:
         hub, low, high = F.min(F.struct("node", "n", "pos", "label")), F.min("label").alias("low"), F.max("label").alias("high")
         if hubs == 1:

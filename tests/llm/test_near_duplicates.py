@@ -122,3 +122,25 @@ def test_each_node_has_one_nearest_print(spark):
         lower = [q for q in least if q < p and (p ^ q).bit_count() <= 4]
         want |= {tuple(sorted((least[p], least[min(lower)])))} if lower else set()
     assert set(pairs) == want
+
+
+def test_all_close_prints_are_compared(spark):
+    rng, prints, true = random.Random(10), {}, set()
+    for g in range(20):
+        base = rng.getrandbits(60)
+        # The least node or print of its neighbourhood is unlike the others, which are alike in two groups.
+        near = sorted(base ^ sum(1 << k for k in rng.sample(range(60), 2)) for _ in range(7))
+        nodes = [100 * g + k for k in range(10)]
+        prints |= dict(zip(nodes, [near[0], *near, near[3], near[3]]))
+        true |= {(a, b) for group in (nodes[2:6], nodes[6:8] + nodes[9:]) for a in group for b in group if a < b}
+    classes = spark.createDataFrame([(n, 5, p) for n, p in prints.items()], "node long, n int, fp long")
+    links = cut(simhash_neardup.hamming_links(classes.select("fp").distinct()))
+    nearest = simhash_neardup.nearest_prints(classes, links=links)
+    known = spark.createDataFrame(sorted(true), "a long, b long").hint("merge")
+    alike = lambda pairs: pairs.join(known, ["a", "b"])
+    within = {(a, b) for a, b in true if (prints[a] ^ prints[b]).bit_count() <= 4}
+    pairs = lambda found: {(r["a"], r["b"]) for r in found.select("a", "b").collect()}
+    wanted = joined(list(prints), within)
+    assert joined(list(prints), pairs(alike(nearest))) != wanted
+    found = pairs(simhash_neardup.close_links(classes, links, nearest, 0.8, alike))
+    assert joined(list(prints), found) == wanted and found <= within
